@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from helixmill.llm import common, tokens
 
 MAGIC = b"HXTOKENS"
-HEAD = struct.Struct("<8sQQQ")
+HEAD = "<8sQQQ"
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,7 +50,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None, path:
         part = TaskContext.get().partitionId()
         name = f"{path}/ids/{part:06d}-{uuid.uuid4().hex}"
         common.write_whole(f"{name}.bin", bodies())
-        index = [HEAD.pack(MAGIC, 1, width, len(ids)), np.array([0, *ends], "<u8").tobytes(), np.array([x or 0 for x in ids], "<i8").tobytes(), np.array([x is None for x in ids], "u1").tobytes()]
+        index = [struct.pack(HEAD, MAGIC, 1, width, len(ids)), np.array([0, *ends], "<u8").tobytes(), np.array([x or 0 for x in ids], "<i8").tobytes(), np.array([x is None for x in ids], "u1").tobytes()]
         common.write_whole(f"{name}.idx", index)
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([ends[-1]], pa.int64())], ["part", "file", "n_docs", "n_ids"])
@@ -64,10 +64,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None, path:
 def open_index(name: str):
     """(bytes of an id, offsets, document ids, nulls) of a file pair, mapped."""
     raw = mapped(f"{name}.idx")
-    magic, version, width, n = HEAD.unpack_from(raw[: HEAD.size].tobytes())
+    magic, version, width, n = struct.unpack(HEAD, raw[: struct.calcsize(HEAD)].tobytes())
     if magic != MAGIC or version != 1:
         raise ValueError(f"{name}.idx is no index of token files")
-    at = HEAD.size
+    at = struct.calcsize(HEAD)
     offsets = raw[at : at + 8 * (n + 1)].view("<u8")
     at += 8 * (n + 1)
     return width, offsets, raw[at : at + 8 * n].view("<i8"), raw[at + 8 * n : at + 9 * n]
