@@ -26,9 +26,9 @@ def t_two_sided(t: Column, df: Column) -> Column:
 
 
 def welch(table: DataFrame) -> DataFrame:
-    """Add t, df and p_value to a table with n, mean and var of Case (1) and Control (0)."""
-    a, b = F.col("var1") / F.col("n1"), F.col("var0") / F.col("n0")
-    return table.withColumn("t", (F.col("mean1") - F.col("mean0")) / F.sqrt(a + b)).withColumn("df", (a + b) * (a + b) / (a * a / (F.col("n1") - 1) + b * b / (F.col("n0") - 1))).withColumn("p_value", t_two_sided(F.col("t"), F.col("df")))
+    """Add t, df and p_value to a table with n, mean and var of Case (1) and Control (0); null where either side has under two values or neither varies."""
+    a, b = F.try_divide("var1", "n1"), F.try_divide("var0", "n0")
+    return table.withColumn("t", F.try_divide(F.col("mean1") - F.col("mean0"), F.sqrt(a + b))).withColumn("df", F.try_divide((a + b) * (a + b), F.try_divide(a * a, F.col("n1") - 1.0) + F.try_divide(b * b, F.col("n0") - 1.0))).withColumn("p_value", t_two_sided(F.col("t"), F.col("df")))
 
 
 def adjust(table: DataFrame, p: str = "p_value", key: str = "feature", by: tuple[str, ...] = ()) -> DataFrame:

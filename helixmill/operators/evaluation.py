@@ -24,7 +24,9 @@ def auc(scored: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:
     v01 = (F.col("tp") - F.col("p") / 2) / F.col("pos")
     sums = r.groupBy(*by).agg(F.max("pos").alias("pos"), F.max("neg").alias("neg"), F.sum(F.col("p") * v10).alias("s1"), F.sum(F.col("p") * v10 * v10).alias("q1"), F.sum(F.col("n") * v01).alias("s0"), F.sum(F.col("n") * v01 * v01).alias("q0"))
     a = F.col("s1") / F.col("pos")
-    var = (F.col("q1") - F.col("s1") * F.col("s1") / F.col("pos")) / (F.col("pos") - 1) / F.col("pos") + (F.col("q0") - F.col("s0") * F.col("s0") / F.col("neg")) / (F.col("neg") - 1) / F.col("neg")
+    # one case or one control has no variance: it adds nothing
+    one = lambda q, s, n: F.coalesce(F.try_divide(q - s * s / n, (n - 1) * n), F.lit(0.0))
+    var = one(F.col("q1"), F.col("s1"), F.col("pos")) + one(F.col("q0"), F.col("s0"), F.col("neg"))
     turned, half = F.greatest(a, 1 - a), 1.959963984540054 * F.sqrt(F.greatest(var, F.lit(0.0)))
     return sums.select(*by, turned.alias("auc"), F.greatest(F.lit(0.0), turned - half).alias("auc_low"), F.least(F.lit(1.0), turned + half).alias("auc_high"))
 

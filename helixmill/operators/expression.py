@@ -125,5 +125,5 @@ def correlations(long: DataFrame) -> DataFrame:
     pairs = rows.select(F.explode("x").alias("a"), "x").select("a", F.explode(F.filter("x", lambda e: e["feature"] > F.col("a.feature"))).alias("b"))
     a, b = F.col("a.value"), F.col("b.value")
     r = pairs.groupBy(F.col("a.feature").alias("feature_a"), F.col("b.feature").alias("feature_b")).agg(F.corr(a, b).alias("r"), F.count("*").alias("n"))
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
+    t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2.0, 1 - F.col("r") * F.col("r")))
     return r.withColumn("p_value", stats.t_two_sided(t, F.col("n") - 2.0))
