@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections import Counter
 from functools import lru_cache
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 LONGEST_KEPT = 48
 #: Entries of a worker's cache; a full cache is emptied and fills again.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 600_000
 #: The frequent table: its entries, the partitions looked at for it, and the texts of each.
 TABLE_ENTRIES, TABLE_PARTITIONS, TABLE_TEXTS = 32_768, 8, 1_000
 _ACROSS = re.compile(r"\s (?:\s|\Z)")
@@ -53,20 +54,64 @@ def cut_rule(path: str) -> str | None:
     if tok.normalizer is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
         return "led"
     first = (pre.get("pretokenizers") or [{}])[0]
-    if first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and r"[^\s" in str(first["pattern"]):
+    if first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and r"[^\s" in first["pattern"].get("Regex", ""):
         return "bare"
     return None
 
 
+#: Letters of Latin-1 and ASCII digits and marks other than the apostrophe: in these, where the tokenizers' patterns cut is plain.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = {"led": re.compile(rf"[{_LETTERS}]+|[0-9]+|[!-&(-/:-@\[-`{{-~]+"), "bare": re.compile(rf"[{_LETTERS}]+|[0-9]|[!-&(-/:-@\[-`{{-~]+")}
+
+
+class Pieces(dict):
+    """Pre-token to its ids by the tokenizer's model alone, which spares the library's work of aligning each piece with its text."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        tok, self.rule = load(path), cut_rule(path)
+        self.model, self.added = tok.model, [x.content for x in tok.get_added_tokens_decoder().values()]
+        shown = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {i: "".join(x for x, _ in shown.pre_tokenize_str(chr(i))) for i in range(32, 256)}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        found = tuple(x.id for x in self.model.tokenize(piece.translate(self.shown)))
+        if len(self) >= CACHE_ENTRIES // 2:
+            self.clear()
+        self[piece] = found
+        return found
+
+    def ids(self, chunk: str, lead: str) -> list[int] | None:
+        """The ids of a chunk of plain characters, else None."""
+        parts = _PLAIN[self.rule].findall(chunk)
+        if not parts or sum(map(len, parts)) != len(chunk) or any(x in chunk for x in self.added):
+            return None
+        if self.rule == "bare":
+            parts = [x.lower() for x in parts]
+        parts[0] = lead + parts[0]
+        return [i for x in parts for i in self[x]]
+
+
+_PIECES: dict[str, Pieces] = {}
+
+
 class Cache(dict):
     """Chunk to ``value(ids)``; missing chunks are encoded and kept."""
 
     def __init__(self, path: str, lead: str, value, seed: dict | None = None):
         super().__init__(seed or {})
         self.tok, self.lead, self.value, self.seed = load(path), lead, value, seed or {}
+        if path not in _PIECES:
+            _PIECES[path] = Pieces(path)
+        self.pieces = _PIECES[path]
 
     def __missing__(self, chunk: str):
-        found = self.value(self.tok.encode(self.lead + chunk, add_special_tokens=False).ids)
+        ids = self.pieces.ids(chunk, self.lead) if len(chunk) <= LONGEST_KEPT else None
+        if ids is None:
+            ids = self.tok.encode(self.lead + chunk, add_special_tokens=False).ids
+        found = self.value(ids)
         if len(chunk) <= LONGEST_KEPT:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -82,7 +127,7 @@ def cache(path: str, lead: str, kind: str, seed=None) -> Cache:
     """The worker's cache for a tokenizer; kind: "n" (lengths), or "u2" or "u4" (ids as little-endian bytes)."""
     found = _CACHES.get((path, lead, kind))
     if found is None:
-        value = len if kind == "n" else lambda ids, t="<" + kind: np.array(ids, t).tobytes()
+        value = len if kind == "n" else lambda ids, t="HI"[kind == "u4"]: struct.pack(f"<{len(ids)}{t}", *ids)
         found = _CACHES[(path, lead, kind)] = Cache(path, lead, value, seed() if seed else None)
     return found
 
