@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 LONGEST_KEPT = 48
 #: Entries of a worker's cache; a full cache is emptied and fills again.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_100_000
 #: The frequent table: its entries, the partitions looked at for it, and the texts of each.
 TABLE_ENTRIES, TABLE_PARTITIONS, TABLE_TEXTS = 32_768, 8, 1_000
 _ACROSS = re.compile(r"\s (?:\s|\Z)")
