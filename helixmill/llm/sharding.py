@@ -7,7 +7,7 @@ Rows with the same ``link`` key are linked with each other. Law ``rows``: every
 3. Each round a group is drawn to the shard with most of its rows among those with room, and its cells in other shards with room move there, as far as the quota allows: a shard takes at most its capacity less the linked rows it holds; if more want in, each cell moves the same part. So no shard is ever over capacity.
 4. After the rounds linked rows take their group's places in order of rank (ranks in salted parts of a group, with prefix sums), and rows without links fill what is left, again by rank.
 
-Cut links are pairs of linked rows in two shards; a group larger than a shard is cut, by as few shards as its rounds allow.
+Moves only go into room that a shard has, never by exchange: where nearly all rows are linked there is little room, and groups stay cut. Cut links are pairs of linked rows in two shards; a group larger than a shard is cut, by as few shards as its rounds allow.
 
 Defined cases: null link keys link nothing; repeated rows are rows like others; null ids are ranked too; an empty table gives an empty result. Only the named columns are read. Rounds end when nothing moves. The driver holds one number a shard.
 """
