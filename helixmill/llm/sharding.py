@@ -4,7 +4,7 @@ Rows with the same ``link`` key are linked with each other. Law ``rows``: every
 
 1. Rows get an exactly even start: their rank (in hashed buckets, with a prefix sum over buckets) modulo the number of shards.
 2. Linked rows of a group that share a shard are interchangeable, so labels are propagated on cells (group, shard, rows): at most one per group and shard, however large a group is.
-3. Each round a group is drawn to the shard with most of its rows among those with room, and its cells in other shards with room move there, as far as the quota allows: a shard takes at most its capacity less the linked rows it holds; if more want in, each cell moves the same part. So no shard is ever over capacity.
+3. Each round a group is drawn to the shard with most of its rows among those with more than slight room, and its cells in other shards with room move there, as far as the quota allows: a shard takes at most its capacity less the linked rows it holds; if more want in, each cell moves the same part. So no shard is ever over capacity.
 4. After the rounds linked rows take their group's places in order of rank (ranks in salted parts of a group, with prefix sums), and rows without links fill what is left, again by rank.
 
 Moves only go into room that a shard has, never by exchange: where nearly all rows are linked there is little room, and groups stay cut. Cut links are pairs of linked rows in two shards; a group larger than a shard is cut, by as few shards as its rounds allow.
@@ -42,8 +42,8 @@ def propagate(cells: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> Da
     now = common.stage(cells, "cells", path)
     for _ in range(rounds):
         load = now.groupBy("s").agg(F.sum("n").alias("load"))
-        room = F.broadcast(limits.join(F.broadcast(load), "s", "left").select("s", (F.col("cap") - F.coalesce("load", F.lit(0))).alias("room")))
-        open_ = now.join(room, "s").where("room > 0")
+        room = F.broadcast(limits.join(F.broadcast(load), "s", "left").select("s", (F.col("cap") - F.coalesce("load", F.lit(0))).alias("room"), (F.col("cap") / 32).alias("slight")))
+        open_ = now.join(room, "s").where("room > slight")  # a shard with next to no room would hold up its groups
         target = open_.groupBy("g").agg(F.max(F.struct("n", F.xxhash64("g", "s").alias("tie"), "s")).alias("t")).select("g", F.col("t.s").alias("t"))
         movers = open_.join(target, "g").where("s <> t").select("g", "s", "t", "n")
         wanted = movers.groupBy("t").agg(F.sum("n").alias("wanted"))
