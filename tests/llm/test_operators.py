@@ -281,3 +281,11 @@ def test_pipeline(spark, docs):
     assert 0 < kept.count() < docs.count()
     pieces = corpus_pipeline.pack(spark, kept, SF)
     assert pieces.agg(F.sum("length")).first()[0] == kept.count() + sum(len(tokens.whole(BYTE, r.text)) for r in kept.collect())
+
+
+def test_among_keeps_every_key(spark):
+    rows = spark.range(5000).withColumn("key", F.xxhash64("id"))
+    keys = rows.where("id % 7 = 0").select("key")
+    kept = {x.id for x in near_duplicates.among(rows, keys, "key").select("id").collect()}
+    assert {x for x in range(0, 5000, 7)} <= kept and len(kept) < 720
+    assert near_duplicates.among(rows, keys.limit(0), "key").count() == 0
