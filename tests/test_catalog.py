@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from helixmill.functions import stats
 from helixmill.operators import evaluation as ev
 from helixmill.operators import expression as ex
-from helixmill.plans import catalog
+from helixmill.operators import models
+from helixmill.operators import transforms as tr
+from helixmill.plans import catalog, transforms  # noqa: F401 (registers its queries)
 from helixmill.sources import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -89,3 +91,30 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() == 64
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def long_table(spark, rows):
+    return spark.createDataFrame([(i, c, f"hsa.{j}", float(x)) for i, c, values in rows for j, x in enumerate(values)], "sample_id bigint, class string, feature string, value double")
+
+
+def test_smote_edges(spark):
+    lone = long_table(spark, [(1, "Case", [5, 6]), (2, "Control", [0, 1]), (3, "Control", [1, 0]), (4, "Control", [1, 1])])
+    got = tr.smote(lone).collect()
+    assert sorted((r.draw, r.feature, r.value) for r in got) == [(1, "hsa.0", 5.0), (1, "hsa.1", 6.0), (2, "hsa.0", 5.0), (2, "hsa.1", 6.0)]
+    assert tr.smote(lone.where("sample_id < 3")).count() == 0
+    assert tr.smote(lone.limit(0)).count() == 0
+
+
+def test_combat_takes_shifts_out(spark):
+    long = spark.createDataFrame([(s, s % 2, "Case", f"hsa.{j}", ((s * 7 + j * 3) % 11) * (1.0 + s % 2) + 10 * (s % 2)) for s in range(44) for j in range(6)], "sample_id bigint, batch bigint, class string, feature string, value double")
+    means = {r.batch: r.m for r in tr.combat(long).groupBy("batch").agg(F.avg("value").alias("m")).collect()}
+    assert abs(means[0] - means[1]) < 0.5
+    flat = long.withColumn("value", F.lit(3.0))
+    assert tr.combat(flat).select("value").distinct().collect()[0].value == 3.0
+
+
+def test_models_find_the_feature_that_tells(spark):
+    long = long_table(spark, [(i, "Case" if i % 3 == 0 else "Control", [(i * 7) % 5, 3 * (i % 3 == 0) + (i % 4) * 0.1, (i * 5) % 7]) for i in range(60)])
+    for select in (models.lasso, models.wx, models.forest_importance):
+        assert select(long).first().feature == "hsa.1"
+    assert models.pca_scores(long, 2).count() == 60
