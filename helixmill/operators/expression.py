@@ -79,7 +79,7 @@ def missing_audit(long: DataFrame) -> DataFrame:
 def impute(long: DataFrame, how: str = "median", share: float = 0.1) -> DataFrame:
     """Drop features of which a ``share`` or more is missing, fill the rest with their exact median or mean. The audit is a row a feature: Spark chooses how to join it."""
     audit = missing_audit(long).where(F.col("n_missing") < share * F.col("n")).select("feature", F.col(how).alias("_fill"))
-    return long.join(audit, "feature").select("sample_id", "class", "feature", F.coalesce("value", "_fill").alias("value"))
+    return long.join(audit, "feature").select(*[F.coalesce("value", "_fill").alias("value") if c == "value" else c for c in long.columns])
 
 
 def z_scores(long: DataFrame) -> DataFrame:

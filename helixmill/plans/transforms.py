@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from helixmill.operators import models, transforms
+from helixmill.operators import assembly, expression, models, transforms
 from helixmill.plans.catalog import AUC, FEATURES, query, r, rounded
 from helixmill.sources import fixtures as fx
 
@@ -100,3 +101,75 @@ def forest_importance(spark, sf):
 @query("pca_scores")
 def pca_scores(spark, sf):
     return models.pca_scores(fx.feature_matrix(spark, sf))
+
+
+def renamed(spark, sf):
+    """One alias row for two features in three: the feature's name, the next one's, and a blank."""
+    f = lambda i: F.concat(F.lit("hsa.f"), F.lpad(i.cast("string"), 2, "0"))
+    aliases = spark.range(64).where("id % 3 <> 2").select(F.col("id").alias("ord"), F.array(f(F.col("id")), f(F.col("id") + 1), F.lit("")).alias("aliases"))
+    return assembly.correct_names(fx.feature_matrix(spark, sf).select("feature").distinct(), aliases)
+
+
+@query("correct_names", """WITH RECURSIVE a AS (SELECT i AS ord, 'hsa.f' || lpad(CAST(i AS VARCHAR), 2, '0') AS alias, 'hsa.f' || lpad(CAST(i + 1 AS VARCHAR), 2, '0') AS "to" FROM range(64) t(i) WHERE i % 3 <> 2),
+n AS (SELECT 'hsa.f' || lpad(CAST(i AS VARCHAR), 2, '0') AS feature, 'hsa.f' || lpad(CAST(i AS VARCHAR), 2, '0') AS corrected, -1::BIGINT AS at, 0 AS k FROM range(64) t(i)
+  UNION ALL SELECT feature, a."to", a.ord, k + 1 FROM n JOIN a ON a.alias = n.corrected AND a.ord > n.at)
+SELECT feature, max_by(corrected, k) AS corrected FROM n GROUP BY feature""")
+def correct_names(spark, sf):
+    return renamed(spark, sf)
+
+
+@query("site_lookup", "SELECT s_suppkey, l.n_name FROM supplier LEFT JOIN (SELECT n_nationkey % 20 AS s_nationkey, min_by(n_name, n_nationkey) AS n_name FROM nation GROUP BY 1) l USING (s_nationkey)")
+def site_lookup(spark, sf):
+    sites = fx.table(spark, sf, "nation").select((F.col("n_nationkey") % 20).alias("s_nationkey"), "n_name", "n_nationkey")
+    return assembly.first_match(fx.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), sites, "s_nationkey", "n_name", "n_nationkey").select("s_suppkey", "n_name")
+
+
+@query("probe_sets", "WITH p AS (SELECT DISTINCT l_linestatus || l_returnflag AS file, l_partkey AS probe FROM lineitem) SELECT file, count(*) AS n_probes, count(*) = (SELECT count(DISTINCT probe) FROM p) AS complete FROM p GROUP BY file")
+def probe_sets(spark, sf):
+    return assembly.probe_sets(fx.table(spark, sf, "lineitem").select(F.concat("l_linestatus", "l_returnflag").alias("file"), F.col("l_partkey").alias("probe")), "file", "probe")
+
+
+@query("assembled", """WITH c AS (SELECT l_suppkey AS sample_id, p_brand AS feature, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+m AS (SELECT sample_id, feature, CASE WHEN sample_id % 23 <> length(feature) THEN CAST(n AS DOUBLE) END AS value FROM c), a AS (SELECT feature, median(value) AS fill FROM m GROUP BY feature HAVING count(*) FILTER (value IS NULL) < 0.1 * count(*)),
+f AS (SELECT sample_id, feature, coalesce(value, fill) AS value FROM m JOIN a USING (feature)), t AS (SELECT *, value / sum(value) OVER (PARTITION BY sample_id) * 1e6::DOUBLE AS cpm FROM f)
+SELECT sample_id, feature, round(value, 6) AS value, round(log10(cpm + 0.001::DOUBLE), 7) AS log10tpm FROM t WHERE feature IN (SELECT feature FROM t GROUP BY feature HAVING var_samp(log10(cpm + 0.001::DOUBLE)) > 0)""")
+def assembled(spark, sf):
+    counts = fx.count_matrix(spark, sf).withColumn("value", F.when(F.col("sample_id") % 23 != F.length("feature"), F.col("value").cast("double")))
+    return rounded(rounded(assembly.assemble(counts).select("sample_id", "feature", "value", "log10tpm"), "value", digits=6), "log10tpm", digits=7)
+
+
+@query("feature_votes", f"""WITH {FEATURES}, d AS (SELECT sample_id % 7 AS run, feature, abs(avg(value) FILTER (class = 'Case') - avg(value) FILTER (class <> 'Case')) AS d FROM feat GROUP BY ALL),
+k AS (SELECT run, feature, row_number() OVER (PARTITION BY run ORDER BY round(d, 10) DESC NULLS LAST, feature) AS rank FROM d),
+v AS (SELECT size, feature, count(*) AS votes FROM k, range(3, 12) s(size) WHERE rank <= size GROUP BY ALL),
+w AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY votes DESC, feature) AS r FROM v) SELECT CAST(size AS INTEGER) AS size, feature, votes FROM w WHERE r <= size""")
+def feature_votes(spark, sf):
+    value = lambda case: F.avg(F.when(F.col("class") == "Case" if case else F.col("class") != "Case", F.col("value")))
+    gaps = fx.feature_matrix(spark, sf).groupBy((F.col("sample_id") % 7).alias("run"), "feature").agg(F.abs(value(True) - value(False)).alias("d"))
+    ranked = gaps.withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy(F.desc_nulls_last(F.round("d", 10)), "feature")))
+    return assembly.feature_votes(ranked, range(3, 12))
+
+
+@query("describe_by_group", """SELECT source, count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS sd, min(n_chars) AS min, quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.5) AS q2, quantile_cont(n_chars, 0.75) AS q3, max(n_chars) AS max FROM documents GROUP BY source""")
+def describe_by_group(spark, sf):
+    n = "n_chars"
+    figures = [F.count(n).alias("n"), F.round(F.avg(n), 6).alias("mean"), F.round(F.stddev_samp(n), 6).alias("sd"), F.min(n).alias("min"), *[F.percentile(n, q / 4).alias(f"q{q}") for q in (1, 2, 3)], F.max(n).alias("max")]
+    return fx.table(spark, sf, "documents").groupBy("source").agg(*figures)
+
+
+@query("forward_cfs")
+def forward_cfs(spark, sf):
+    return models.forward_cfs(fx.feature_matrix(spark, sf))
+
+
+@query("recursive_elimination")
+def recursive_elimination(spark, sf):
+    return models.recursive_elimination(fx.feature_matrix(spark, sf), 11)
+
+
+@query("benchmark")
+def benchmark(spark, sf):
+    """Two signatures by three algorithms, with metrics on each part of the split."""
+    long = fx.feature_matrix(spark, sf)
+    split = expression.stratified_split(long.select("sample_id", "class").distinct()).select("sample_id", "mix")
+    formulas = {m: [f"hsa.f{i:02d}" for i in ids] for m, ids in (("first", range(11)), ("last", range(53, 64)))}
+    return models.benchmark(long.join(split, "sample_id"), formulas)

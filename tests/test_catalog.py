@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from helixmill.functions import stats
 from helixmill.operators import evaluation as ev
 from helixmill.operators import expression as ex
-from helixmill.operators import models
+from helixmill.operators import assembly, models
 from helixmill.operators import transforms as tr
 from helixmill.plans import catalog, transforms  # noqa: F401 (registers its queries)
 from helixmill.sources import fixtures as fx
@@ -118,3 +118,15 @@ def test_models_find_the_feature_that_tells(spark):
     for select in (models.lasso, models.wx, models.forest_importance):
         assert select(long).first().feature == "hsa.1"
     assert models.pca_scores(long, 2).count() == 60
+    assert models.forward_cfs(long, 2).first().feature == "hsa.1"
+    assert {r.feature for r in models.recursive_elimination(long, 1).where("size = 1").collect()} == {"hsa.1"}
+    told = models.benchmark(long.withColumn("mix", F.when(F.col("sample_id") < 40, "train").otherwise("test")), {"one": ["hsa.1"]})
+    assert {(r.algorithm, r.mix, r.accuracy) for r in told.collect()} == {(a, m, 1.0) for a in ("logistic", "tree", "forest") for m in ("train", "test")}
+
+
+def test_names_change_in_order_of_rows(spark):
+    names = spark.createDataFrame([("a",), ("b",), ("z",), (None,)], "feature string")
+    aliases = spark.createDataFrame([(0, ["b", "c", ""]), (1, ["a", "b"]), (2, ["c", "d"]), (3, [])], "ord bigint, aliases array<string>")
+    got = {r.feature: r.corrected for r in assembly.correct_names(names, aliases).collect()}
+    assert got == {"a": "b", "b": "d", "z": "z", None: None}
+    assert assembly.correct_names(names.limit(0), aliases).count() == 0
