@@ -45,15 +45,15 @@ def nearest(samples: DataFrame, k: int, blocks: int) -> DataFrame:
     return dealt.groupBy("block").applyInPandas(search, f"sample_id {kind}, near array<{kind}>")
 
 
-def smote(long: DataFrame, k: int = 5, seed: int = 1) -> DataFrame:
-    """Synthetic minority rows (sample_id, draw, class, feature, value): as many for each minority sample as bring the minority to the majority's size or just above.
+def smote(long: DataFrame, k: int = 5, seed: int = 1, each: int | None = None) -> DataFrame:
+    """Synthetic minority rows (sample_id, draw, class, feature, value): ``each`` for a minority sample; if not given, as many as bring the minority to the majority's size or just above.
 
     A row lies between its sample and one of its ``k`` nearest minority samples. Balanced or one-class tables give no rows; a lone minority sample gives copies of itself. Samples must have every feature and no nulls.
     """
     sizes = class_sizes(long)
     minor = min(sizes, key=lambda c: (sizes[c], c), default=None)
     few, many = (sizes[minor], max(sizes.values())) if sizes else (1, 1)
-    each = -(-(many - few) // few)
+    each = -(-(many - few) // few) if each is None else each
     own = long.where(F.col("class").eqNullSafe(F.lit(minor))).select("sample_id", "class", "feature", "value")
     vectors = own.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "value"))), lambda s: s["value"]).alias("x"))
     near = nearest(vectors, k, -(-few // BLOCK))
@@ -64,6 +64,13 @@ def smote(long: DataFrame, k: int = 5, seed: int = 1) -> DataFrame:
     return draws.join(own, "sample_id").join(others, ["other", "feature"]).select("sample_id", "draw", "class", "feature", (F.col("value") + F.col("gap") * (F.col("there") - F.col("value"))).alias("value"))
 
 
+def undersample(long: DataFrame, kept: str, rows: int, seed: int = 1) -> DataFrame:
+    """``long`` without some samples of classes other than ``kept``: about ``rows`` of theirs stay, each by its own chance. Classes with fewer stay whole."""
+    others = sum(n for c, n in class_sizes(long).items() if c != kept)
+    stays = (F.col("class") == kept) | (uniform(seed, "under", F.col("sample_id")) < rows / max(others, 1))
+    return long.where(stays)
+
+
 def rose(long: DataFrame, rows: int, seed: int = 1) -> DataFrame:
     """A smoothed bootstrap (sample_id, draw, class, feature, value) of about ``rows`` rows, half of them of each class: every sample is drawn equally often (up to one, by chance), and each value gets Gaussian noise of its class's bandwidth. Features that do not vary in a class get no noise."""
     sizes = class_sizes(long)

@@ -173,3 +173,10 @@ def benchmark(spark, sf):
     split = expression.stratified_split(long.select("sample_id", "class").distinct()).select("sample_id", "mix")
     formulas = {m: [f"hsa.f{i:02d}" for i in ids] for m, ids in (("first", range(11)), ("last", range(53, 64)))}
     return models.benchmark(long.join(split, "sample_id"), formulas)
+
+
+@query("undersampled", f"WITH {SIZES} SELECT sample_id, class, count(*) AS n_features FROM feat WHERE class = 'Case' OR {u('1', chr(39) + 'under' + chr(39), 'sample_id')} < 2.0::DOUBLE * (SELECT n FROM per WHERE class = 'Case') / (SELECT n FROM per WHERE class <> 'Case') GROUP BY ALL")
+def undersampled(spark, sf):
+    """The under-sampled majority of classic SMOTE at 200 and 100 %: as many rows as there are synthetic ones."""
+    long = fx.feature_matrix(spark, sf)
+    return transforms.undersample(long, "Case", 2 * transforms.class_sizes(long).get("Case", 0)).groupBy("sample_id", "class").agg(F.count("*").alias("n_features"))
