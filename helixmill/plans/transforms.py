@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from helixmill.operators import assembly, expression, models, transforms
+from helixmill.operators import assembly, expression, models, tables, transforms, wrappers
 from helixmill.plans.catalog import AUC, FEATURES, query, r, rounded
 from helixmill.sources import fixtures as fx
 
@@ -180,3 +180,44 @@ def undersampled(spark, sf):
     """The under-sampled majority of classic SMOTE at 200 and 100 %: as many rows as there are synthetic ones."""
     long = fx.feature_matrix(spark, sf)
     return transforms.undersample(long, "Case", 2 * transforms.class_sizes(long).get("Case", 0)).groupBy("sample_id", "class").agg(F.count("*").alias("n_features"))
+
+
+def split_matrix(spark, sf, features: int):
+    long = fx.feature_matrix(spark, sf).where(F.col("feature") < f"hsa.f{features:02d}")
+    return long.join(expression.stratified_split(long.select("sample_id", "class").distinct()).select("sample_id", "mix"), "sample_id")
+
+
+@query("step_aic")
+def step_aic(spark, sf):
+    return wrappers.backward_logit(fx.feature_matrix(spark, sf).where("feature < 'hsa.f12'"))
+
+
+@query("stepwise_p")
+def stepwise_p(spark, sf):
+    return wrappers.backward_logit(fx.feature_matrix(spark, sf).where("feature < 'hsa.f12'"), "p")
+
+
+@query("boruta")
+def boruta(spark, sf):
+    return wrappers.boruta(fx.feature_matrix(spark, sf))
+
+
+@query("forward_wrapper")
+def forward_wrapper(spark, sf):
+    return wrappers.forward_wrapper(fx.feature_matrix(spark, sf), F.col("sample_id") % 3, 2)
+
+
+@query("propensity_match")
+def propensity_match(spark, sf):
+    customers = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("sample_id"), (F.col("c_custkey") % 4 == 0).cast("int").alias("label"), F.col("c_acctbal").cast("double").alias("balance"), "c_nationkey")
+    return wrappers.matched(customers, ["balance", "c_nationkey"])
+
+
+@query("feature_clusters")
+def feature_clusters(spark, sf):
+    return wrappers.feature_clusters(tables.distances(fx.feature_matrix(spark, sf)), 8)
+
+
+@query("network_grid")
+def network_grid(spark, sf):
+    return wrappers.network_grid(split_matrix(spark, sf, 12), [[3], [5], [5, 3]])
