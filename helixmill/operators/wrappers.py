@@ -52,7 +52,7 @@ def shadowed(data: DataFrame, seed: int) -> DataFrame:
     return dealt.withColumn("_k", at("here")).join(other, ["_b", "_k"]).select("sample_id", "label", array_to_vector(F.concat(vector_to_array("x"), vector_to_array("y"))).alias("x"))
 
 
-def boruta(long: DataFrame, rounds: int = 10, trees: int = 30, level: float = 0.05, seed: int = 1) -> DataFrame:
+def boruta(long: DataFrame, rounds: int = 12, trees: int = 30, level: float = 0.05, seed: int = 1) -> DataFrame:
     """(feature, hits, decision): in each round a forest sees every feature and its shadow, and a feature more important than the best shadow has a hit. Confirmed: more hits than chance (one half) gives at ``level``, corrected for the number of features; Rejected: as few; else Tentative."""
     from math import comb
 
