@@ -2,9 +2,10 @@
 
 1. Equal texts are one node (keyed by a 64-bit hash of md5 and length).
 2. A text's words (lower case, letters and digits) give its k-mers of ``k`` words, labelled by occurrence. For each of ``m`` hash functions the ``l`` smallest labelled k-mers are taken and put back in text order; their hash is one sketch. Texts of high edit similarity agree in many sketches, and word order counts.
-3. Nodes with an equal sketch meet their bucket's leader (its smallest node), and those with two equal sketches in a row meet the leader of that finer bucket. Leaders are found by aggregation, so a bucket of any size gives as many pairs as it has members, never all pairs, and no task holds a bucket.
+3. Nodes with an equal sketch meet their bucket's leader (its smallest node), and those with two equal sketches in a row meet the leader of that finer bucket. Leaders are found by aggregation, so this pass gives as many pairs as buckets have members.
 4. Pairs are verified by banded alignment of their words: the edit distance within the band that the budget allows. A pair is linked if 1 - distance / longer length is at least ``similarity``.
 5. Classes are the connected components of the links, found by alternating large-star and small-star joins, each round a written table.
+6. Buckets whose other members are then in more than one class (a common passage, an unrelated leader) are searched whole, block against block, so that no task holds a bucket. Every pair of two classes is held against two lower bounds of the edit distance, by length and by word counts in ``BINS`` bins; what they leave is verified as well, and the classes are joined. So all texts that meet in a bucket and are similar are in one class.
 
 Defined cases: null texts are in a class of their own document; equal texts are one class, empty ones too; texts without words are linked with equal texts only; texts of fewer than ``k`` words have one k-mer, the whole text; repeated rows give one row each. Documents with a null id have a class by text, whose id is that of its smallest non-null id, or null. Only the id and text columns are read.
 """
@@ -23,6 +24,7 @@ from helixmill.llm.toxicity import WORD
 
 K, L, M, SIMILARITY = 5, 2, 24, 0.8
 SLOTS = 1 << 20
+BINS, BLOCK = 256, 1024
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -166,6 +168,32 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return bool(longer) and banded_distance(a, b, int((1 - least) * longer + 1e-9)) is not None
 
 
+def bins_of(words: np.ndarray) -> bytes:
+    """Words by bin of their hash, a byte a bin; counts stop at 255, which only lowers the bound of ``far_apart``."""
+    return np.minimum(np.bincount((words % np.uint64(BINS)).astype("i8"), minlength=BINS), 255).astype("u1").tobytes()
+
+
+def far_apart(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distance of one row of bins to others: the larger surplus of either side."""
+    differ = others.astype("i2") - one.astype("i2")
+    return (np.abs(differ).sum(axis=1) + np.abs(differ.sum(axis=1))) // 2
+
+
+def close_pairs(bins: np.ndarray, n_words: np.ndarray, root: np.ndarray, side: np.ndarray, least: float):
+    """Pairs (i, j) of rows of different roots whose lengths and bins allow a similarity of ``least``; where both sides are there, only pairs across them."""
+    order = np.argsort(n_words, kind="stable")
+    bins, lengths, root, side = bins[order], n_words[order], root[order], side[order]
+    two = side.min() != side.max()
+    ends = np.searchsorted(lengths * least, lengths + 1e-9, side="right")
+    for i in range(len(order)):
+        at = np.arange(i + 1, ends[i])
+        at = at[(root[at] != root[i]) & ((side[at] != side[i]) | (not two))]
+        if len(at):
+            at = at[far_apart(bins[i], bins[at]) <= ((1 - least) * lengths[at] + 1e-9).astype("i8")]
+            for j in at:
+                yield order[i], order[j]
+
+
 def node_of(text_col):
     return F.xxhash64(F.md5(text_col), F.length(text_col))
 
@@ -203,7 +231,7 @@ def among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, l: int = L, m: int = M, similarity: float = SIMILARITY) -> DataFrame:  # noqa: E741
-    """Per row: its id, class_id (the smallest id of its class), node (its text's key, null for a null text) and n_links (verified links of its text with other texts)."""
+    """Per row: its id, class_id (the smallest id of its class), node (its text's key, null for a null text) and n_links (verified links of its text with other texts; of a class's pairs, those with bucket leaders and those that joined two classes are verified, so this is at most the number of similar texts)."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     made: list[str] = []
@@ -214,31 +242,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sketch(batches):
         for batch in batches:
-            n, out = [], []
+            n, out, bins = [], [], []
             for text in batch.column(2).to_pylist():
                 words = words_of(text)
                 n.append(len(words))
+                bins.append(bins_of(words))
                 out.append(order_min_hash(words, k, l, m))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array([x.tolist() for x in out], pa.list_(pa.int64()))], ["id", "node", "n_words", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array([x.tolist() for x in out], pa.list_(pa.int64())), pa.array(bins, pa.binary())], ["id", "node", "n_words", "sketch", "bins"])
 
     kind = slim.schema["id"].dataType.simpleString()
     keyed = slim.where("text is not null").select("id", node_of(F.col("text")).alias("node"), "text")
-    rows = keyed.mapInArrow(sketch, f"id {kind}, node bigint, n_words int, sketch array<bigint>")
-    nodes = keep(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch")), "nodes")
+    rows = keyed.mapInArrow(sketch, f"id {kind}, node bigint, n_words int, sketch array<bigint>, bins binary")
+    nodes = keep(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.first("bins").alias("bins")), "nodes")
 
     # buckets: one sketch, and two sketches in a row
     single = nodes.select("node", "n_words", F.posexplode("sketch").alias("i", "h"))
     twice = nodes.where(F.size("sketch") == m).select("node", "n_words", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(m - 2)), lambda x: F.xxhash64(F.element_at("sketch", x + 1), F.element_at("sketch", x + 2)))).alias("i", "h"))
     buckets = single.union(twice.select("node", "n_words", (F.col("i") + m).alias("i"), "h")).select("node", "n_words", F.xxhash64("i", "h").alias("bucket"))
-    leaders = keep(buckets.groupBy("bucket").agg(F.min(F.struct("node", "n_words")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("lead.node").alias("leader"), F.col("lead.n_words").alias("lead_words")), "leaders")
+    leaders = keep(buckets.groupBy("bucket").agg(F.min(F.struct("node", "n_words")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", "n", F.col("lead.node").alias("leader"), F.col("lead.n_words").alias("lead_words")), "leaders")
     near = F.least("n_words", "lead_words") >= similarity * F.greatest("n_words", "lead_words") - 1e-9
-    pairs = keep(buckets.join(leaders, "bucket").where("node <> leader").where(near).select("node", "leader").distinct(), "pairs")
-
-    # texts of the nodes that are in pairs, read again by their smallest id; a bitmap of these rows keeps most others out of the shuffle
-    wanted = keep(pairs.select(F.explode(F.array("node", "leader")).alias("node")).distinct().join(nodes.select("node", "rep"), "node"), "wanted")
-    likely = among(keyed.withColumn("row", F.xxhash64("node", "id")), wanted.select(F.xxhash64("node", "rep").alias("row")), "row")
-    found = likely.join(wanted.withColumnRenamed("node", "wanted"), (F.col("node") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
-    texts = keep(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    members = keep(buckets.join(leaders, "bucket").where("node <> leader"), "members")
+    pairs = keep(members.where(near).select("node", "leader").distinct(), "pairs")
 
     def verify(batches):
         for batch in batches:
@@ -248,9 +272,66 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["node", "leader"])
 
-    paired = pairs.join(texts.withColumnRenamed("text", "x"), "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("y")), "leader").select("node", "leader", "x", "y")
-    links = keep(paired.mapInArrow(verify, "node bigint, leader bigint"), "links")
-    stars = components(links.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")))
+    def linked_of(pairs: DataFrame) -> DataFrame:
+        # texts of the nodes that are in pairs, read again by their smallest id; a bitmap of these rows keeps most others out of the shuffle
+        wanted = keep(pairs.select(F.explode(F.array("node", "leader")).alias("node")).distinct().join(nodes.select("node", "rep"), "node"), "wanted")
+        likely = among(keyed.withColumn("row", F.xxhash64("node", "id")), wanted.select(F.xxhash64("node", "rep").alias("row")), "row")
+        found = likely.join(wanted.withColumnRenamed("node", "wanted"), (F.col("node") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
+        texts = keep(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
+        paired = pairs.join(texts.withColumnRenamed("text", "x"), "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("y")), "leader").select("node", "leader", "x", "y")
+        return keep(paired.mapInArrow(verify, "node bigint, leader bigint"), "links")
+
+    def across(batches):
+        """Pairs (node, leader) of each run of equal (bucket, i, j); a run may go on in the next batch."""
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            keys = np.stack([held.column(c).to_numpy() for c in ("bucket", "i", "j")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            if len(cuts):
+                yield from searched(held.slice(0, int(cuts[-1])), cuts)
+                held = held.slice(int(cuts[-1]))
+        if held is not None and len(held):
+            yield from searched(held, np.array([len(held)]))
+
+    def searched(t: pa.Table, ends: np.ndarray):
+        node, n_words, root, side = (t.column(c).to_numpy() for c in ("node", "n_words", "root", "block"))
+        bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), "u1").reshape(-1, BINS)
+        out, begin = set(), 0
+        for end in ends.tolist():
+            x = slice(begin, end)
+            for p, q in close_pairs(bins[x], n_words[x], root[x], side[x], similarity):
+                p, q = int(node[begin + p]), int(node[begin + q])
+                out.add((max(p, q), min(p, q)))
+                if len(out) >= 50_000:
+                    yield batch_of(out)
+                    out = set()
+            begin = end
+        if out:
+            yield batch_of(out)
+
+    def batch_of(out: set) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["node", "leader"])
+
+    links = linked_of(pairs)
+    edges_of = lambda links: links.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
+    stars = components(edges_of(links))
+
+    # members of buckets that are in several classes, without the leader, which has met all; buckets of the same members count once
+    rooted = members.where("n > 2").join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("bucket", "node", "n_words", F.coalesce("root", "node").alias("root"))
+    digest = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("d1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("d2"))
+    mixed = rooted.groupBy("bucket").agg(*digest, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    mixed = keep(mixed.groupBy("n", "d1", "d2").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    dealt = rooted.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(nodes.select("node", "bins"), "node")
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "n_words", "root", "block", "bins")
+    crossing = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(across, "node bigint, leader bigint").distinct()
+    rest = keep(crossing.join(pairs.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")), ["node", "leader"], "left_anti"), "pairs")
+    if rest.limit(1).count():
+        more = linked_of(rest)
+        links = links.unionByName(more)
+        stars = components(stars.unionByName(edges_of(more)))
 
     degree = links.select(F.explode(F.array("node", "leader")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = nodes.select("node", "rep").join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))

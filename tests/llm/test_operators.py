@@ -289,3 +289,38 @@ def test_among_keeps_every_key(spark):
     kept = {x.id for x in near_duplicates.among(rows, keys, "key").select("id").collect()}
     assert {x for x in range(0, 5000, 7)} <= kept and len(kept) < 720
     assert near_duplicates.among(rows, keys.limit(0), "key").count() == 0
+
+
+def test_near_duplicates_behind_a_common_passage(spark):
+    """Near copies among documents that share 70 % of their words meet no leader of their own; every pair is found all the same."""
+    rng = random.Random(11)
+    passage = [f"common{i}" for i in range(105)]
+    texts = []
+    for i in range(100):
+        own = [f"own{i}x{j}" for j in range(45)]
+        texts.append(passage + own)
+        if i < 40:
+            copy = passage + own
+            for at in rng.sample(range(150), 8):
+                copy[at] = f"new{i}x{at}"
+            texts.append(copy)
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    words = [near_duplicates.words_of(" ".join(t)) for t in texts]
+    met = lambda x, y: bool(set(enumerate(near_duplicates.order_min_hash(words[x]).tolist())) & set(enumerate(near_duplicates.order_min_hash(words[y]).tolist())))
+    want = list(range(len(texts)))
+    for x in range(len(texts)):
+        for y in range(x):
+            if near_duplicates.similar(words[x], words[y], 0.8) and met(x, y):
+                want = [want[y] if c == want[x] else c for c in want] if want[y] < want[x] else [want[x] if c == want[y] else c for c in want]
+    assert len(set(want)) == 100
+    assert {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(table).collect()} == dict(enumerate(want))
+
+
+def test_bounds_never_exceed_the_distance():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = [rng.randrange(40) for _ in range(rng.randrange(1, 60))]
+        b = [x for x in a if rng.random() > 0.1] + [rng.randrange(40) for _ in range(rng.randrange(6))]
+        x, y = (near_duplicates.mix(np.array(v, "u8")) for v in (a, b))
+        bins = np.stack([np.frombuffer(near_duplicates.bins_of(v), "u1") for v in (x, y)])
+        assert near_duplicates.far_apart(bins[0], bins[1:])[0] <= near_duplicates.banded_distance(x, y, 200)
