@@ -182,19 +182,19 @@ def undersampled(spark, sf):
     return transforms.undersample(long, "Case", 2 * transforms.class_sizes(long).get("Case", 0)).groupBy("sample_id", "class").agg(F.count("*").alias("n_features"))
 
 
-def split_matrix(spark, sf, features: int):
-    long = fx.feature_matrix(spark, sf).where(F.col("feature") < f"hsa.f{features:02d}")
+def split_matrix(spark, sf):
+    long = fx.feature_matrix(spark, sf)
     return long.join(expression.stratified_split(long.select("sample_id", "class").distinct()).select("sample_id", "mix"), "sample_id")
 
 
 @query("step_aic")
 def step_aic(spark, sf):
-    return wrappers.backward_logit(fx.feature_matrix(spark, sf).where("feature < 'hsa.f12'"))
+    return wrappers.backward_logit(fx.feature_matrix(spark, sf))
 
 
 @query("stepwise_p")
 def stepwise_p(spark, sf):
-    return wrappers.backward_logit(fx.feature_matrix(spark, sf).where("feature < 'hsa.f12'"), "p")
+    return wrappers.backward_logit(fx.feature_matrix(spark, sf), "p")
 
 
 @query("boruta")
@@ -220,4 +220,4 @@ def feature_clusters(spark, sf):
 
 @query("network_grid")
 def network_grid(spark, sf):
-    return wrappers.network_grid(split_matrix(spark, sf, 12), [[3], [5], [5, 3]])
+    return wrappers.network_grid(split_matrix(spark, sf), [[3], [5], [5, 3]])

@@ -86,3 +86,12 @@ def test_table_operations_with_nulls(spark):
     one = spark.createDataFrame([(1, "Case", "a", 1.0), (1, "Case", "b", 2.0)], "sample_id int, class string, feature string, value double")
     assert tables.fisher_pairs(one).first().criterion is None
     assert tables.fisher_pairs(one.limit(0)).count() == 0
+
+
+def test_fitted_queries_see_every_feature(spark, monkeypatch):
+    from helixmill.plans import transforms
+
+    seen = lambda long, *_: long.select("feature").distinct().count()
+    monkeypatch.setattr(wrappers, "backward_logit", seen)
+    monkeypatch.setattr(wrappers, "network_grid", seen)
+    assert [q(spark, "/root/testdata/sf0.001") for q in (transforms.step_aic, transforms.stepwise_p, transforms.network_grid)] == [64, 64, 64]
