@@ -4,10 +4,10 @@ Rows with the same ``link`` key are linked with each other. Law ``rows``: every
 
 1. Rows get an exactly even start: their rank (in hashed buckets, with a prefix sum over buckets) modulo the number of shards.
 2. Linked rows of a group that share a shard are interchangeable, so labels are propagated on cells (group, shard, rows): at most one per group and shard, however large a group is.
-3. Each round a group is drawn to the shard with most of its rows among those with more than slight room, and its cells in other shards with room move there, as far as the quota allows: a shard takes at most its capacity less the linked rows it holds; if more want in, each cell moves the same part. So no shard is ever over capacity.
+3. Each round a group is drawn to the shard with most of its rows, among those with more than slight room if it has any, and its other cells move there; only those of a group larger than a shard stay in shards that are full. From one shard to another go as many rows as come back, and more while there is room: whole cells in hashed order, by prefix sums, and a part of the last. So no shard is ever over capacity.
 4. After the rounds linked rows take their group's places in order of rank (ranks in salted parts of a group, with prefix sums), and rows without links fill what is left, again by rank.
 
-Moves only go into room that a shard has, never by exchange: where nearly all rows are linked there is little room, and groups stay cut. Cut links are pairs of linked rows in two shards; a group larger than a shard is cut, by as few shards as its rounds allow.
+Cut links are pairs of linked rows in two shards; a group larger than a shard is cut, by as few shards as its rounds allow.
 
 Defined cases: null link keys link nothing; repeated rows are rows like others; null ids are ranked too; an empty table gives an empty result. Only the named columns are read. Rounds end when nothing moves. The driver holds one number a shard.
 """
@@ -40,26 +40,37 @@ def propagate(cells: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> Da
     limits = spark.createDataFrame(list(enumerate(capacity)), "s int, cap bigint")  # a row a shard
     path = common.new_path(spark, "cells")
     now = common.stage(cells, "cells", path)
-    for _ in range(rounds):
+    for i in range(rounds):
         load = now.groupBy("s").agg(F.sum("n").alias("load"))
-        room = F.broadcast(limits.join(F.broadcast(load), "s", "left").select("s", (F.col("cap") - F.coalesce("load", F.lit(0))).alias("room"), (F.col("cap") / 32).alias("slight")))
-        open_ = now.join(room, "s").where("room > slight")  # a shard with next to no room would hold up its groups
-        target = open_.groupBy("g").agg(F.max(F.struct("n", F.xxhash64("g", "s").alias("tie"), "s")).alias("t")).select("g", F.col("t.s").alias("t"))
-        movers = open_.join(target, "g").where("s <> t").select("g", "s", "t", "n")
-        wanted = movers.groupBy("t").agg(F.sum("n").alias("wanted"))
-        share = F.broadcast(wanted.join(room.withColumnRenamed("s", "t"), "t").select("t", "room", "wanted"))
-        # whole cells while they fit; else the same part of each
-        k = F.when(F.col("wanted") <= F.col("room"), F.col("n")).otherwise(F.floor(F.col("n") * F.col("room") / F.col("wanted"))).cast("bigint")
-        moves = movers.join(share, "t").select("g", "s", "t", k.alias("k")).where("k > 0")
+        room = limits.join(F.broadcast(load), "s", "left").select("s", "cap", (F.col("cap") - F.coalesce("load", F.lit(0))).alias("room"))
+        # a shard with next to no room would hold up its groups: it is a target only of groups that have no other
+        seen = now.join(F.broadcast(room.withColumn("open", F.col("room") > F.col("cap") / 32)), "s")
+        target = seen.groupBy("g").agg(F.sum("n").alias("size"), F.max(F.struct("open", "n", F.xxhash64("g", "s", F.lit(i)).alias("tie"), F.col("s").alias("t"), "cap")).alias("to")).select("g", "size", F.col("to.t").alias("t"), F.col("to.cap").alias("most"))
+        movers = seen.join(target, "g").where("s <> t and (open or size <= most)").select("g", "s", "t", "n", F.pmod(F.xxhash64("g", "s"), F.lit(BUCKETS // 4)).cast("int").alias("_b"))
+        sizes = common.stage(movers.groupBy("s", "t", "_b").agg(F.sum("n").alias("n")), "wanted", wanted_path := common.new_path(spark, "wanted"))
+        # rows admitted from s to t: what both exchange, and a part of t's room; at most a row for two shards
+        flows = sizes.groupBy("s", "t").agg(F.sum("n").alias("wanted"))
+        back = flows.select(F.col("s").alias("t"), F.col("t").alias("s"), F.col("wanted").alias("back"))
+        earlier = Window.partitionBy("t").orderBy(F.xxhash64("s", "t"), "s").rowsBetween(Window.unboundedPreceding, -1)
+        flows = flows.join(back, ["s", "t"], "left").withColumn("swap", F.least("wanted", F.coalesce("back", F.lit(0)))).withColumn("rest", F.col("wanted") - F.col("swap"))
+        flows = flows.join(room.select(F.col("s").alias("t"), "room"), "t").withColumn("left", F.greatest(F.col("room") - F.coalesce(F.sum("rest").over(earlier), F.lit(0)), F.lit(0)))
+        admitted = flows.select("s", "t", (F.col("swap") + F.least("rest", "left")).alias("admitted"))
+        # whole cells in hashed order while they fit, and a part of the last
+        before = Window.partitionBy("s", "t").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        bases = sizes.select("s", "t", "_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).join(F.broadcast(admitted), ["s", "t"])  # a row for two shards and a bucket
+        within = Window.partitionBy("s", "t", "_b").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+        placed = movers.withColumn("_p", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(bases), ["s", "t", "_b"])
+        k = F.least("n", F.col("admitted") - F.col("base") - F.col("_p"))
+        moves = placed.select("g", "s", "t", k.alias("k")).where("k > 0")
         step_path = common.new_path(spark, "moves")
         step = common.stage(moves, "moves", step_path)
         if not step.limit(1).count():
-            common.remove(spark, step_path)
+            common.remove(spark, step_path, wanted_path)
             break
         delta = step.select("g", "s", (-F.col("k")).alias("n")).union(step.select("g", F.col("t").alias("s"), F.col("k").alias("n")))
         new_path = common.new_path(spark, "cells")
         new = common.stage(now.union(delta).groupBy("g", "s").agg(F.sum("n").alias("n")).where("n > 0"), "cells", new_path)
-        common.remove(spark, path, step_path)
+        common.remove(spark, path, step_path, wanted_path)
         now, path = new, new_path
     return now
 

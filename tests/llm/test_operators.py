@@ -324,3 +324,14 @@ def test_bounds_never_exceed_the_distance():
         x, y = (near_duplicates.mix(np.array(v, "u8")) for v in (a, b))
         bins = np.stack([np.frombuffer(near_duplicates.bins_of(v), "u1") for v in (x, y)])
         assert near_duplicates.far_apart(bins[0], bins[1:])[0] <= near_duplicates.banded_distance(x, y, 200)
+
+
+@pytest.mark.parametrize(("size", "part"), [(2, 0.8), (3, 0.7), (8, 0.7), (2, 1.0)])
+def test_sharding_keeps_small_groups_whole(spark, size, part):
+    n = 4_800
+    table = spark.range(n).select("id", F.when(F.col("id") < int(n * part), F.concat(F.lit("g"), F.floor(F.col("id") / size).cast("string"))).alias("link"))
+    got = sharding.shard_rows(table, 16, keep=("link",)).persist()
+    cut = got.where("link is not null").groupBy("link").agg(F.countDistinct("shard").alias("c")).agg(F.avg((F.col("c") > 1).cast("int"))).first()[0]
+    print("cut share", size, part, cut)
+    assert {r.n for r in got.groupBy("shard").agg(F.count("*").alias("n")).collect()} == {n // 16}
+    assert cut <= 0.05
