@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from helixmill.operators import evaluation
 
-#: Rows whose distances one task computes; larger minorities are searched in blocks of about this size.
+#: Rows whose distances one task computes; larger minorities are searched block by block of about this size.
 BLOCK = 4096
 
 
@@ -28,21 +28,31 @@ def class_sizes(long: DataFrame) -> dict[str, int]:
 
 
 def nearest(samples: DataFrame, k: int, blocks: int) -> DataFrame:
-    """(sample_id, near) with the ids of the ``k`` nearest other samples, by Euclidean distance, ties to the smaller id. Samples are (sample_id, x array). With more than one block, neighbours are the nearest within a random block."""
+    """(sample_id, near) with the ids of the ``k`` nearest other samples, by Euclidean distance, ties to the smaller id. Samples are (sample_id, x array). With more than one block, each task holds one block against another, and the nearest of all are merged."""
 
-    def search(block: pd.DataFrame) -> pd.DataFrame:
+    def search(key, block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("sample_id")
-        ids, x = block["sample_id"].to_numpy(), np.stack(block["x"].to_numpy())
-        near = []
-        for i in range(len(ids)):
-            d = ((x - x[i]) ** 2).sum(axis=1)
-            d[i] = np.inf
-            near.append(ids[np.argsort(d, kind="stable")[: min(k, len(ids) - 1)]].tolist())
-        return pd.DataFrame({"sample_id": ids, "near": near})
+        asked = block[block["block"] == key[0]]
+        held = block[block["block"] == key[1]]
+        if not len(asked) or not len(held):
+            return pd.DataFrame({"sample_id": asked["sample_id"][:0], "d": [], "other": asked["sample_id"][:0]})
+        ids, x = held["sample_id"].to_numpy(), np.stack(held["x"].to_numpy())
+        out = []
+        for i, y in zip(asked["sample_id"].to_numpy(), asked["x"], strict=True):
+            d = ((x - y) ** 2).sum(axis=1)
+            d[ids == i] = np.inf
+            best = [j for j in np.argsort(d, kind="stable")[:k] if ids[j] != i]
+            out.append(pd.DataFrame({"sample_id": i, "d": d[best], "other": ids[best]}))
+        return pd.concat(out)
 
     kind = samples.schema["sample_id"].dataType.simpleString()
-    dealt = samples.withColumn("block", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInPandas(search, f"sample_id {kind}, near array<{kind}>")
+    dealt = samples.withColumn("block", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    cells = F.array_distinct(F.concat(F.transform(every, lambda b: F.struct(F.col("block").alias("i"), b.alias("j"))), F.transform(every, lambda b: F.struct(b.alias("i"), F.col("block").alias("j")))))
+    met = dealt.withColumn("cell", F.explode(cells)).select("sample_id", "x", "block", "cell.i", "cell.j")
+    found = met.groupBy("i", "j").applyInPandas(search, f"sample_id {kind}, d double, other {kind}")
+    near = found.groupBy("sample_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k), lambda s: s["other"]).alias("near"))
+    return samples.select("sample_id").join(near, "sample_id", "left").select("sample_id", F.coalesce("near", F.array().cast(f"array<{kind}>")).alias("near"))
 
 
 def smote(long: DataFrame, k: int = 5, seed: int = 1, each: int | None = None) -> DataFrame:

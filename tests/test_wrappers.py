@@ -95,3 +95,14 @@ def test_fitted_queries_see_every_feature(spark, monkeypatch):
     monkeypatch.setattr(wrappers, "backward_logit", seen)
     monkeypatch.setattr(wrappers, "network_grid", seen)
     assert [q(spark, "/root/testdata/sf0.001") for q in (transforms.step_aic, transforms.stepwise_p, transforms.network_grid)] == [64, 64, 64]
+
+
+def test_nearest_is_the_same_in_any_number_of_blocks(spark):
+    from helixmill.operators import transforms
+
+    rows = [(i, [float(i * 37 % 101), float(i * 53 % 89)]) for i in range(120)]
+    table = spark.createDataFrame(rows, "sample_id bigint, x array<double>")
+    want = {i: [j for _, j in sorted((sum((a - b) ** 2 for a, b in zip(x, y, strict=True)), j) for j, y in rows if j != i)[:5]] for i, x in rows}
+    for blocks in (1, 4):
+        assert {r.sample_id: r.near for r in transforms.nearest(table, 5, blocks).collect()} == want
+    assert [r.near for r in transforms.nearest(table.limit(1), 5, 3).collect()] == [[]]
