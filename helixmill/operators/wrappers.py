@@ -68,8 +68,8 @@ def boruta(long: DataFrame, rounds: int = 12, trees: int = 30, level: float = 0.
     return long.sparkSession.createDataFrame([(f, int(h), told(int(h))) for f, h in zip(names, hits, strict=True)], "feature string, hits int, decision string")
 
 
-def forward_wrapper(long: DataFrame, fold, k: int = 3, candidates: int = 5, folds: int = 3) -> DataFrame:
-    """(rank, feature, accuracy): features added one by one while the cross-validated accuracy of a decision tree grows, from the ``candidates`` that correlate most with the class. ``fold`` is a Column of sample_id, 0 to ``folds`` - 1."""
+def forward_wrapper(long: DataFrame, fold, k: int = 3, candidates: int | None = None, folds: int = 3) -> DataFrame:
+    """(rank, feature, accuracy): features added one by one while the cross-validated accuracy of a decision tree grows, each step trying every open feature (or only the ``candidates`` that correlate most with the class, if given); ties go to the larger correlation. ``fold`` is a Column of sample_id, 0 to ``folds`` - 1."""
     data, names = models.vectors(long)
     data = data.withColumn("f", fold).persist()
     r = abs(np.nan_to_num(Correlation.corr(data.select(array_to_vector(F.concat(vector_to_array("x"), F.array("label"))).alias("x")), "x").first()[0].toArray()))[:-1, -1]
@@ -85,12 +85,11 @@ def forward_wrapper(long: DataFrame, fold, k: int = 3, candidates: int = 5, fold
 
     n, chosen, rows = data.count(), [], []
     while open_ and len(chosen) < k:
-        best, i = max((accuracy([*chosen, i]), -i) for i in open_)
+        best, at = max((accuracy([*chosen, i]), -at) for at, i in enumerate(open_))
         if rows and best <= rows[-1][2]:
             break
-        chosen.append(-i)
-        open_.remove(-i)
-        rows.append((len(chosen), names[-i], float(best)))
+        chosen.append(open_.pop(-at))
+        rows.append((len(chosen), names[chosen[-1]], float(best)))
     data.unpersist()
     return long.sparkSession.createDataFrame(rows, "rank int, feature string, accuracy double")
 

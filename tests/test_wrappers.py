@@ -106,3 +106,14 @@ def test_nearest_is_the_same_in_any_number_of_blocks(spark):
     for blocks in (1, 4):
         assert {r.sample_id: r.near for r in transforms.nearest(table, 5, blocks).collect()} == want
     assert [r.near for r in transforms.nearest(table.limit(1), 5, 3).collect()] == [[]]
+
+
+def test_forward_wrapper_tries_features_of_no_correlation(spark):
+    """What tells is the size of a feature without correlation with the class; six others correlate a little."""
+    rows = []
+    for i in range(72):
+        case, sign = i % 3 == 0, 1 if i // 6 % 2 else -1
+        rows += [(i, "Case" if case else "Control", f"hsa.{j}", float(x)) for j, x in enumerate([*[(i * (2 * j + 3)) % 17 + case for j in range(6)], sign * (3 if case else 1)])]
+    table = spark.createDataFrame(rows, "sample_id bigint, class string, feature string, value double")
+    got = wrappers.forward_wrapper(table, F.col("sample_id") % 4 % 2, 1, folds=2).first()
+    assert got.feature == "hsa.6" and got.accuracy == 1.0
