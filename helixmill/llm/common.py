@@ -1,26 +1,33 @@
-"""Helpers that the operators of this subpackage share: the shared folder, stage tables, and files outside Spark's writers."""
+"""Helpers that the operators of this subpackage share: the shared folder, stage tables, files outside Spark's writers, what a Python worker keeps, and columns worked out from texts."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
+#: Bytes of a column's values that are turned into Python objects at a time.
+SLICE_BYTES = 4_000_000
+_STAGES: list[str] = []
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session has none (tests on one machine) a temporary folder is made and set.
+    Only where the session has none and runs on one machine (tests) a temporary folder is made; a cluster has to name one.
     """
-    found = spark.conf.get(CHECKPOINT, None)
+    found = spark.conf.get(CHECKPOINT, None) or _OWN.get(spark.sparkContext.applicationId)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set(CHECKPOINT, found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT} names no folder that driver and executors share")
+        found = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return system.makeQualified(path).toString().rstrip("/")  # a bare path means the cluster's default file system
@@ -35,10 +42,21 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
+    _STAGES.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes at the end the stage tables that were written inside. For callers who have used up or written what operators returned inside, as those results still read them."""
+    begin = len(_STAGES)
+    try:
+        yield
+    finally:
+        remove(spark, *_STAGES[begin:])
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete stage tables that no later plan reads."""
     jvm = spark.sparkContext._jvm
@@ -47,6 +65,8 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p = jvm.org.apache.hadoop.fs.Path(path)
         with suppress(Exception):  # left files cost disk, nothing else
             p.getFileSystem(conf).delete(p, True)
+        with suppress(ValueError):
+            _STAGES.remove(path)
 
 
 def local_path(path: str) -> str | None:
@@ -77,3 +97,85 @@ def write_whole(path: str, chunks) -> int:
             n += len(chunk)
     system.move(temp, at)
     return n
+
+
+class Cache(dict):
+    """What a worker keeps of costly values, up to about ``limit`` bytes; a full cache is emptied and starts with its seed again. ``of(key)`` gives a value and its cost in bytes (None: not to be kept)."""
+
+    def __init__(self, limit: int, seed: dict | None = None):
+        super().__init__(seed or {})
+        self.limit, self.seed, self.held = limit, seed or {}, 0
+
+    def of(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value, cost = self.of(key)
+        if cost is None:
+            return value
+        if self.held > self.limit:
+            self.clear()
+            self.update(self.seed)
+            self.held = 0
+        self.held += cost
+        self[key] = value
+        return value
+
+
+_STATE: dict = {}
+
+
+def worker_state(key, make):
+    """The worker's state of one operator. That of another one is given up first, so that a worker that lives through many operators holds one's at a time."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def slices(batches, column: int | str, most: int = SLICE_BYTES):
+    """The record batches in slices whose strings or binaries of ``column`` have about ``most`` bytes, or one row."""
+    for batch in batches:
+        n, at = batch.num_rows, 0
+        while at < n:
+            rows = n - at
+            while rows > 1 and batch.column(column).slice(at, rows).nbytes > most:
+                rows = -(-rows // 2)
+            yield batch.slice(at, rows)
+            at += rows
+        if not n:
+            yield batch
+
+
+def apart(keep: tuple[str, ...], outputs) -> list[str]:
+    """Names for kept columns that clash neither with outputs nor with each other, in any case: ``<name>_kept`` where they would."""
+    taken, names = {x.lower() for x in outputs}, []
+    for name in keep:
+        while name.lower() in taken:
+            name += "_kept"
+        taken.add(name.lower())
+        names.append(name)
+    return names
+
+
+def text_columns(docs: DataFrame, text_col: str, keep: tuple[str, ...], outputs: dict[str, tuple[str, pa.DataType]], of) -> DataFrame:
+    """Per row the columns of ``keep`` and those of ``outputs`` (name to Spark's and Arrow's type), which ``of()``, called once a task, works out: a function from texts to a list of values for each output.
+
+    Kept columns are named by ``apart``. The text crosses to Python once, and back only if it is kept.
+    """
+    names = apart(keep, outputs)
+    lower = [x.lower() for x in keep]
+    at = lower.index(text_col.lower()) if text_col.lower() in lower else len(keep)
+    slim = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], *([F.col(text_col).alias("text")] if at == len(keep) else []))
+    kinds = [kind for _, kind in outputs.values()]
+
+    def run(batches):
+        worker_state(tuple(outputs), dict)  # gives up what other operators keep
+        work = of()
+        for batch in slices(batches, at):
+            found = work(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(x, kind) for x, kind in zip(found, kinds, strict=True))], [*(f"c{i}" for i in range(len(names))), *outputs])
+
+    ddl = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[: len(names)]), *(f"{k} {kind}" for k, (kind, _) in outputs.items())])
+    out = slim.mapInArrow(run, ddl)
+    return out.toDF(*names, *outputs)

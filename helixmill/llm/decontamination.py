@@ -4,7 +4,7 @@ A passage of a document that matches a benchmark item of m characters with at mo
 
 Texts are compared in lower case, with every run of other characters than letters and digits as one space. The budget is ``edits`` of an item's characters, or less where the lemma would demand no q-gram.
 
-Defined cases: null and empty texts match nothing; items that are null or have under ``min_chars`` characters are no evidence and match nothing; equal items match each on their own; repeated rows give one row each. Only the named columns are read. Items are held in blocks of at most ``BLOCK_CHARS`` characters, each broadcast on its own and its matches added in turn, so that a benchmark of any size is bounded in memory.
+Defined cases: null and empty texts match nothing; items that are null or have no letter or digit match nothing; items of under ``min_chars`` characters match without edits, as whole words; an item matches as a whole only; equal items match each on their own; repeated rows give one row each; a kept column named as an output is named ``<name>_kept``. Only the named columns are read. Items are held in blocks of at most ``BLOCK_CHARS`` characters, each broadcast on its own and its matches added in turn (a written table a block, if there are several), so that a benchmark of any size is bounded in memory.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q, EDITS, MIN_CHARS, BLOCK_CHARS = 8, 0.08, 32, 8_000_000
+from helixmill.llm import common
+
+Q, EDITS, MIN_CHARS, BLOCK_CHARS, PLACES = 8, 0.08, 32, 2_000_000, 2_000_000
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,16 +55,20 @@ class Index:
     texts: list[str]
     budget: np.ndarray
     least: np.ndarray
+    short: list[tuple]  # (item id, its words between spaces) of items that are too short for q-grams
     keys: np.ndarray  # distinct q-grams, sorted
     first: np.ndarray  # where each one's places begin
-    place_item: np.ndarray
+    place_item: np.ndarray  # ascending within a q-gram
     place_at: np.ndarray
+    place_key: np.ndarray  # q-gram's number * items + item, ascending
     quick: np.ndarray  # by the top 20 bits of a q-gram: may it be there?
 
 
 def build(items: list[tuple], edits: float = EDITS, min_chars: int = MIN_CHARS) -> Index:
     """An index of (item id, text)."""
-    kept = [(i, c) for i, t in items if t and len(c := codes(normal(t))) >= max(min_chars, Q + 1)]
+    plain = [(i, normal(t)) for i, t in items if t]
+    kept = [(i, codes(t)) for i, t in plain if len(t) >= max(min_chars, Q + 1)]
+    short = [(i, f" {t} ") for i, t in plain if 0 < len(t) < max(min_chars, Q + 1)]
     size = np.array([len(c) for _, c in kept], "i8")
     budget = np.minimum(np.floor(edits * size), (size - Q) // Q).astype("i8")
     hashes = [grams(c) for _, c in kept]
@@ -70,10 +76,10 @@ def build(items: list[tuple], edits: float = EDITS, min_chars: int = MIN_CHARS)
     item = np.repeat(np.arange(len(kept)), [len(x) for x in hashes])
     at = np.concatenate([np.arange(len(x)) for x in hashes]) if hashes else np.zeros(0, "i8")
     order = np.argsort(h, kind="stable")
-    keys, first = np.unique(h[order], return_index=True)
+    keys, first, slot = np.unique(h[order], return_index=True, return_inverse=True)
     quick = np.zeros(1 << 20, bool)
     quick[(keys >> np.uint64(44)).astype("i8")] = True
-    return Index([i for i, _ in kept], [c for _, c in kept], [c.tobytes().decode("utf-32-le", "surrogatepass") for _, c in kept], budget, size - Q + 1 - budget * Q, keys, np.append(first, len(h)), item[order], at[order], quick)
+    return Index([i for i, _ in kept], [c for _, c in kept], [c.tobytes().decode("utf-32-le", "surrogatepass") for _, c in kept], budget, size - Q + 1 - budget * Q, short, keys, np.append(first, len(h)), item[order], at[order], slot * len(kept) + item[order], quick)
 
 
 def candidates(c: np.ndarray, index: Index) -> list[tuple[int, int]]:
@@ -88,12 +94,27 @@ def candidates(c: np.ndarray, index: Index) -> list[tuple[int, int]]:
     here, slot = here[true], slot[true]
     if not len(here):
         return []
-    n = index.first[slot + 1] - index.first[slot]
-    place = np.repeat(index.first[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+    found: list[tuple[int, int]] = []
+    todo = [(0, len(index.items))]
+    while todo:  # slices of items, halved until their shared q-grams have at most ``PLACES`` places or the item is one
+        i, j = todo.pop()
+        low, high = (np.searchsorted(index.place_key, slot * len(index.items) + x) for x in (i, j))
+        if int((high - low).sum()) > PLACES and j - i > 1:
+            todo += [((i + j) // 2, j), (i, (i + j) // 2)]
+        else:
+            found += _dense(here, low, high - low, len(c), index)
+    return found
+
+
+def _dense(here: np.ndarray, low: np.ndarray, n: np.ndarray, size: int, index: Index) -> list[tuple[int, int]]:
+    """(item, band) of the regions that share enough q-grams, from the q-grams at ``here`` with ``n`` places from ``low`` each."""
+    if not n.sum():
+        return []
+    place = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
     item, at = index.place_item[place], index.place_at[place]
     step = index.budget[item] + 1
     longest = max(len(x) for x in index.items)
-    bands = len(c) + longest + 2
+    bands = size + longest + 2
     band = (np.repeat(here, n) - at + longest) // step
     key = np.concatenate([item * bands + band, item * bands + band - 1])
     # an item's q-gram counts once a band
@@ -148,7 +169,13 @@ def matches(text: str | None, index: Index) -> list[tuple]:
             if near is None or found[near][0] > distance:
                 found.pop(near, None)
                 found[(item, end)] = (distance, start)
-    if not found:
+    exact_only = []
+    for i, words in index.short:
+        at = f" {plain} ".find(words)
+        while at >= 0:
+            exact_only.append((i, at, at + len(words) - 2, 0))
+            at = f" {plain} ".find(words, at + 1)
+    if not found and not exact_only:
         return []
     spans, at, starts = [], 0, []
     for m in _WORD.finditer(text.lower()):
@@ -161,7 +188,8 @@ def matches(text: str | None, index: Index) -> list[tuple]:
         w = int(np.searchsorted(starts, x, "right")) - 1
         return min(spans[w][0] + x - int(starts[w]), spans[w][1])
 
-    return sorted((index.ids[item], place(start), place(end - 1) + 1, distance) for (item, end), (distance, start) in found.items())
+    every = [(index.ids[item], start, end, distance) for (item, end), (distance, start) in found.items()] + exact_only
+    return sorted((i, place(start), place(end - 1) + 1, distance) for i, start, end, distance in every)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -171,21 +199,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_CHARS) or 1
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("distance", pa.int32())]))
-    ddl = "array<struct<item_id: bigint, start: int, end: int, distance: int>>"
-    names = [id_col, *keep]
-    out = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col(text_col).alias("text"), F.array().cast(ddl).alias("matches"))
+    fields = ("item_id", "start", "end", "distance")
 
-    def add(held):
-        def run(batches):
-            for batch in batches:
-                before = batch.column(batch.num_columns - 1).to_pylist()
-                got = [[*b, *({"item_id": i, "start": s, "end": e, "distance": d} for i, s, e, d in matches(t, held.value))] for t, b in zip(batch.column(batch.num_columns - 2).to_pylist(), before, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, kind)], batch.schema.names)
+    def finder(held):
+        def work(texts):
+            found = [[dict(zip(fields, m, strict=True)) for m in matches(t, held.value)] for t in texts]
+            return [bool(x) for x in found], found
 
-        return run
+        return lambda: work
 
+    names, out = (id_col, *keep), docs
+    outputs = {"contaminated": ("boolean", pa.bool_()), "matches": ("array<struct<item_id: bigint, start: int, end: int, distance: int>>", kind)}
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # about BLOCK_CHARS characters
         held = spark.sparkContext.broadcast(build([tuple(r) for r in block], edits, min_chars))
-        out = out.mapInArrow(add(held), out.schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], (F.size("matches") > 0).alias("contaminated"), "matches")
+        if blocks == 1:
+            return common.text_columns(docs, text_col, names, outputs, finder(held))
+        if b == 0:  # columns by position, so that no name clashes from block to block
+            out = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)], F.col(text_col).alias("body"), F.lit(False).alias("hit"), F.array().cast(outputs["matches"][0]).alias("all"))
+        more = common.text_columns(out, "body", tuple(out.columns), outputs, finder(held))
+        # a written table a block: one index at a time is in a worker's memory
+        out = common.stage(more.withColumns({"hit": F.col("hit") | F.col("contaminated"), "all": F.concat("all", "matches")}).select(out.columns), "matched")
+    kept = out.select(*[F.col(f"k{i}") for i in range(len(names))], F.col("hit"), F.array_sort("all"))
+    return kept.toDF(*common.apart(names, outputs), *outputs)

@@ -2,9 +2,9 @@
 
 Every language has a raw-content zstandard dictionary of its own text. A text's words, in lower case and without digits and marks, are cut into blocks of ``BLOCK`` bytes, each block is compressed with every dictionary, and the language with the smallest sum wins: the dictionary that shares most with the text makes it shortest. Blocks keep a long text from becoming its own dictionary. The margin is the second-smallest size less the smallest, as a part of the smallest; a text whose margin is below ``min_margin`` is rejected, and so is one without letters.
 
-The dictionaries are fitted on a bounded sample of labelled rows: rows are drawn by a hash of id and text at a rate that gives about ``sample_rows`` a language, repeated texts are taken once, and in order of that hash whole texts fill ``dictionary_bytes`` a language. Everything else covers all rows and whole texts.
+The dictionaries are fitted on a bounded sample of labelled rows: rows are drawn by a hash of the id at a rate that gives about ``sample_rows`` a language, repeated texts are taken once, and in order of a hash of the text they fill ``dictionary_bytes`` a language, the last of them up to where the dictionary is full. Everything else covers all rows and whole texts.
 
-Defined cases: a null text, and one without a letter, is ``und`` with score 0 and not accepted; rows without a language teach nothing; ties go to the language that sorts first; with no labelled rows every text is ``und``; with one language its margin is 1. Only the named columns are read.
+Defined cases: a null text, and one without a letter, is ``und`` with score 0 and not accepted; rows without a language teach nothing; ties go to the language that sorts first; with no labelled rows every text is ``und``; with one language its margin is 1; a kept column named as an output is named ``<name>_kept``. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.llm import common
+
 UNKNOWN, BLOCK, LEVEL = "und", 1_024, 3
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -46,7 +48,7 @@ class Model:
         return self._ready
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 400, dictionary_bytes: int = 112_640, min_margin: float = 0.002) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 1_600, dictionary_bytes: int = 112_640, min_margin: float = 0.002) -> Model:
     """A dictionary for every value of ``lang_col``. The driver gets at most ``dictionary_bytes`` a language."""
     rows = labelled.select(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null and text <> ''")
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
@@ -54,7 +56,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         return Model({}, min_margin)
     rate = F.lit(1.0)
     for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, 4 * sample_rows / n))).otherwise(rate)
+        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_rows / n))).otherwise(rate)
     drawn = rows.where((F.col("h").bitwiseAND(F.lit(0x7FFFFFFF)) / F.lit(float(1 << 31))) < rate)
     once = drawn.groupBy("lang", F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"))
     size = dictionary_bytes
@@ -98,15 +100,10 @@ def classify(text: str | None, model: Model) -> tuple[str, float, float, bool]:
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: its id, the columns of ``keep``, lang_pred, score (0 to 1), margin and accepted."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = [id_col, *keep]
-
-    def run(batches):
-        for batch in batches:
-            found = [classify(t, held.value) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*(f"c{i}" for i in range(len(names))), "lang_pred", "score", "margin", "accepted"])
-
-    slim = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col(text_col).alias("text"))
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    out = slim.mapInArrow(run, f"{ddl}, lang_pred string, score double, margin double, accepted boolean")
-    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(names)})
+
+    def of():
+        m = held.value
+        return lambda texts: zip(*(classify(t, m) for t in texts), strict=True) if texts else ((),) * 4
+
+    outputs = {"lang_pred": ("string", pa.string()), "score": ("double", pa.float64()), "margin": ("double", pa.float64()), "accepted": ("boolean", pa.bool_())}
+    return common.text_columns(docs, text_col, (id_col, *keep), outputs, of)

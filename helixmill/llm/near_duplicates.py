@@ -1,18 +1,18 @@
 """Near-duplicate classes by Order MinHash.
 
 1. Equal texts are one node (keyed by a 64-bit hash of md5 and length).
-2. A text's words (lower case, letters and digits) give its k-mers of ``k`` words, labelled by occurrence. For each of ``m`` hash functions the ``l`` smallest labelled k-mers are taken and put back in text order; their hash is one sketch. Texts of high edit similarity agree in many sketches, and word order counts.
-3. Nodes with an equal sketch meet their bucket's leader (its smallest node), and those with two equal sketches in a row meet the leader of that finer bucket. Leaders are found by aggregation, so this pass gives as many pairs as buckets have members.
-4. Pairs are verified by banded alignment of their words: the edit distance within the band that the budget allows. A pair is linked if 1 - distance / longer length is at least ``similarity``.
+2. A text's words (lower case, letters and digits) give its k-mers of ``k`` words, labelled by occurrence. For each of ``m`` hash functions the ``l`` smallest labelled k-mers are taken and put back in text order; every two of them, in that order, are one sketch, l (l - 1) / 2 a function. Texts of high edit similarity agree in some sketch, and word order counts. (All l at once, as one sketch, would need several times as many functions for the same recall near the threshold.)
+3. Nodes with an equal sketch meet their bucket's leader (its smallest node). Leaders are found by aggregation, so this pass gives as many pairs as buckets have members.
+4. Pairs are verified by banded alignment of their words: the edit distance within the band that the budget allows. A pair is linked if 1 - distance / longer length is at least ``similarity``. A leader's text goes once to each part of its members.
 5. Classes are the connected components of the links, found by alternating large-star and small-star joins, each round a written table.
-6. Buckets whose other members are then in more than one class (a common passage, an unrelated leader) are searched whole, block against block, so that no task holds a bucket. Every pair of two classes is held against two lower bounds of the edit distance, by length and by word counts in ``BINS`` bins; what they leave is verified as well, and the classes are joined. So all texts that meet in a bucket and are similar are in one class.
+6. Buckets whose other members are then in more than one class (a common passage, an unrelated leader) are searched whole, block against block, so that no task holds a bucket. Every pair of two classes is held against two lower bounds of the edit distance, by length and by word counts in ``BINS`` bins; what they leave is verified as well, and the classes are joined. So all texts that meet in a bucket and are similar are in one class, and recall is that of the sketches (README: at least 0.9 at a similarity of 0.8, for random edits).
 
-Defined cases: null texts are in a class of their own document; equal texts are one class, empty ones too; texts without words are linked with equal texts only; texts of fewer than ``k`` words have one k-mer, the whole text; repeated rows give one row each. Documents with a null id have a class by text, whose id is that of its smallest non-null id, or null. Only the id and text columns are read.
+Defined cases: null texts are in a class of their own document; equal texts are one class, empty ones too; texts without words are linked with equal texts only; texts of fewer than ``k`` words have one k-mer, the whole text; repeated rows give one row each. Documents with a null id have a class by text, whose id is that of its smallest non-null id, or null. Only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.llm import common
-from helixmill.llm.toxicity import WORD
 
-K, L, M, SIMILARITY = 5, 2, 24, 0.8
+K, L, M, SIMILARITY = 5, 5, 8, 0.8
 SLOTS = 1 << 20
-BINS, BLOCK = 256, 1024
+#: Bins of word counts; nodes of a block; members that meet one copy of their leader's text; parts of a class.
+BINS, BLOCK, RUN, PARTS = 256, 1024, 64, 16
+SEEN = 200_000
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -36,27 +37,32 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    """Word to its 64-bit hash; kept by the worker, emptied when full."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= 400_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_HASHES = _Hashes()
+@lru_cache(maxsize=1)
+def _word_characters() -> np.ndarray:
+    """By code point: is it a letter or a digit?"""
+    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
 
 
 def words_of(text: str) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, WORD.findall(text.lower())), "u8")
+    """A 64-bit hash of each word, in order: a polynomial in its characters' codes, mixed with its length."""
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = _word_characters()[c]
+    edges = np.diff(np.concatenate([[0], inside.view("i1"), [0]]))
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if not len(starts):
+        return np.zeros(0, "u8")
+    size = ends - starts
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(size.max()), _GOLD))
+        code = c[inside].astype("u8") * _M1
+        code ^= code >> np.uint64(29)
+        sums = np.add.reduceat(code * powers[np.arange(len(code)) - np.repeat(first, size)], first)
+        return mix(sums + size.astype("u8") * _M2)
 
 
 def order_min_hash(words: np.ndarray, k: int = K, l: int = L, m: int = M) -> np.ndarray:  # noqa: E741
-    """The ``m`` sketches of a text's word hashes; none for a text without words."""
+    """The sketches of a text's word hashes; none for a text without words."""
     if not len(words):
         return np.zeros(0, "i8")
     k = min(k, len(words))
@@ -73,17 +79,16 @@ def order_min_hash(words: np.ndarray, k: int = K, l: int = L, m: int = M) -> np.
         occurrence[order] = (np.arange(n) - first).astype("u8")
         labelled = mix(mers + occurrence * _GOLD)
         seeds = mix(np.arange(1, m + 1, dtype="u8") * _GOLD)
-        out = np.empty(m, "u8")
+        p, q = np.triu_indices(min(l, n), 1) if n > 1 else (np.zeros(1, int), np.zeros(1, int))
+        out = []
         rows = max(1, (1 << 18) // n)  # functions at a time: a matrix of at most a quarter of a million values
         for i in range(0, m, rows):
             values = (labelled[None, :] ^ seeds[i : i + rows, None]) * _M1
             values ^= values >> np.uint64(32)
             at = np.sort(np.argpartition(values, l - 1, axis=1)[:, :l], axis=1) if n > l else np.tile(np.arange(n), (len(values), 1))
-            h = seeds[i : i + rows]
-            for x in labelled[at].T:
-                h = mix(h * _GOLD + x)
-            out[i : i + rows] = h
-    return out.view("i8")
+            x = labelled[at]
+            out.append(mix(mix(seeds[i : i + rows, None] * _GOLD + x[:, p]) * _GOLD + x[:, q]).ravel())
+    return np.unique(np.concatenate(out)).view("i8")
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, budget: int) -> int | None:
@@ -105,62 +110,39 @@ def banded_distance(a: np.ndarray, b: np.ndarray, budget: int) -> int | None:
     surplus = np.bincount(counts[:n], minlength=len(both)) - np.bincount(counts[n:], minlength=len(both))
     if max(int(surplus[surplus > 0].sum()), -int(surplus[surplus < 0].sum())) > budget:
         return None
-    few = min(budget, 40)
-    found = _furthest_reaching(a, b, few)
-    return found if found is not None or few == budget else _banded_rows(a, b, budget)
+    distance = _band(a.tolist(), b.tolist(), min(budget, max(n, m)))
+    return distance if distance <= budget else None
 
 
-def _furthest_reaching(a: np.ndarray, b: np.ndarray, budget: int) -> int | None:
-    n, m = len(a), len(b)
-    stops: dict[int, list[int]] = {}
-
-    def run(i: int, d: int) -> int:
-        at = stops.get(d)
-        if at is None:
-            lo, hi = max(0, -d), min(n, m - d)
-            at = stops[d] = [*(np.flatnonzero(a[lo:hi] != b[lo + d : hi + d]) + lo).tolist(), hi]
-        return at[min(bisect_left(at, i), len(at) - 1)]
-
-    reach = {0: run(0, 0)}
-    if m == n and reach[0] == n:
-        return 0
-    for e in range(1, budget + 1):
-        new = {}
-        for d in range(max(-e, -n), min(e, m) + 1):
-            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
-            i = min(i, n, m - d)
-            if i < max(0, -d):
-                continue
-            new[d] = run(i, d)
-            if d == m - n and new[d] >= n:
-                return e
-        reach = new
-    return None
-
-
-def _banded_rows(a: np.ndarray, b: np.ndarray, budget: int) -> int | None:
-    """The same by rows of a band around the main diagonal, for distances that are many."""
+def _band(a: list, b: list, k: int) -> int:
+    """Edit distance by the diagonals -k .. k, or a number over k; a row of the band is one pair of bit vectors of differences between neighbouring cells."""
+    if len(a) <= k:  # a common end changes no distance, and makes the band narrower than the table
+        end = [None] * (k + 1 - len(a))
+        a, b = a + end, b + end
     n, m = len(a), len(b)
-    width = 2 * budget + 1
-    steps = np.arange(width)
-    far = 1 << 30
-    row = np.where(steps >= budget, steps - budget, far)
-    padded = np.concatenate([np.zeros(budget, b.dtype), b, np.zeros(n + budget + 1, b.dtype)])
-    for i in range(1, n + 1):
-        # cell x of row i is column j = i + x - budget
-        j0 = i - budget
-        cost = padded[i - 1 : i - 1 + width] != a[i - 1]
-        best = np.minimum(row + cost, np.append(row[1:], far) + 1)
-        if j0 <= 0:
-            best[: -j0 + 1] = far
-            best[-j0] = i
-        if j0 + width - 1 > m:
-            best[m - j0 + 1 :] = far
-        row = np.minimum.accumulate(best - steps) + steps
-        if row.min() > budget:
-            return None
-    found = int(row[m - n + budget])
-    return found if found <= budget else None
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << (2 * k + 1)) - 1
+    up, down = full >> k << k, 0  # cells one more, and one less, than the cell above
+    score, most = k, 2 * k + m - n
+    get = places.get
+    for j, x in enumerate(b):
+        same = get(x, 0)
+        if same:
+            same = (same >> (j - k) if j >= k else same << (k - j)) & full
+        zero = (((same & up) + up) ^ up) | same | down
+        right, left = down | (full & ~(zero | up)), zero & up
+        if j < n - k:  # the score is that of the lowest diagonal
+            score += not zero >> (2 * k) & 1
+        else:  # then of the last row
+            at = n - 1 - j + k
+            score += (right >> at & 1) - (left >> at & 1)
+        if score > most:
+            return k + 1
+        low = (zero & full) >> 1
+        up, down = left | (full & ~(low | right)), low & right
+    return score
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -231,7 +213,7 @@ def among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, l: int = L, m: int = M, similarity: float = SIMILARITY) -> DataFrame:  # noqa: E741
-    """Per row: its id, class_id (the smallest id of its class), node (its text's key, null for a null text) and n_links (verified links of its text with other texts; of a class's pairs, those with bucket leaders and those that joined two classes are verified, so this is at most the number of similar texts)."""
+    """Per row: its id, class_id (the smallest id of its class) and node (its text's key, null for a null text)."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     made: list[str] = []
@@ -241,45 +223,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return common.stage(df, name, made[-1])
 
     def sketch(batches):
-        for batch in batches:
+        common.worker_state(("near-duplicates",), dict)
+        seen: set[int] = set()  # a text that the task has met before needs no second sketch
+        for batch in common.slices(batches, "text"):
             n, out, bins = [], [], []
-            for text in batch.column(2).to_pylist():
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if node in seen:
+                    n.append(None)
+                    bins.append(None)
+                    out.append(None)
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(node)
                 words = words_of(text)
                 n.append(len(words))
                 bins.append(bins_of(words))
                 out.append(order_min_hash(words, k, l, m))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array([x.tolist() for x in out], pa.list_(pa.int64())), pa.array(bins, pa.binary())], ["id", "node", "n_words", "sketch", "bins"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), pa.array(n, pa.int32()), pa.array(out, pa.list_(pa.int64())), pa.array(bins, pa.binary())], ["id", "node", "n_words", "sketch", "bins"])
 
     kind = slim.schema["id"].dataType.simpleString()
     keyed = slim.where("text is not null").select("id", node_of(F.col("text")).alias("node"), "text")
     rows = keyed.mapInArrow(sketch, f"id {kind}, node bigint, n_words int, sketch array<bigint>, bins binary")
-    nodes = keep(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.first("bins").alias("bins")), "nodes")
+    nodes = keep(rows.groupBy("node").agg(F.min("id").alias("rep"), *(F.first(x, ignorenulls=True).alias(x) for x in ("n_words", "sketch", "bins"))), "nodes")
 
-    # buckets: one sketch, and two sketches in a row
-    single = nodes.select("node", "n_words", F.posexplode("sketch").alias("i", "h"))
-    twice = nodes.where(F.size("sketch") == m).select("node", "n_words", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(m - 2)), lambda x: F.xxhash64(F.element_at("sketch", x + 1), F.element_at("sketch", x + 2)))).alias("i", "h"))
-    buckets = single.union(twice.select("node", "n_words", (F.col("i") + m).alias("i"), "h")).select("node", "n_words", F.xxhash64("i", "h").alias("bucket"))
+    buckets = nodes.select("node", "n_words", F.explode("sketch").alias("bucket"))
     leaders = keep(buckets.groupBy("bucket").agg(F.min(F.struct("node", "n_words")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", "n", F.col("lead.node").alias("leader"), F.col("lead.n_words").alias("lead_words")), "leaders")
     near = F.least("n_words", "lead_words") >= similarity * F.greatest("n_words", "lead_words") - 1e-9
     members = keep(buckets.join(leaders, "bucket").where("node <> leader"), "members")
     pairs = keep(members.where(near).select("node", "leader").distinct(), "pairs")
 
     def verify(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                ok.append(similar(words_of(x), words_of(y), similarity))
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["node", "leader"])
+        """Rows in order of (leader, part), the leader's own first."""
+        common.worker_state(("near-duplicates",), dict)
+        lead, words = None, None
+        for batch in common.slices(batches, "text"):
+            nodes, leaders = [], []
+            for leader, part, node, text in zip(*(batch.column(c).to_pylist() for c in ("leader", "part", "node", "text")), strict=True):
+                own = words_of(text)
+                if node == leader:
+                    lead, words = (leader, part), own
+                elif lead == (leader, part) and similar(own, words, similarity):
+                    nodes.append(node)
+                    leaders.append(leader)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(leaders, pa.int64())], ["node", "leader"])
 
     def linked_of(pairs: DataFrame) -> DataFrame:
+        # parts of a leader's members, and the leader itself once a part
+        parts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / RUN).cast("int").alias("parts"))
+        dealt = pairs.join(parts, "leader").select("leader", F.pmod(F.xxhash64("node", F.lit("part")), "parts").cast("int").alias("part"), "node")
+        met = dealt.union(parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("node")))
         # texts of the nodes that are in pairs, read again by their smallest id; a bitmap of these rows keeps most others out of the shuffle
-        wanted = keep(pairs.select(F.explode(F.array("node", "leader")).alias("node")).distinct().join(nodes.select("node", "rep"), "node"), "wanted")
+        wanted = keep(met.select("node").distinct().join(nodes.select("node", "rep"), "node"), "wanted")
         likely = among(keyed.withColumn("row", F.xxhash64("node", "id")), wanted.select(F.xxhash64("node", "rep").alias("row")), "row")
         found = likely.join(wanted.withColumnRenamed("node", "wanted"), (F.col("node") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
         texts = keep(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
-        paired = pairs.join(texts.withColumnRenamed("text", "x"), "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("y")), "leader").select("node", "leader", "x", "y")
-        return keep(paired.mapInArrow(verify, "node bigint, leader bigint"), "links")
+        runs = met.join(texts, "node").select("leader", "part", "node", "text").repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("node") != F.col("leader"))
+        return keep(runs.mapInArrow(verify, "node bigint, leader bigint"), "links")
 
     def across(batches):
         """Pairs (node, leader) of each run of equal (bucket, i, j); a run may go on in the next batch."""
@@ -329,14 +329,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crossing = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(across, "node bigint, leader bigint").distinct()
     rest = keep(crossing.join(pairs.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")), ["node", "leader"], "left_anti"), "pairs")
     if rest.limit(1).count():
-        more = linked_of(rest)
-        links = links.unionByName(more)
-        stars = components(stars.unionByName(edges_of(more)))
-
-    degree = links.select(F.explode(F.array("node", "leader")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    linked = nodes.select("node", "rep").join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
-    classes = keep(linked.join(roots, "root").join(degree, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    common.remove(spark, *(x for x in made if "classes-" not in x))
+        stars = components(stars.unionByName(edges_of(linked_of(rest))))
+
+    # the smallest id of a class; its members are dealt into parts, so that a large class is no key of one task
+    part = lambda node: F.pmod(F.xxhash64(node, F.lit("part")), F.lit(PARTS))
+    reps = nodes.select("node", "rep")
+    inside = stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()).join(reps, "node")
+    roots = inside.groupBy("root").agg(F.min("rep").alias("class_id")).select("root", "class_id", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    classed = inside.select("node", "root", part("node").alias("part")).join(roots, ["root", "part"]).select("node", "class_id")
+    classes = keep(reps.join(classed, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id")), "classes")
+    common.remove(spark, *(x for x in made if "/classes-" not in x))
     out = slim.select("id", F.when(F.col("text").isNotNull(), node_of(F.col("text"))).alias("node")).join(classes, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "node", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select(F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "node")

@@ -125,7 +125,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, t
         encode, width = tokens.encoder(tokenizer), tokens.id_width(tokenizer)
         end = b"" if end_id is None else int(end_id).to_bytes(width, "little")
         part, at = TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             sources = ["" if x is None else x for x in batch.column(2).to_pylist()]
             raw = [encode(x or "") + end for x in batch.column(1).to_pylist()]
             n = [len(x) // width for x in raw]
@@ -155,7 +155,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None, window: int = 2048
 
     def cut(batches):
         queues, levels = plan.value
-        for batch in batches:
+        for batch in common.slices(batches, "ids"):
             cols = {k: batch.column(k).to_pylist() for k in ("source", "at", "base", "n", "ids")}
             rows, parts = [], []
             crc, raws = [], []

@@ -66,9 +66,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
-    """Fitted on all labelled documents outside the held-out fold."""
-    labels = table(spark, sf_dir, "labels").where(fold() != HELD_OUT).select("doc_id", F.col("toxic").alias("label"))
-    return toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    """Fitted on labelled documents outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").where(fold() != HELD_OUT)
+    with common.scratch(spark):
+        return toxicity.fit(toxicity.labelled_rows(table(spark, sf_dir, "documents"), labels))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of each document."""
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

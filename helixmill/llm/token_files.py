@@ -39,7 +39,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None, path:
 
         def bodies():
             at = 0
-            for batch in batches:
+            for batch in common.slices(batches, 1):
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     raw = encode(text or "") + end
                     at += len(raw) // width

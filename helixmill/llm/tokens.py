@@ -1,6 +1,6 @@
 """Token counts (map-side two-tier lookup) and the encoder that other operators share.
 
-A text is cut at single spaces into chunks that the tokenizer treats independently of their neighbours, so the tokens of a text are the tokens of its chunks in order. Frequent chunks are looked up in a small broadcast table; other chunks are encoded by the tokenizers library and kept in a cache of the Python worker, which outlives the task. No chunk is ever shuffled.
+A text is cut at single spaces, and at single line feeds between other characters, into chunks that the tokenizer treats independently of their neighbours, so the tokens of a text are the tokens of its chunks in order. Frequent chunks are looked up in a small broadcast table; other chunks are encoded by the tokenizers library and kept in a cache of the Python worker, which outlives the task, holds ``CACHE_BYTES`` at most (as estimated), and is emptied when the worker turns to another operator. No chunk is ever shuffled.
 
 Defined cases: a null text counts as an empty one and has 0 tokens; a tokenizer whose pre-tokenizer is of another kind than the two known ones, and a text whose runs of white space reach across a cut, are encoded whole by the library; chunks longer than ``LONGEST_KEPT`` characters are encoded each time and never kept. The tables and caches only save work: they never change a count.
 """
@@ -22,9 +22,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.llm import common
+
 LONGEST_KEPT = 48
-#: Entries of a worker's cache; a full cache is emptied and fills again.
-CACHE_ENTRIES = 1_100_000
+#: Bytes of a worker's chunks, and of its pre-tokens; and what an entry costs beside its characters (of a dictionary, a string and a value).
+CACHE_BYTES, PIECE_BYTES, ENTRY_BYTES = 160_000_000, 64_000_000, 190
 #: The frequent table: its entries, the partitions looked at for it, and the texts of each.
 TABLE_ENTRIES, TABLE_PARTITIONS, TABLE_TEXTS = 32_768, 8, 1_000
 _ACROSS = re.compile(r"\s (?:\s|\Z)")
@@ -48,13 +50,14 @@ def cut_rule(path: str) -> str | None:
     "led" is the byte-level split, where a space followed by a non-space always opens a pre-token, and a space that follows a non-space always does too.
     """
     tok = load(path)
-    if any(" " in x.content or x.lstrip or x.rstrip or x.single_word for x in tok.get_added_tokens_decoder().values()):
+    if any(re.search(r"\s", x.content) or x.lstrip or x.rstrip or x.single_word for x in tok.get_added_tokens_decoder().values()):
         return None
     pre = json.loads(tok.pre_tokenizer.__getstate__()) if tok.pre_tokenizer else {}
     if tok.normalizer is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
         return "led"
     first = (pre.get("pretokenizers") or [{}])[0]
-    if first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and r"[^\s" in first["pattern"].get("Regex", ""):
+    lower = tok.normalizer is not None and all(tok.normalizer.normalize_str(x) == x.lower() for x in ("Aé b", "ÀÉ9!", "A" * 9)) and not tok.normalizer.normalize_str("X\nY").strip("xy").strip()
+    if lower and first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and r"[^\s" in first["pattern"].get("Regex", ""):
         return "bare"
     return None
 
@@ -64,11 +67,11 @@ _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _PLAIN = {"led": re.compile(rf"[{_LETTERS}]+|[0-9]+|[!-&(-/:-@\[-`{{-~]+"), "bare": re.compile(rf"[{_LETTERS}]+|[0-9]|[!-&(-/:-@\[-`{{-~]+")}
 
 
-class Pieces(dict):
+class Pieces(common.Cache):
     """Pre-token to its ids by the tokenizer's model alone, which spares the library's work of aligning each piece with its text."""
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(PIECE_BYTES)
         from tokenizers.pre_tokenizers import ByteLevel
 
         tok, self.rule = load(path), cut_rule(path)
@@ -76,12 +79,8 @@ class Pieces(dict):
         shown = ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {i: "".join(x for x, _ in shown.pre_tokenize_str(chr(i))) for i in range(32, 256)}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        found = tuple(x.id for x in self.model.tokenize(piece.translate(self.shown)))
-        if len(self) >= CACHE_ENTRIES // 2:
-            self.clear()
-        self[piece] = found
-        return found
+    def of(self, piece: str) -> tuple[tuple[int, ...], int]:
+        return tuple(x.id for x in self.model.tokenize(piece.translate(self.shown))), ENTRY_BYTES + len(piece)
 
     def ids(self, chunk: str, lead: str) -> list[int] | None:
         """The ids of a chunk of plain characters, else None."""
@@ -94,42 +93,37 @@ class Pieces(dict):
         return [i for x in parts for i in self[x]]
 
 
-_PIECES: dict[str, Pieces] = {}
-
+class Chunks(common.Cache):
+    """Chunk to ``value(ids)``; missing chunks are encoded and kept. ``after``: the cache of what follows a line feed."""
 
-class Cache(dict):
-    """Chunk to ``value(ids)``; missing chunks are encoded and kept."""
+    def __init__(self, path: str, lead: str, value, limit: int, seed: dict | None, pieces: Pieces, after: Chunks | None):
+        super().__init__(limit, seed)
+        self.tok, self.lead, self.value, self.pieces, self.after = load(path), lead, value, pieces, self if after is None else after
+        self.line = value([] if pieces.rule == "bare" else self.tok.encode("\n", add_special_tokens=False).ids)
 
-    def __init__(self, path: str, lead: str, value, seed: dict | None = None):
-        super().__init__(seed or {})
-        self.tok, self.lead, self.value, self.seed = load(path), lead, value, seed or {}
-        if path not in _PIECES:
-            _PIECES[path] = Pieces(path)
-        self.pieces = _PIECES[path]
-
-    def __missing__(self, chunk: str):
+    def of(self, chunk: str):
+        head, line, tail = chunk.partition("\n")
+        if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
+            return self[head] + self.line + self.after[tail], None
         ids = self.pieces.ids(chunk, self.lead) if len(chunk) <= LONGEST_KEPT else None
         if ids is None:
             ids = self.tok.encode(self.lead + chunk, add_special_tokens=False).ids
-        found = self.value(ids)
-        if len(chunk) <= LONGEST_KEPT:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-                self.update(self.seed)
-            self[chunk] = found
-        return found
-
+        return self.value(ids), ENTRY_BYTES + len(chunk) if len(chunk) <= LONGEST_KEPT else None
 
-_CACHES: dict[tuple, Cache] = {}
 
+def chunks(path: str, kind: str, seed=None) -> tuple[Chunks, Chunks]:
+    """The worker's caches of chunks after a space and of others; kind: "n" (lengths), or "u2" or "u4" (ids as little-endian bytes)."""
 
-def cache(path: str, lead: str, kind: str, seed=None) -> Cache:
-    """The worker's cache for a tokenizer; kind: "n" (lengths), or "u2" or "u4" (ids as little-endian bytes)."""
-    found = _CACHES.get((path, lead, kind))
-    if found is None:
+    def make():
         value = len if kind == "n" else lambda ids, t="HI"[kind == "u4"]: struct.pack(f"<{len(ids)}{t}", *ids)
-        found = _CACHES[(path, lead, kind)] = Cache(path, lead, value, seed() if seed else None)
-    return found
+        pieces, own = Pieces(path), seed() if seed else None
+        if cut_rule(path) == "bare":
+            both = Chunks(path, "", value, CACHE_BYTES, own, pieces, None)
+            return both, both
+        first = Chunks(path, "", value, CACHE_BYTES // 4, None, pieces, None)
+        return Chunks(path, " ", value, CACHE_BYTES * 3 // 4, own, pieces, first), first
+
+    return common.worker_state(("tokens", path, kind), make)
 
 
 def whole(path: str, text: str) -> list[int]:
@@ -141,10 +135,9 @@ def counter(path: str, seed=None):
     rule = cut_rule(path)
     if rule is None:
         return lambda text: len(whole(path, text))
+    led, first = (x.__getitem__ for x in chunks(path, "n", seed))
     if rule == "bare":
-        bare = cache(path, "", "n", seed).__getitem__
-        return lambda text: sum(map(bare, text.split(" ")))
-    led, first = cache(path, " ", "n", seed).__getitem__, cache(path, "", "n").__getitem__
+        return lambda text: sum(map(led, text.split(" ")))
 
     def count(text: str) -> int:
         if _ACROSS.search(text):
@@ -166,10 +159,9 @@ def encoder(path: str, seed=None):
     plain = lambda text: np.array(whole(path, text), "<" + kind).tobytes()
     if rule is None:
         return plain
+    led, first = (x.__getitem__ for x in chunks(path, kind, seed))
     if rule == "bare":
-        bare = cache(path, "", kind, seed).__getitem__
-        return lambda text: b"".join(map(bare, text.split(" ")))
-    led, first = cache(path, " ", kind, seed).__getitem__, cache(path, "", kind).__getitem__
+        return lambda text: b"".join(map(led, text.split(" ")))
 
     def encode(text: str) -> bytes:
         if _ACROSS.search(text):
@@ -190,10 +182,10 @@ def frequent_chunks(docs: DataFrame, text_col: str = "text", partitions: int = T
         found: Counter[str] = Counter()
         seen = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if seen < texts and text:
+            for text in batch.slice(0, texts - seen).column(0).to_pylist():
+                if text:
                     seen += 1
-                    found.update(x for x in text.split(" ")[1:] if len(x) <= LONGEST_KEPT)
+                    found.update(x for x in text.replace("\n", " ").split(" ")[1:] if len(x) <= LONGEST_KEPT)
         best = found.most_common(entries)
         yield pa.RecordBatch.from_arrays([pa.array([" ".join(k for k, _ in best)]), pa.array([[n for _, n in best]], pa.list_(pa.int64()))], ["chunks", "counts"])
 
@@ -210,10 +202,10 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     Only the two named columns are read, so other columns may have any name. Repeated rows and repeated or null ids give one row each; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    chunks = frequent_chunks(docs, text_col)
+    frequent = frequent_chunks(docs, text_col)
     led = cut_rule(tokenizer) == "led"
-    lengths = np.array([len(load(tokenizer).encode(" " * led + x, add_special_tokens=False).ids) for x in chunks], "<u2")
-    table = spark.sparkContext.broadcast((" ".join(chunks), lengths.tobytes()))  # at most TABLE_ENTRIES short chunks
+    lengths = np.array([len(load(tokenizer).encode(" " * led + x, add_special_tokens=False).ids) for x in frequent], "<u2")
+    table = spark.sparkContext.broadcast((" ".join(frequent), lengths.tobytes()))  # at most TABLE_ENTRIES short chunks
 
     def seed() -> dict[str, int]:
         joined, raw = table.value
@@ -221,7 +213,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def count(batches):
         n = counter(tokenizer, seed)
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             texts = pc.fill_null(batch.column(1), "")
             counts = pa.array([n(x) for x in texts.to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(pc.binary_length(texts), pa.int64()), counts], ["id", "n_bytes", "n_tokens"])

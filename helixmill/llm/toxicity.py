@@ -1,10 +1,10 @@
 """Toxicity by maximum-scoring segments.
 
-Fitting counts words over all labelled rows (once a text, so that one text that repeats a word says it once) and scores each by its log-odds between toxic and other texts under an informative Dirichlet prior (the prior's pseudo-counts follow the word's share of all texts, with a floor). Words that are significantly toxic (z-score of the log-odds at least ``min_z``) form the lexicon, at most ``max_words`` of the largest z; all other words share one score, the log-odds of "a word outside the lexicon", which is negative.
+Fitting counts words over all rows it is given (once a text, so that one text that repeats a word says it once) and scores each by its log-odds between toxic and other texts under an informative Dirichlet prior (the prior's pseudo-counts follow the word's share of all texts, with a floor). Words that are significantly toxic (z-score of the log-odds at least ``min_z``) form the lexicon; its size is bounded by the rows that are fitted on, of which ``labelled_rows`` draws at most about ``fit_rows``. All other words share one score, the log-odds of "a word outside the lexicon", which is negative.
 
-A text is scanned once: as words outside the lexicon all cost the same, the scan goes from lexicon hit to lexicon hit and charges the gap between, and finds every maximal scoring segment in linear time. A segment of score S in a text of n words is significant if its expectation by chance, E = K n exp(-lambda S), is at most ``max_e``: Karlin and Altschul's statistics, with lambda solved and K estimated from the word shares of the labelled texts that are not toxic. The text's strength adds up -ln(E / (1 + E)) over its significant segments, and a logistic curve fitted on the labelled rows turns it into a probability.
+A text is scanned once: as words outside the lexicon all cost the same, the scan goes from lexicon hit to lexicon hit and charges the gap between, and finds every maximal scoring segment in linear time. A segment of score S in a text of n words is significant if its expectation by chance, E = K n exp(-lambda S), is at most ``max_e``: Karlin and Altschul's statistics, with lambda solved, and K bounded from above, by the word shares of the labelled texts that are not toxic. The text's strength adds up -ln(E / (1 + E)) over its significant segments, and a logistic curve fitted on the labelled rows turns it into a probability.
 
-Defined cases: a null or empty text, or one without words, has strength 0 and so the lowest score; labels other than 0 and 1 (null too) are not learned from; a text that is repeated in the labelled rows counts each time; with no labelled rows of either kind the lexicon is empty and every score is the share of toxic labels (0.5 if there are none). Only the named columns are read.
+Defined cases: a null or empty text, or one without words, has strength 0 and so the lowest score; labels other than 0 and 1 (null too) are not learned from, and neither are rows with a null id; an id with several labels is toxic if one of them says so; a text that is repeated in the labelled rows counts each time; a kept column named as an output is named ``<name>_kept``; with no labelled rows of either kind the lexicon is empty and every score is the share of toxic labels (0.5 if there are none). Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.llm import common
+
+#: About the most labelled rows that a model is fitted on.
+FIT_ROWS = 200_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -128,14 +132,14 @@ def fit_curve(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, flo
     return float(beta[0]), float(max(beta[1], 0.0))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", min_z: float = 3.3, max_words: int = 100_000, prior_words: float = 1_000.0, prior_floor: float = 0.5, max_e: float = 0.1) -> Model:
-    """Fit on all rows with label 0 or 1. The driver gets the significant words (at most ``max_words``) and a histogram of strengths."""
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", min_z: float = 3.3, prior_words: float = 1_000.0, prior_floor: float = 0.5, max_e: float = 0.1) -> Model:
+    """Fit on all rows with label 0 or 1, which are read twice (see ``labelled_rows``). The driver gets the significant words and a histogram of strengths (rounded to tenths)."""
     spark = labelled.sparkSession
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and text is not null")
 
     def count(batches):
         found: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in common.slices(batches, 0):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for w in set(WORD.findall(text.lower())):
                     got = found.get(w)
@@ -152,11 +156,11 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", m
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(n[:, 0]), pa.array(n[:, 1])], ["word", "n0", "n1"])
 
     words = rows.mapInArrow(count, "word string, n0 bigint, n1 bigint").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    words = words.persist()
+    words = common.stage(words, "words", words_path := common.new_path(spark, "words"))
     sums = words.agg(F.sum("n0"), F.sum("n1")).first()
     all0, all1 = float(sums[0] or 0), float(sums[1] or 0)
     if not all0 or not all1:
-        words.unpersist()
+        common.remove(spark, words_path)
         n = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
         return Model({}, -1.0, 1.0, 1.0, max_e, fit_curve(np.zeros(1), np.array([n.get(0, 0)]), np.array([n.get(1, 0)])))
     a0 = float(prior_words)
@@ -165,8 +169,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", m
     odds = lambda n, total: F.log((n + prior) / (total + a0 - n - prior))
     delta = odds(F.col("n1"), all1) - odds(F.col("n0"), all0)
     z = delta / F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
-    best = words.where(F.col("n1") > 0).select("word", "n0", "n1", delta.alias("delta"), z.alias("z")).where(F.col("z") >= min_z).orderBy(F.desc("z"), "word").limit(max_words).collect()
-    words.unpersist()
+    best = words.where(F.col("n1") > 0).select("word", "n0", "n1", delta.alias("delta"), z.alias("z")).where(F.col("z") >= min_z).orderBy("word").collect()  # significant words of at most the rows fitted on
+    common.remove(spark, words_path)
     in0, in1 = sum(r.n0 for r in best), sum(r.n1 for r in best)
     # the score of a word is its log-odds inside a toxic passage, where lexicon words have the share they would have if a tenth of the words were toxic
     gap = math.log(0.9) - math.log(max(1e-9, 1 - in0 / all0))
@@ -180,33 +184,46 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", m
     held = spark.sparkContext.broadcast(model)
 
     def measure(batches):
-        for batch in batches:
+        for batch in common.slices(batches, 0):
             x = [round(strength(t, held.value), 1) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], ["x", "label"])
 
-    bins = rows.mapInArrow(measure, "x double, label int").groupBy(F.least(F.col("x"), F.lit(1000.0)).alias("x")).agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")).collect()  # at most 10,001 bins
+    bins = rows.mapInArrow(measure, "x double, label int").groupBy("x").agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")).collect()  # a bin a tenth
     model.curve = fit_curve(*(np.array([r[i] for r in bins], float) for i in range(3)))
     return model
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(text, label) of the documents that have a label, as a stage table to fit on: all of them, or about ``fit_rows`` if there are more.
+
+    The rows are drawn by a hash of the id from ``labels``, before any text is touched, so that what is broadcast has a bound and no text is shuffled.
+    """
+    spark = docs.sparkSession
+    ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null").groupBy("id").agg(F.max("label").alias("label"))
+    n = ids.count()
+    if n > fit_rows:
+        ids = ids.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30)))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    return common.stage(texts.join(F.broadcast(ids), "id").select("text", "label"), "labelled")  # about fit_rows pairs of numbers
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: its id, the columns of ``keep``, score (0 to 1), and passages: the significant toxic passages (start, end, score, e) by character."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = [id_col, *keep]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e", pa.float64())]))
 
-    def run(batches):
+    def of():
         m = held.value
-        for batch in batches:
+
+        def work(texts):
             passages, strengths = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            for text in texts:
                 x = strength(text, m)
                 strengths.append(x)
                 passages.append([dict(zip(("start", "end", "score", "e"), s, strict=True)) for s in scan(text, m)[0]] if x else [])
-            p = probability(np.minimum(np.round(np.array(strengths, float), 1), 1000.0), m.curve)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64()), pa.array(passages, kind)], [*(f"c{i}" for i in range(len(names))), "score", "passages"])
+            return probability(np.round(np.array(strengths, float), 1), m.curve), passages
+
+        return work
 
-    slim = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col(text_col).alias("text"))
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    out = slim.mapInArrow(run, f"{ddl}, score double, passages array<struct<start: int, end: int, score: double, e: double>>")
-    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(names)})
+    outputs = {"score": ("double", pa.float64()), "passages": ("array<struct<start: int, end: int, score: double, e: double>>", kind)}
+    return common.text_columns(docs, text_col, (id_col, *keep), outputs, of)
