@@ -14,38 +14,49 @@ from pyspark.sql import functions as F
 from helixmill.llm import common, decontamination, language, near_duplicates, packing, queries, toxicity
 
 
+def by_place(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns named p0, p1, ... so that none clashes with an operator's; and those names of its columns."""
+    names = [f"p{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the threshold."""
     model = queries.toxicity_model(spark, sf_dir)
-    columns = [f"p{i}" for i in range(len(docs.columns))]
-    scored = toxicity.score(docs.toDF(*columns), model, columns[0], columns[docs.columns.index("text")], tuple(columns[1:]))
-    return scored.where(F.col("score") < queries.TOXIC_FROM).select(columns).toDF(*docs.columns)
+    table, at = by_place(docs)
+    first, *others = table.columns
+    scored = toxicity.score(table, model, first, at["text"], tuple(others))
+    return scored.where(F.col("score") < queries.TOXIC_FROM).select(table.columns).toDF(*docs.columns)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told apart with a sufficient margin."""
     labelled = queries.table(spark, sf_dir, "documents").where(F.coalesce(queries.fold(), F.lit(0)) != queries.HELD_OUT)
     model = language.fit(labelled)
-    columns = [f"p{i}" for i in range(len(docs.columns))]
-    told = language.predict(docs.toDF(*columns), model, columns[0], columns[docs.columns.index("text")], tuple(columns[1:]))
-    return told.where("accepted").select(columns).toDF(*docs.columns)
+    table, at = by_place(docs)
+    first, *others = table.columns
+    told = language.predict(table, model, first, at["text"], tuple(others))
+    return told.where("accepted").select(table.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: the one with the smallest id (one row of it, if rows repeat). Documents without an id stay."""
-    classes = near_duplicates.near_duplicates(docs)
-    keep = common.stage(classes.where("doc_id = class_id").select(F.col("doc_id").alias("_keep"), F.coalesce("node", F.lit(0)).alias("_node")).distinct(), "kept")
-    node = F.coalesce(F.when(F.col("text").isNotNull(), near_duplicates.node_of(F.col("text"))), F.lit(0))
-    once = Window.partitionBy("_keep", "_node").orderBy("_keep")
-    stays = docs.withColumn("_n", node).join(keep, (F.col("doc_id") == F.col("_keep")) & (F.col("_n") == F.col("_node"))).withColumn("_row", F.row_number().over(once)).where("_row = 1")
-    return stays.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    table, at = by_place(docs)
+    key, text = at["doc_id"], at["text"]
+    classes = near_duplicates.near_duplicates(table, key, text)
+    keep = common.stage(classes.where(f"{key} = class_id").select(F.col(key).alias("keep_id"), F.coalesce("node", F.lit(0)).alias("keep_node")).distinct(), "kept")
+    node = F.coalesce(F.when(F.col(text).isNotNull(), near_duplicates.node_of(F.col(text))), F.lit(0))
+    once = Window.partitionBy("keep_id", "keep_node").orderBy("keep_id")
+    found = table.withColumn("node", node).join(keep, (F.col(key) == F.col("keep_id")) & (F.col("node") == F.col("keep_node"))).withColumn("row", F.row_number().over(once)).where("row = 1")
+    return found.select(table.columns).union(table.where(f"{key} is null")).toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    columns = [f"p{i}" for i in range(len(docs.columns))]
-    found = decontamination.contamination(docs.toDF(*columns), queries.table(spark, sf_dir, "benchmark"), columns[0], columns[docs.columns.index("text")], keep=tuple(columns[1:]))
-    return found.where(~F.col("contaminated")).select(columns).toDF(*docs.columns)
+    table, at = by_place(docs)
+    first, *others = table.columns
+    found = decontamination.contamination(table, queries.table(spark, sf_dir, "benchmark"), first, at["text"], keep=tuple(others))
+    return found.where(~F.col("contaminated")).select(table.columns).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +76,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
+    """The last stage's rows. What stages keep in the shared folder goes once their result is written; so does each result once the next one is."""
+    docs, before = queries.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.stage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = common.new_path(spark, f"pipeline-{name}")
+        with common.scratch(spark):
+            new = stage(spark, docs, sf_dir)
+            new.write.parquet(path)
+        if before:
+            common.remove(spark, before)
+        docs, before = spark.read.schema(new.schema).parquet(path), path
     return docs
