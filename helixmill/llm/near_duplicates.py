@@ -5,7 +5,7 @@
 3. Nodes with an equal sketch meet their bucket's leader (its smallest node). Leaders are found by aggregation, so this pass gives as many pairs as buckets have members.
 4. Pairs are verified by banded alignment of their words: the edit distance within the band that the budget allows. A pair is linked if 1 - distance / longer length is at least ``similarity``. A leader's text goes once to each part of its members.
 5. Classes are the connected components of the links, found by alternating large-star and small-star joins, each round a written table.
-6. Buckets whose other members are then in more than one class (a common passage, an unrelated leader) are searched whole, block against block, so that no task holds a bucket. Every pair of two classes is held against two lower bounds of the edit distance, by length and by word counts in ``BINS`` bins; what they leave is verified as well, and the classes are joined. So all texts that meet in a bucket and are similar are in one class, and recall is that of the sketches (README: at least 0.9 at a similarity of 0.8, for random edits).
+6. Buckets whose other members are then in more than one class (a common passage, an unrelated leader) are searched whole, block against block, so that no task holds a bucket. Two lower bounds of the edit distance, by length and by word counts in ``BINS`` bins, say which texts of different classes may be similar; chains of such texts are families, of which only spanning pairs are written. The texts of a family then meet block against block, the nearest by the bounds first, and similar ones of different classes are joined. So all texts that meet in a bucket and are similar are in one class, and recall is that of the sketches (README: at least 0.9 at a similarity of 0.8, for random edits). No table has all pairs of a group; the comparisons of a family with many classes do grow with its square.
 
 Defined cases: null texts are in a class of their own document; equal texts are one class, empty ones too; texts without words are linked with equal texts only; texts of fewer than ``k`` words have one k-mer, the whole text; repeated rows give one row each. Documents with a null id have a class by text, whose id is that of its smallest non-null id, or null. Only the id and text columns are read, so others may have any name.
 """
@@ -23,8 +23,8 @@ from helixmill.llm import common
 
 K, L, M, SIMILARITY = 5, 5, 8, 0.8
 SLOTS = 1 << 20
-#: Bins of word counts; nodes of a block; members that meet one copy of their leader's text; parts of a class.
-BINS, BLOCK, RUN, PARTS = 256, 1024, 64, 16
+#: Bins of word counts; nodes of a block of a bucket, nodes and words of one of a family; members that meet one copy of their leader's text; parts of a class.
+BINS, BLOCK, FAMILY_BLOCK, BLOCK_WORDS, RUN, PARTS = 256, 1024, 512, 400_000, 64, 16
 SEEN = 200_000
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -161,18 +161,42 @@ def far_apart(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (np.abs(differ).sum(axis=1) + np.abs(differ.sum(axis=1))) // 2
 
 
-def close_pairs(bins: np.ndarray, n_words: np.ndarray, root: np.ndarray, side: np.ndarray, least: float):
-    """Pairs (i, j) of rows of different roots whose lengths and bins allow a similarity of ``least``; where both sides are there, only pairs across them."""
+def _others(i: int, ends: np.ndarray, label: np.ndarray, side: np.ndarray, bins: np.ndarray, lengths: np.ndarray, least: float):
+    """Rows after i, and their lower bounds, that have another label and, where both sides are there, are of the other side, and whose length and bins allow a similarity of ``least``. Rows are in order of length."""
+    at = np.arange(i + 1, ends[i])
+    at = at[(label[at] != label[i]) & ((side[at] != side[i]) | (side.min() == side.max()))]
+    if len(at):
+        bound = far_apart(bins[i], bins[at])
+        fits = bound <= ((1 - least) * lengths[at] + 1e-9).astype("i8")
+        return at[fits], bound[fits]
+    return at, at
+
+
+def spanning(bins: np.ndarray, n_words: np.ndarray, root: np.ndarray, side: np.ndarray, least: float):
+    """Pairs (i, j) that connect all rows which chains of possibly similar rows of different roots connect: fewer than there are rows."""
     order = np.argsort(n_words, kind="stable")
     bins, lengths, root, side = bins[order], n_words[order], root[order], side[order]
-    two = side.min() != side.max()
+    ends, family = np.searchsorted(lengths * least, lengths + 1e-9, side="right"), np.arange(len(order))
+    for i in range(len(order)):
+        at, _ = _others(i, ends, family, side, bins, lengths, least)
+        at = at[root[at] != root[i]]
+        labels, first = np.unique(family[at], return_index=True)
+        for label, j in zip(labels.tolist(), at[first].tolist(), strict=True):
+            family[family == label] = family[i]
+            yield order[i], order[j]
+
+
+def joining(words: list[np.ndarray], root: np.ndarray, side: np.ndarray, least: float):
+    """Verified pairs (i, j) that join the roots of similar rows, the nearest by the lower bounds first: fewer than there are roots."""
+    n_words, bins = np.array([len(x) for x in words]), np.stack([np.frombuffer(bins_of(x), "u1") for x in words])
+    order = np.argsort(n_words, kind="stable")
+    bins, lengths, root, side = bins[order], n_words[order], root[order].copy(), side[order]
     ends = np.searchsorted(lengths * least, lengths + 1e-9, side="right")
     for i in range(len(order)):
-        at = np.arange(i + 1, ends[i])
-        at = at[(root[at] != root[i]) & ((side[at] != side[i]) | (not two))]
-        if len(at):
-            at = at[far_apart(bins[i], bins[at]) <= ((1 - least) * lengths[at] + 1e-9).astype("i8")]
-            for j in at:
+        at, bound = _others(i, ends, root, side, bins, lengths, least)
+        for j in at[np.argsort(bound, kind="stable")].tolist():
+            if root[j] != root[i] and similar(words[order[i]], words[order[j]], least):
+                root[root == root[j]] = root[i]
                 yield order[i], order[j]
 
 
@@ -180,6 +204,14 @@ def node_of(text_col):
     return F.xxhash64(F.md5(text_col), F.length(text_col))
 
 
+def edges_of(links: DataFrame) -> DataFrame:
+    return links.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
+
+
+def roots_of(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) for every node but the smallest of its component, b the smallest; from edges (a, b) of longs, a > b. Tables of edges are written once a round and the star of the last is returned."""
     spark = edges.sparkSession
@@ -268,21 +300,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     leaders.append(leader)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(leaders, pa.int64())], ["node", "leader"])
 
-    def linked_of(pairs: DataFrame) -> DataFrame:
-        # parts of a leader's members, and the leader itself once a part
-        parts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / RUN).cast("int").alias("parts"))
-        dealt = pairs.join(parts, "leader").select("leader", F.pmod(F.xxhash64("node", F.lit("part")), "parts").cast("int").alias("part"), "node")
-        met = dealt.union(parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("node")))
-        # texts of the nodes that are in pairs, read again by their smallest id; a bitmap of these rows keeps most others out of the shuffle
-        wanted = keep(met.select("node").distinct().join(nodes.select("node", "rep"), "node"), "wanted")
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(node, text) of nodes, read again by their smallest id; a bitmap of these rows keeps most others out of the shuffle."""
+        wanted = keep(wanted.select("node").distinct().join(nodes.select("node", "rep"), "node"), "wanted")
         likely = among(keyed.withColumn("row", F.xxhash64("node", "id")), wanted.select(F.xxhash64("node", "rep").alias("row")), "row")
         found = likely.join(wanted.withColumnRenamed("node", "wanted"), (F.col("node") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
-        texts = keep(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
-        runs = met.join(texts, "node").select("leader", "part", "node", "text").repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("node") != F.col("leader"))
-        return keep(runs.mapInArrow(verify, "node bigint, leader bigint"), "links")
+        return keep(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+    # parts of a leader's members, and the leader itself once a part
+    parts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / RUN).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "leader").select("leader", F.pmod(F.xxhash64("node", F.lit("part")), "parts").cast("int").alias("part"), "node")
+    met = keep(dealt.union(parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("node"))), "met")
+    runs = met.join(texts_of(met), "node").select("leader", "part", "node", "text").repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("node") != F.col("leader"))
+    stars = components(edges_of(keep(runs.mapInArrow(verify, "node bigint, leader bigint"), "links")))
 
     def across(batches):
-        """Pairs (node, leader) of each run of equal (bucket, i, j); a run may go on in the next batch."""
+        """Pairs (node, leader) that connect the families in each run of equal (bucket, i, j); a run may go on in the next batch."""
+        common.worker_state(("near-duplicates",), dict)
         held = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -301,7 +335,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out, begin = set(), 0
         for end in ends.tolist():
             x = slice(begin, end)
-            for p, q in close_pairs(bins[x], n_words[x], root[x], side[x], similarity):
+            for p, q in spanning(bins[x], n_words[x], root[x], side[x], similarity):
                 p, q = int(node[begin + p]), int(node[begin + q])
                 out.add((max(p, q), min(p, q)))
                 if len(out) >= 50_000:
@@ -311,15 +345,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if out:
             yield batch_of(out)
 
+    def joined(batches):
+        """Links between classes, of each run of equal (family, i, j)."""
+        common.worker_state(("near-duplicates",), dict)
+        now, rows = None, []
+        for batch in common.slices(batches, "text"):
+            for *key, node, root, block, text in zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j", "node", "root", "block", "text")), strict=True):
+                if key != now and rows:
+                    yield links_in(rows)
+                    rows = []
+                now = key
+                rows.append((node, root, block, words_of(text)))
+        if rows:
+            yield links_in(rows)
+
+    def links_in(rows: list[tuple]) -> pa.RecordBatch:
+        node, root, side, words = zip(*rows, strict=True)
+        return batch_of({(node[i], node[j]) for i, j in joining(list(words), np.array(root), np.array(side), similarity)})
+
     def batch_of(out: set) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["node", "leader"])
 
-    links = linked_of(pairs)
-    edges_of = lambda links: links.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
-    stars = components(edges_of(links))
-
     # members of buckets that are in several classes, without the leader, which has met all; buckets of the same members count once
-    rooted = members.where("n > 2").join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("bucket", "node", "n_words", F.coalesce("root", "node").alias("root"))
+    rooted = members.where("n > 2").join(roots_of(stars), "node", "left").select("bucket", "node", "n_words", F.coalesce("root", "node").alias("root"))
     digest = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("d1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("d2"))
     mixed = rooted.groupBy("bucket").agg(*digest, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     mixed = keep(mixed.groupBy("n", "d1", "d2").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
@@ -327,14 +375,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(nodes.select("node", "bins"), "node")
     dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "n_words", "root", "block", "bins")
     crossing = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(across, "node bigint, leader bigint").distinct()
-    rest = keep(crossing.join(pairs.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")), ["node", "leader"], "left_anti"), "pairs")
-    if rest.limit(1).count():
-        stars = components(stars.unionByName(edges_of(linked_of(rest))))
+    crossing = keep(crossing, "crossing")
+    if crossing.limit(1).count():
+        # families: what chains of possibly similar texts connect; their texts meet block against block
+        chained = components(edges_of(crossing))
+        family = chained.select(F.col("a").alias("node"), F.col("b").alias("family")).union(chained.select(F.col("b").alias("node"), F.col("b").alias("family")).distinct())
+        family = keep(family.join(nodes.select("node", "n_words"), "node").join(roots_of(stars), "node", "left").withColumn("root", F.coalesce("root", "node")), "family")
+        sizes = family.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / FAMILY_BLOCK, F.sum("n_words") / BLOCK_WORDS)).cast("int").alias("blocks"))
+        dealt = family.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block").join(texts_of(family), "node")
+        more = keep(dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(joined, "node bigint, leader bigint"), "links")
+        stars = components(stars.unionByName(edges_of(more)))
 
     # the smallest id of a class; its members are dealt into parts, so that a large class is no key of one task
     part = lambda node: F.pmod(F.xxhash64(node, F.lit("part")), F.lit(PARTS))
     reps = nodes.select("node", "rep")
-    inside = stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()).join(reps, "node")
+    inside = roots_of(stars).union(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()).join(reps, "node")
     roots = inside.groupBy("root").agg(F.min("rep").alias("class_id")).select("root", "class_id", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     classed = inside.select("node", "root", part("node").alias("part")).join(roots, ["root", "part"]).select("node", "class_id")
     classes = keep(reps.join(classed, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id")), "classes")

@@ -26,7 +26,7 @@ from helixmill.llm import common
 
 LONGEST_KEPT = 48
 #: Bytes of a worker's chunks, and of its pre-tokens; and what an entry costs beside its characters (of a dictionary, a string and a value).
-CACHE_BYTES, PIECE_BYTES, ENTRY_BYTES = 160_000_000, 64_000_000, 190
+CACHE_BYTES, PIECE_BYTES, ENTRY_BYTES = 96_000_000, 40_000_000, 190
 #: The frequent table: its entries, the partitions looked at for it, and the texts of each.
 TABLE_ENTRIES, TABLE_PARTITIONS, TABLE_TEXTS = 32_768, 8, 1_000
 _ACROSS = re.compile(r"\s (?:\s|\Z)")
