@@ -12,7 +12,7 @@ from helixmill.operators import evaluation as ev
 from helixmill.operators import expression as ex
 from helixmill.operators import assembly, models
 from helixmill.operators import transforms as tr
-from helixmill.plans import catalog, tables, transforms  # noqa: F401 (registers their queries)
+from helixmill.plans import catalog, preparation, tables, transforms  # noqa: F401 (registers their queries)
 from helixmill.sources import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
