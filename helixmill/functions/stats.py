@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Intervals of Simpson's rule for Student's t.
-STEPS = 200
+#: Nodes and weights of Gauss and Legendre's rule on (-1, 1), for Student's t.
+NODES, WEIGHTS = np.polynomial.legendre.leggauss(48)
 
 
 def _sine_integral(upper: Column, df: Column) -> Column:
-    """Integral of sin(x) ** (df - 1) up to ``upper``, by Simpson's rule over the stretch that is not negligible."""
-    low = F.greatest(F.lit(0.0), upper - 12.0 / F.sqrt(df))
-    width = (upper - low) / STEPS
-    weight = lambda i: F.when((i == 0) | (i == STEPS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
-    terms = F.transform(F.sequence(F.lit(0), F.lit(STEPS)), lambda i: weight(i) * F.pow(F.sin(low + width * i), df - 1))
-    return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) * width / 3
+    """Integral of sin(x) ** (df - 1) up to ``upper``, over the stretch that is not negligible: the integrand falls at least as fast as a Gaussian of width 1 / sqrt(df), and as an exponential of rate (df - 1) / tan(upper)."""
+    rate = F.greatest((df - 1) / F.tan(upper), F.lit(1e-300))
+    half = F.least(upper, 12.0 / F.sqrt(df), 45.0 / rate) / 2
+    pairs = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(w)).alias("w")) for x, w in zip(NODES, WEIGHTS, strict=True)])
+    return F.aggregate(pairs, F.lit(0.0), lambda total, n: total + n["w"] * F.pow(F.sin(upper - half + half * n["x"]), df - 1)) * half
 
 
 def t_two_sided(t: Column, df: Column) -> Column:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,11 +122,77 @@ def profile(long: DataFrame) -> DataFrame:
     return long.select("sample_id", "feature", level.alias("level"), (F.col("value") - level).alias("pattern"))
 
 
+def gram(long: DataFrame, *by: str, block: int = 512) -> DataFrame:
+    """(by, feature_a, feature_b, n, sa, sb, saa, sbb, sab): counts and sums over the samples that have both features, for every two features.
+
+    Samples are gathered to arrays; tasks add up matrix products of ``block`` by ``block`` features (blocks by hash, two at a time), and sums of tasks are added up by Spark. A feature that a sample repeats counts with one of its values.
+    """
+    blocks = -(-long.select("feature").distinct().count() // block) or 1
+    own = F.pmod(F.xxhash64("feature"), F.lit(blocks)).cast("int")
+    rows = long.where("value is not null").groupBy("sample_id", *by).agg(F.collect_list(F.struct("feature", F.col("value").cast("double").alias("value"), own.alias("block"))).alias("x"))
+    rows = rows.withColumn("two", F.explode(F.array(*[F.array(F.lit(i), F.lit(j)) for i in range(blocks) for j in range(i, blocks)])))
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by], F.array_join("two", "|"))
+    slim = rows.select(key.alias("key"), *by, "two", F.filter("x", lambda e: F.array_contains("two", e["block"])).alias("x"))
+    slim = slim if blocks == 1 else slim.repartition("key", F.pmod(F.xxhash64("x"), F.lit(64))).sortWithinPartitions("key")
+    kinds = {c: long.schema[c].dataType.simpleString() for c in by}
+    sums = ("n", "sa", "sb", "saa", "sbb", "sab")
+
+    def add(batches):
+        held: dict = {}
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            for key in t.column("key").unique().to_pylist():
+                part = t.filter(pc.equal(t.column("key"), key)).combine_chunks()
+                if key not in held:
+                    if len(held) >= 4:  # cells at a time
+                        yield from flush(held)
+                        held = {}
+                    held[key] = ([part.column(c)[0].as_py() for c in by], part.column("two")[0].as_py(), {}, {}, {})
+                for i in range(0, len(part), 1024):  # samples at a time
+                    product(part.column("x").chunk(0).slice(i, 1024), held[key])
+        yield from flush(held)
+
+    def product(x: pa.ListArray, cell) -> None:
+        _, _, names, found, sides = cell
+        values = x.flatten()
+        row = np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy()))
+        coded = values.field("feature").dictionary_encode()
+        place = np.array([names.setdefault(f, len(names)) for f in coded.dictionary.to_pylist()], "i8")
+        p = len(names)
+        dense, there = np.zeros((len(x), p)), np.zeros((len(x), p))
+        if len(row):
+            at = place[coded.indices.to_numpy()]
+            dense[row, at], there[row, at] = values.field("value").to_numpy(), 1.0
+            sides.update(zip(coded.dictionary.to_pylist(), values.field("block").to_numpy()[np.unique(coded.indices.to_numpy(), return_index=True)[1]].tolist(), strict=True))
+        square = dense * dense
+        new = {"n": there.T @ there, "sa": dense.T @ there, "sb": there.T @ dense, "saa": square.T @ there, "sbb": there.T @ square, "sab": dense.T @ dense}
+        for k, m in new.items():
+            if k in found:
+                m[: len(found[k]), : len(found[k])] += found[k]
+            found[k] = m
+
+    def flush(held):
+        for tags, (low, high), names, found, sides in held.values():
+            if not names:
+                continue
+            order, side = np.array(list(names), object), np.array([sides[x] for x in names])
+            meets = (order[:, None] < order[None, :]) & (found["n"] > 0)
+            if low != high:  # features of one block meet where it is paired with itself
+                meets &= side[:, None] != side[None, :]
+            a, b = np.nonzero(meets)
+            for i in range(0, len(a), 50_000):
+                u, v = a[i : i + 50_000], b[i : i + 50_000]
+                columns = [pa.array([tag] * len(u)) for tag in tags] + [pa.array(order[u].tolist(), pa.string()), pa.array(order[v].tolist(), pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(found[k][u, v]) for k in sums)], [*by, "feature_a", "feature_b", *sums])
+
+    ddl = ", ".join([*(f"{c} {k}" for c, k in kinds.items()), "feature_a string, feature_b string", *(f"{c} double" for c in sums)])
+    return slim.mapInArrow(add, ddl).groupBy(*by, "feature_a", "feature_b").agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def correlations(long: DataFrame) -> DataFrame:
-    """Pearson's r of each pair of features with its p: samples are gathered to arrays (a feature list each), pairs made within a sample, summed map-side."""
-    rows = long.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("feature", "value"))).alias("x"))
-    pairs = rows.select(F.explode("x").alias("a"), "x").select("a", F.explode(F.filter("x", lambda e: e["feature"] > F.col("a.feature"))).alias("b"))
-    a, b = F.col("a.value"), F.col("b.value")
-    r = pairs.groupBy(F.col("a.feature").alias("feature_a"), F.col("b.feature").alias("feature_b")).agg(F.corr(a, b).alias("r"), F.count("*").alias("n"))
+    """Pearson's r of each pair of features with its p, over the samples that have both; null where either does not vary."""
+    g = gram(long)
+    c, va, vb = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n"), F.col("saa") - F.col("sa") ** 2 / F.col("n"), F.col("sbb") - F.col("sb") ** 2 / F.col("n")
+    r = g.select("feature_a", "feature_b", F.try_divide(c, F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0)))).alias("r"), F.col("n").cast("bigint").alias("n"))
     t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2.0, 1 - F.col("r") * F.col("r")))
     return r.withColumn("p_value", stats.t_two_sided(t, F.col("n") - 2.0))

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixmill.operators import expression
+
 
 def stack(*tables: DataFrame) -> DataFrame:
     """All rows, by column name; a table without a column has nulls there."""
@@ -56,26 +58,21 @@ def diverging_breaks(long: DataFrame, centre: float = 0.0, bins: int = 50) -> Da
     return steps.select("feature", "i", F.when(F.col("i") <= bins, low).otherwise(high).alias("at"))
 
 
-def feature_pairs(long: DataFrame, *by: str) -> DataFrame:
-    """(by, sample_id, feature_a, x, feature_b, y): every two features of a sample, once. Grows with the square of the features, not of the samples."""
-    sides = [long.select("sample_id", *by, F.col("feature").alias(f"feature_{s}"), F.col("value").alias(v)) for s, v in (("a", "x"), ("b", "y"))]
-    return sides[0].join(sides[1].drop(*by), "sample_id").where("feature_a < feature_b")
-
-
 def distances(long: DataFrame) -> DataFrame:
     """(feature_a, feature_b, distance): Euclidean, over samples that have both."""
-    d = F.col("x") - F.col("y")
-    return feature_pairs(long).groupBy("feature_a", "feature_b").agg(F.sqrt(F.sum(d * d)).alias("distance"))
+    square = F.col("saa") - 2 * F.col("sab") + F.col("sbb")
+    return expression.gram(long).select("feature_a", "feature_b", F.sqrt(F.greatest(square, F.lit(0.0))).alias("distance"))
 
 
 def fisher_pairs(long: DataFrame) -> DataFrame:
     """(feature_a, feature_b, criterion): Fisher's criterion of the linear discriminant of two features, d' S^-1 d with the pooled covariance S, from sums alone. Null where S cannot be inverted."""
-    case = F.col("class") == "Case"
-    side = lambda f, *c: {k: f(*[F.when(case if k else ~case, F.col(x)) for x in c]) for k in (1, 0)}
-    n, mx, my, vx, vy, c = side(F.count, "x"), side(F.avg, "x"), side(F.avg, "y"), side(F.var_samp, "x"), side(F.var_samp, "y"), side(F.covar_samp, "x", "y")
-    got = feature_pairs(long.where("value is not null"), "class").groupBy("feature_a", "feature_b").agg(*[v[k].alias(f"{name}{k}") for name, v in (("n", n), ("mx", mx), ("my", my), ("vx", vx), ("vy", vy), ("c", c)) for k in (1, 0)])
-    pool = lambda name: F.try_divide((F.col("n1") - 1) * F.col(f"{name}1") + (F.col("n0") - 1) * F.col(f"{name}0"), (F.col("n1") + F.col("n0") - 2).cast("double"))
-    got = got.select("feature_a", "feature_b", (F.col("mx1") - F.col("mx0")).alias("dx"), (F.col("my1") - F.col("my0")).alias("dy"), pool("vx").alias("a"), pool("vy").alias("b"), pool("c").alias("c"))
+    side = F.when(F.col("class") == "Case", "k").otherwise("o")
+    g = expression.gram(long.withColumn("side", side), "side")
+    centred = lambda p, x, y: F.col(p) - F.col(x) * F.col(y) / F.col("n")
+    g = g.select("side", "feature_a", "feature_b", "n", (F.col("sa") / F.col("n")).alias("mx"), (F.col("sb") / F.col("n")).alias("my"), centred("saa", "sa", "sa").alias("vx"), centred("sbb", "sb", "sb").alias("vy"), centred("sab", "sa", "sb").alias("c"))
+    got = g.groupBy("feature_a", "feature_b").pivot("side", ["k", "o"]).agg(*[F.first(x).alias(x) for x in ("n", "mx", "my", "vx", "vy", "c")])
+    pool = lambda x: F.try_divide(F.col(f"k_{x}") + F.col(f"o_{x}"), F.col("k_n") + F.col("o_n") - 2)
+    got = got.select("feature_a", "feature_b", (F.col("k_mx") - F.col("o_mx")).alias("dx"), (F.col("k_my") - F.col("o_my")).alias("dy"), pool("vx").alias("a"), pool("vy").alias("b"), pool("c").alias("c"))
     top = F.col("dx") ** 2 * F.col("b") - 2 * F.col("dx") * F.col("dy") * F.col("c") + F.col("dy") ** 2 * F.col("a")
     return got.select("feature_a", "feature_b", F.try_divide(top, F.col("a") * F.col("b") - F.col("c") ** 2).alias("criterion"))
 

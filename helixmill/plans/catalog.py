@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixmill.operators import evaluation as ev
 from helixmill.operators import expression as ex
+from helixmill.operators import preparation
 from helixmill.sources import fixtures as fx
 
 QUERIES = {}
@@ -19,13 +20,12 @@ BENCH = """base AS (SELECT 'sig' || CAST(o_custkey % 12 AS VARCHAR) AS method, C
 bench AS (SELECT method, algorithm, split, metric, 0.5::DOUBLE + CAST((v * length(split) + n * length(metric)) % 500 AS DOUBLE) / 1000.0::DOUBLE AS value FROM base, (VALUES ('train'), ('test'), ('valid')) s(split), (VALUES ('Accuracy'), ('Sensitivity'), ('Specificity')) m(metric))"""
 
 
-def sine(upper: str, df: str) -> str:
-    low = f"greatest(0.0::DOUBLE, {upper} - 12.0 / sqrt({df}))"
-    return f"(({upper} - {low}) / 600 * list_sum(list_transform(range(0, 201), lambda i: CASE WHEN i = 0 OR i = 200 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END * pow(sin({low} + ({upper} - {low}) / 200 * i), {df} - 1))))"
-
-
 def t_p(t: str, df: str) -> str:
-    return f"({sine(f'asin(sqrt({df} / ({df} + ({t}) * ({t}))))', df)} / {sine('(pi() / 2)', df)})"
+    """Student's two-sided p by Simpson's rule in 2000 steps and the gamma function: another rule than the operator's."""
+    upper = f"asin(sqrt({df} / ({df} + ({t}) * ({t}))))"
+    width = f"least({upper}, 12.0 / sqrt({df}), 45.0 / greatest(({df} - 1) / tan({upper}), 1e-300::DOUBLE))"
+    terms = f"list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END * pow(sin({upper} - {width} + {width} / 2000 * i), {df} - 1)))"
+    return f"({width} / 6000 * {terms} / (sqrt(pi()) / 2 * exp(lgamma({df} / 2) - lgamma(({df} + 1) / 2))))"
 
 
 DE = FEATURES + f""",
@@ -151,7 +151,7 @@ def impute_median(spark, sf):
 
 @query("complete_cases", f"WITH {MISSING} SELECT sample_id, count(*) AS n_features FROM miss GROUP BY sample_id HAVING count(*) FILTER (value IS NULL) <= 5")
 def complete_cases(spark, sf):
-    return fx.missing_matrix(spark, sf).groupBy("sample_id").agg(F.count("*").alias("n_features"), F.count_if(F.col("value").isNull()).alias("_m")).where("_m <= 5").drop("_m")
+    return preparation.complete(fx.missing_matrix(spark, sf), 5)
 
 
 @query("z_scores", f"WITH {FEATURES}, m AS (SELECT feature, avg(value) AS a, stddev_samp(value) AS s FROM feat GROUP BY feature) SELECT sample_id, class, feature, round((value - a) / s, 7) AS value FROM feat JOIN m USING (feature)")

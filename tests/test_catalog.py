@@ -2,6 +2,7 @@
 
 import math
 import os
+from decimal import Decimal, getcontext
 
 import duckdb
 import pytest
@@ -43,10 +44,31 @@ def test_query_equals_sql(spark, sql, name):
     assert a == b
 
 
-@pytest.mark.parametrize(("t", "df", "p"), [(2.0, 10.0, 0.07338803477074017), (0.0, 5.0, 1.0), (12.706204736432095, 1.0, 0.05), (1.959964, 1e6, 0.05), (-3.0, 30.0, 0.005389964065776106)])
-def test_t_two_sided(spark, t, df, p):
-    got = spark.range(1).select(stats.t_two_sided(F.lit(t), F.lit(df))).first()[0]
-    assert math.isclose(got, p, rel_tol=2e-4)
+def exact_p(t: int, df: int) -> float:
+    """Student's two-sided p of even df by its finite series, in 400 digits."""
+    getcontext().prec = 400
+    x = Decimal(t) ** 2 / (df + Decimal(t) ** 2)  # sine squared
+    term, total = Decimal(1), Decimal(1)
+    for i in range(1, df // 2):
+        term *= (1 - x) * (2 * i - 1) / (2 * i)
+        total += term
+    return float(1 - x.sqrt() * total)
+
+
+@pytest.mark.parametrize("df", [2, 10, 60, 500, 4000])
+@pytest.mark.parametrize("t", [0, 1, 2, 8, 20, -3])
+def test_t_two_sided(spark, t, df):
+    got = spark.range(1).select(stats.t_two_sided(F.lit(float(t)), F.lit(float(df)))).first()[0]
+    assert math.isclose(got, exact_p(abs(t), df), rel_tol=1e-8)
+    assert math.isclose(spark.range(1).select(stats.t_two_sided(F.lit(12.706204736432095), F.lit(1.0))).first()[0], 0.05, rel_tol=1e-9)
+
+
+def test_gram_over_blocks(spark):
+    rows = [(s, "k" if s % 2 else "o", f"f{i:02d}", None if (s * i) % 7 == 3 else float((s * 31 + i * 17) % 23)) for s in range(40) for i in range(12)]
+    long = spark.createDataFrame(rows, "sample_id int, class string, feature string, value double")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    one, many = (key(ex.gram(long, "class", block=b)) for b in (512, 4))
+    assert one == many and len(one) == 2 * 66
 
 
 def test_no_significant_feature_keeps_all(spark):
