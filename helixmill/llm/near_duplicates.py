@@ -372,7 +372,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = rooted.groupBy("bucket").agg(*digest, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     mixed = keep(mixed.groupBy("n", "d1", "d2").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
     dealt = rooted.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(nodes.select("node", "bins"), "node")
+    dealt = dealt.join(nodes.select("node", "bins"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "n_words", "root", "block", "bins")
     crossing = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(across, "node bigint, leader bigint").distinct()
     crossing = keep(crossing, "crossing")
@@ -382,8 +382,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         family = chained.select(F.col("a").alias("node"), F.col("b").alias("family")).union(chained.select(F.col("b").alias("node"), F.col("b").alias("family")).distinct())
         family = keep(family.join(nodes.select("node", "n_words"), "node").join(roots_of(stars), "node", "left").withColumn("root", F.coalesce("root", "node")), "family")
         sizes = family.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / FAMILY_BLOCK, F.sum("n_words") / BLOCK_WORDS)).cast("int").alias("blocks"))
-        dealt = family.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block").join(texts_of(family), "node")
+        dealt = family.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), "blocks").cast("int")).join(texts_of(family), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block", "text")
         more = keep(dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(joined, "node bigint, leader bigint"), "links")
         stars = components(stars.unionByName(edges_of(more)))
 

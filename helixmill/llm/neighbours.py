@@ -2,7 +2,7 @@
 
 Vectors are scaled to length 1; their chord distance is a metric that orders as the cosine does. Equal vectors are one point with its k + 1 smallest ids (found by ranks in salted groups), so that a vector with a third of all rows costs one point. Points are dealt to shards of about ``shard_points`` by hash; each task builds the trees of its shards (a vantage point, the median distance, inside and outside, down to leaves) and the trees are a written table.
 
-A search visits a tree's inside or outside part only if the triangle inequality leaves room for a nearer point than the k-th found: the ball of radius r / ``factor`` must reach over the border. ``factor`` 1 is exact; larger ones prune more and may miss. Queries go in blocks of at most ``block_bytes``, each broadcast on its own; per query, each shard returns its k + 1 best points and all that tie with them, and the best are chosen by the cosine of the original vectors, summed in double precision in order of components, ties to the smaller id.
+A search visits a tree's inside or outside part only if the triangle inequality leaves room for a nearer point than the k-th found: the ball of radius r / ``factor`` must reach over the border. ``factor`` 1 is exact; larger ones prune more and may miss. Queries go in blocks of at most ``block_bytes``, each broadcast on its own; per query, each shard returns its k + 1 best points, of ties those with the smallest ids, so that a direction with many vectors (multiples of one) gives no more, and the best are chosen by the cosine of the original vectors, summed in double precision in order of components, ties to the smaller id.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, as queries or candidates; vectors of unlike dimension are never neighbours; a query with no candidate gives no row; rows that repeat an id are candidates to each other's id only (a query's own id is never its neighbour); null ids take no part. An empty table gives an empty result.
 """
@@ -82,6 +82,14 @@ def search_tree(tree, points: np.ndarray, q: np.ndarray, k: int, factor: float)
     return [(x, r) for x, r in found if x <= limit]
 
 
+def cosine(rows: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Cosines with sums in order of components, as Spark's ``aggregate`` adds them up."""
+    dot, of_rows, of_w = np.zeros(len(rows)), np.zeros(len(rows)), 0.0
+    for d in range(len(w)):
+        dot, of_rows, of_w = dot + w[d] * rows[:, d], of_rows + rows[:, d] * rows[:, d], of_w + w[d] * w[d]
+    return dot / (np.sqrt(of_w) * np.sqrt(of_rows))
+
+
 def clean_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the rows that take part, v as doubles."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
@@ -111,14 +119,14 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.
 
         raw = np.stack([np.asarray(v, "f8") for v in pdf["v"]])
         unit = scaled(raw)
-        blob = pickle.dumps((build_tree(unit), unit), protocol=5)
+        blob = pickle.dumps((build_tree(unit), unit, raw, pdf["least"].to_numpy()), protocol=5)
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "dim": [raw.shape[1]], "p": [pdf["p"].tolist()], "tree": [blob]})
 
     def scaled(raw: np.ndarray) -> np.ndarray:
         raw = raw / np.abs(raw).max(axis=1, keepdims=True)
         return raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
 
-    dealt = points.select("p", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("p", F.lit(7)), F.lit(shards)).alias("shard"))
+    dealt = points.select("p", "v", F.col("ids")[0].alias("least"), F.size("v").alias("dim"), F.pmod(F.xxhash64("p", F.lit(7)), F.lit(shards)).alias("shard"))
     trees = common.stage(dealt.groupBy("shard", "dim").applyInPandas(plant, "shard bigint, dim int, p array<bigint>, tree binary"), "trees")
 
     asked = common.stage(clean_vectors(queries, id_col, vector_col).select(F.col("id").alias("query_id"), F.xxhash64("v").alias("p"), "v").dropDuplicates(["query_id", "p"]), "queries")
@@ -131,15 +139,20 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.
         by_dim: dict[int, tuple[list[int], np.ndarray]] = {}
         for dim in {len(r.v) for r in rows}:
             own = [r for r in rows if len(r.v) == dim]
-            by_dim[dim] = ([r.p for r in own], scaled(np.array([r.v for r in own], "f8")))
+            raw = np.array([r.v for r in own], "f8")
+            by_dim[dim] = ([r.p for r in own], scaled(raw), raw)
         held = spark.sparkContext.broadcast(by_dim)
 
         def look(batches, held=held):
             for batch in batches:
                 for dim, keys, blob in zip(*(batch.column(c).to_pylist() for c in ("dim", "p", "tree")), strict=True):
-                    names, vectors = held.value.get(dim, ([], []))
-                    tree, unit = pickle.loads(blob)  # noqa: S301  written above
-                    out = [(q, keys[r]) for q, v in zip(names, vectors, strict=True) for _, r in search_tree(tree, unit, v, k + 1, factor)]
+                    names, vectors, whole = held.value.get(dim, ([], [], []))
+                    tree, unit, raw, least = pickle.loads(blob)  # noqa: S301  written above
+                    out = []
+                    for q, v, w in zip(names, vectors, whole, strict=True):
+                        rows = np.array([r for _, r in search_tree(tree, unit, v, k + 1, factor)], "i8")
+                        best = np.lexsort((least[rows], -cosine(raw[rows], w)))[: k + 1]
+                        out += [(q, keys[r]) for r in rows[best].tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["q", "p"])
 
         part = common.stage(trees.repartition(max(shards, 1), "shard", "dim").mapInArrow(look, "q bigint, p bigint"), "found")

@@ -258,6 +258,15 @@ def test_neighbours_against_brute_force(spark, none, factor):
     assert neighbours.nearest(empty, empty).count() == 0
 
 
+def test_multiples_of_one_vector_stay_few(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=6)
+    rows = [(i, (base * 2.0 ** (i % 9)).tolist()) for i in range(400)] + [(1_000 + i, rng.normal(size=6).tolist()) for i in range(100)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = neighbours.nearest(table, table.where("vec_id in (0, 7)"), 5, 1.0, shard_points=64).collect()
+    assert {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (0, 7)} == {0: [1, 2, 3, 4, 5], 7: [0, 1, 2, 3, 4]}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
