@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from helixmill.llm import common
 
 LONGEST_KEPT = 48
-#: Bytes of a worker's chunks, and of its pre-tokens; and what an entry costs beside its characters (of a dictionary, a string and a value).
-CACHE_BYTES, PIECE_BYTES, ENTRY_BYTES = 96_000_000, 40_000_000, 190
+#: Bytes of a worker's chunks, and what an entry costs beside its characters (of a dictionary, a string and a value).
+CACHE_BYTES, ENTRY_BYTES = 150_000_000, 190
 #: The frequent table: its entries, the partitions looked at for it, and the texts of each.
 TABLE_ENTRIES, TABLE_PARTITIONS, TABLE_TEXTS = 32_768, 8, 1_000
 _ACROSS = re.compile(r"\s (?:\s|\Z)")
@@ -67,30 +67,28 @@ _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _PLAIN = {"led": re.compile(rf"[{_LETTERS}]+|[0-9]+|[!-&(-/:-@\[-`{{-~]+"), "bare": re.compile(rf"[{_LETTERS}]+|[0-9]|[!-&(-/:-@\[-`{{-~]+")}
 
 
-class Pieces(common.Cache):
-    """Pre-token to its ids by the tokenizer's model alone, which spares the library's work of aligning each piece with its text."""
+class Pieces:
+    """Cuts plain chunks into pre-tokens, and gives a pre-token's ids by the tokenizer's model alone, which spares the library's work of aligning each with its text."""
 
     def __init__(self, path: str):
-        super().__init__(PIECE_BYTES)
         from tokenizers.pre_tokenizers import ByteLevel
 
         tok, self.rule = load(path), cut_rule(path)
         self.model, self.added = tok.model, [x.content for x in tok.get_added_tokens_decoder().values()]
+        self.find = _PLAIN[self.rule].findall
         shown = ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {i: "".join(x for x, _ in shown.pre_tokenize_str(chr(i))) for i in range(32, 256)}
 
-    def of(self, piece: str) -> tuple[tuple[int, ...], int]:
-        return tuple(x.id for x in self.model.tokenize(piece.translate(self.shown))), ENTRY_BYTES + len(piece)
-
-    def ids(self, chunk: str, lead: str) -> list[int] | None:
-        """The ids of a chunk of plain characters, else None."""
-        parts = _PLAIN[self.rule].findall(chunk)
-        if not parts or sum(map(len, parts)) != len(chunk) or any(x in chunk for x in self.added):
+    def cut(self, chunk: str) -> list[str] | None:
+        """The pre-tokens of a chunk of plain characters, else None."""
+        parts = self.find(chunk)
+        if not parts or len("".join(parts)) != len(chunk) or any(x in chunk for x in self.added):
             return None
-        if self.rule == "bare":
-            parts = [x.lower() for x in parts]
-        parts[0] = lead + parts[0]
-        return [i for x in parts for i in self[x]]
+        return parts
+
+    def ids(self, piece: str, lead: str) -> list[int]:
+        piece = piece.lower() if self.rule == "bare" else lead + piece
+        return [x.id for x in self.model.tokenize(piece.translate(self.shown))]
 
 
 class Chunks(common.Cache):
@@ -105,10 +103,17 @@ class Chunks(common.Cache):
         head, line, tail = chunk.partition("\n")
         if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
             return self[head] + self.line + self.after[tail], None
-        ids = self.pieces.ids(chunk, self.lead) if len(chunk) <= LONGEST_KEPT else None
-        if ids is None:
-            ids = self.tok.encode(self.lead + chunk, add_special_tokens=False).ids
-        return self.value(ids), ENTRY_BYTES + len(chunk) if len(chunk) <= LONGEST_KEPT else None
+        if len(chunk) > LONGEST_KEPT:
+            return self.value(self.tok.encode(self.lead + chunk, add_special_tokens=False).ids), None
+        parts, cost = self.pieces.cut(chunk), ENTRY_BYTES + len(chunk)
+        if parts is None:
+            return self.value(self.tok.encode(self.lead + chunk, add_special_tokens=False).ids), cost
+        if len(parts) == 1:
+            return self.value(self.pieces.ids(chunk, self.lead)), cost
+        found = self[parts[0]]
+        for x in parts[1:]:
+            found += self.after[x]
+        return found, cost
 
 
 def chunks(path: str, kind: str, seed=None) -> tuple[Chunks, Chunks]:
@@ -120,8 +125,8 @@ def chunks(path: str, kind: str, seed=None) -> tuple[Chunks, Chunks]:
         if cut_rule(path) == "bare":
             both = Chunks(path, "", value, CACHE_BYTES, own, pieces, None)
             return both, both
-        first = Chunks(path, "", value, CACHE_BYTES // 4, None, pieces, None)
-        return Chunks(path, " ", value, CACHE_BYTES * 3 // 4, own, pieces, first), first
+        first = Chunks(path, "", value, CACHE_BYTES // 5, None, pieces, None)
+        return Chunks(path, " ", value, CACHE_BYTES * 4 // 5, own, pieces, first), first
 
     return common.worker_state(("tokens", path, kind), make)
 
