@@ -113,22 +113,30 @@ def probability(x, curve: tuple[float, float]):
 
 
 def fit_curve(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, float]:
-    """Logistic regression on log(1 + strength), from counts of either label at each strength; Newton's method with a weak ridge."""
+    """Logistic regression on log(1 + strength), from counts of either label at each strength; Newton's method with a weak ridge. Steps that would lower the penalised likelihood are halved, as whole steps can diverge where the labels are nearly separable."""
     n0, n1 = n0.astype(float), n1.astype(float)
     total = n0.sum() + n1.sum()
     prior = (n1.sum() + 0.5) / (total + 1)
     beta = np.array([math.log(prior / (1 - prior)), 0.0])
     if not n0.sum() or not n1.sum():
         return float(beta[0]), 0.0
-    design = np.stack([np.ones_like(x), np.log1p(x)], 1)
-    for _ in range(50):
+    design, ridge = np.stack([np.ones_like(x), np.log1p(x)], 1), np.array([1e-9, 1e-3])
+
+    def loss(b: np.ndarray) -> float:
+        z = design @ b
+        return float(n0 @ np.logaddexp(0, z) + n1 @ np.logaddexp(0, -z) + ridge @ (b * b) / 2)
+
+    now = loss(beta)
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        grad = design.T @ (n1 - (n0 + n1) * p) - np.array([0, 1e-3]) * beta
-        hess = (design * ((n0 + n1) * p * (1 - p))[:, None]).T @ design + np.diag([1e-9, 1e-3])
+        grad = design.T @ (n1 - (n0 + n1) * p) - ridge * beta
+        hess = (design * ((n0 + n1) * p * (1 - p))[:, None]).T @ design + np.diag(ridge)
         step = np.linalg.solve(hess, grad)
-        beta = beta + step
-        if np.abs(step).max() < 1e-10:
+        while (new := loss(beta + step)) > now and np.abs(step).max() >= 1e-10:
+            step = step / 2
+        if new > now or np.abs(step).max() < 1e-10:
             break
+        beta, now = beta + step, new
     return float(beta[0]), float(max(beta[1], 0.0))
 
 

@@ -396,6 +396,16 @@ def test_lambda_solves_its_equation():
         assert abs(k - (shares[:-1] * np.exp(lam * scores[:-1])).sum()) < 1e-12
 
 
+def test_curve_converges_on_nearly_separable_counts():
+    """Whole Newton steps diverge on these counts; the gradient of the penalised likelihood must vanish."""
+    x, n0, n1 = np.array([0.0, 128.6, 185.2, 284.9]), np.array([67699.0, 297, 139, 130]), np.array([2.0, 450, 4630, 2112])
+    a, b = toxicity.fit_curve(x, n0, n1)
+    p = toxicity.probability(x, (a, b))
+    left = n1 - (n0 + n1) * p
+    assert b > 0 and abs(left.sum()) < 0.01 and abs(left @ np.log1p(x) - 1e-3 * b) < 0.01
+    assert p[0] < 1e-3 and p[2] > 0.9
+
+
 @pytest.mark.parametrize(("similarity", "words"), [(0.8, 200), (0.81, 60), (0.85, 200), (0.9, 200)])
 def test_recall_of_sketches(similarity, words):
     """Pairs with random substitutions, by brute force over all of them."""
