@@ -2,15 +2,13 @@
 
 Vectors are scaled to length 1; their chord distance is a metric that orders as the cosine does. Equal vectors are one point with its k + 1 smallest ids (found by ranks in salted groups), so that a vector with a third of all rows costs one point. Points are dealt to shards of about ``shard_points`` by hash; each task builds the trees of its shards (a vantage point, the median distance, inside and outside, down to leaves) and the trees are a written table.
 
-A search visits a tree's inside or outside part only if the triangle inequality leaves room for a nearer point than the k-th found: the ball of radius r / ``factor`` must reach over the border. ``factor`` 1 is exact; larger ones prune more and may miss. Queries go in blocks of at most ``block_bytes``, each broadcast on its own; per query, each shard returns its k + 1 best points, of ties those with the smallest ids, so that a direction with many vectors (multiples of one) gives no more, and the best are chosen by the cosine of the original vectors, summed in double precision in order of components, ties to the smaller id.
+A search visits a tree's inside or outside part only if the triangle inequality leaves room for a nearer point than the k-th found: the ball of radius r / ``factor`` must reach over the border. ``factor`` 1 is exact; larger ones prune more and may miss. A block of queries walks a tree together, so that a leaf is compared with all queries that come to it as one matrix product. Queries go in blocks of at most ``block_bytes``, each broadcast on its own; per query, each shard returns its k + 1 best points, of ties those with the smallest ids, so that a direction with many vectors (multiples of one) gives no more, and the best are chosen by the cosine of the original vectors, summed in double precision in order of components, ties to the smaller id.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, as queries or candidates; vectors of unlike dimension are never neighbours; a query with no candidate gives no row; rows that repeat an id are candidates to each other's id only (a query's own id is never its neighbour); null ids take no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
 import pickle
 
 import numpy as np
@@ -20,7 +18,11 @@ from pyspark.sql import functions as F
 
 from helixmill.llm import common
 
-LEAF, SHARD_POINTS, BLOCK_BYTES, SALTS, SLACK = 64, 8_192, 32_000_000, 16, 1e-9
+LEAF, SHARD_POINTS, BLOCK_BYTES, SALTS = 64, 8_192, 32_000_000, 16
+#: Rounding of products of unit vectors, and of chords that are worked out from them.
+TIE, SLACK = 1e-12, 2e-6
+#: Queries that walk a tree together; pairs that gather before the best are chosen; pairs whose cosine is worked out at a time.
+QUERIES, HELD, PAIRS = 2_048, 200_000, 20_000
 
 
 def chord(points: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -46,50 +48,102 @@ def build_tree(points: np.ndarray, leaf: int = LEAF):
     return node(np.arange(len(points)))
 
 
-def search_tree(tree, points: np.ndarray, q: np.ndarray, k: int, factor: float) -> list[tuple[float, int]]:
-    """The k nearest rows (distance, row), and all within SLACK of the k-th."""
-    best: list[float] = []  # negative distances
-    found: list[tuple[float, int]] = []
-
-    def offer(d: np.ndarray, rows) -> None:
-        limit = (-best[0] if len(best) == k else math.inf) + SLACK
-        for x, r in zip(d.tolist(), rows, strict=True):
-            if x <= limit:
-                found.append((x, int(r)))
-                heapq.heappush(best, -x)
-                if len(best) > k:
-                    heapq.heappop(best)
-                if len(best) == k:
-                    limit = -best[0] + SLACK
-
-    todo = [(0.0, tree)]
+def leaf_of(tree, points: np.ndarray, q: np.ndarray):
+    """The leaf a vector would be filed in."""
+    while isinstance(tree, tuple):
+        vantage, radius, inside, outside = tree
+        tree = inside if chord(points[vantage : vantage + 1], q)[0] <= radius else outside
+    return tree
+
+
+def search_block(tree, points: np.ndarray, block: np.ndarray, k: int, factor: float, choose) -> tuple[np.ndarray, np.ndarray, int]:
+    """(query, row) of the nearest rows of each query of a block, and how many pairs were compared. A query starts in its own leaf; then the block walks the tree together, each query as far as the triangle inequality asks.
+
+    Kept are rows whose product is within TIE of a query's k-th largest; ``choose(query, row)`` gives the places of those to keep, at most k a query, whenever many have gathered and at the end.
+    """
+    best = np.full((len(block), k), -np.inf)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    waiting = compared = 0
+
+    def offer(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        nonlocal waiting, compared
+        product = block[at] @ points[rows].T
+        compared += product.size
+        both = np.concatenate([best[at], product], axis=1)
+        best[at] = np.partition(both, -k, axis=1)[:, -k:]
+        i, j = np.nonzero(product >= best[at].min(axis=1)[:, None] - TIE)
+        held.append((at[i], rows[j], product[i, j]))
+        waiting += len(i)
+        if waiting > HELD:
+            shrink()
+        return product
+
+    def shrink() -> None:
+        nonlocal waiting
+        if not held:
+            return
+        at, rows, product = (np.concatenate(x) for x in zip(*held, strict=True))
+        fit = product >= best.min(axis=1)[at] - TIE
+        at, rows, product = at[fit], rows[fit], product[fit]
+        keep = choose(at, rows)
+        held[:] = [(at[keep], rows[keep], product[keep])]
+        waiting = 0
+
+    homes: dict[int, tuple[np.ndarray, list[int]]] = {}
+    for i in range(len(block)):
+        leaf = leaf_of(tree, points, block[i])
+        homes.setdefault(id(leaf), (leaf, []))[1].append(i)
+    home = np.zeros(len(block), "i8")
+    for key, (leaf, own) in homes.items():
+        home[own] = key
+        if len(leaf):
+            offer(np.array(own), leaf)
+
+    todo = [(tree, np.arange(len(block)), np.zeros(len(block)))]
     while todo:
-        least, at = todo.pop()
-        reach = (-best[0] if len(best) == k else math.inf) / factor + SLACK
-        if least > reach:
-            continue
-        if not isinstance(at, tuple):
-            if len(at):
-                offer(chord(points[at], q), at)
-            continue
-        vantage, radius, inside, outside = at
-        d = float(chord(points[vantage : vantage + 1], q)[0])
-        offer(np.array([d]), [vantage])
-        near, far = ((d - radius, inside), (radius - d, outside)) if d <= radius else ((radius - d, outside), (d - radius, inside))
-        todo.append((max(least, far[0]), far[1]))
-        todo.append((max(least, near[0]), near[1]))
-    limit = (-best[0] if best else 0.0) + SLACK
-    return [(x, r) for x, r in found if x <= limit]
+        node, at, least = todo.pop()
+        reach = np.sqrt(np.maximum(2 - 2 * (best[at].min(axis=1) - TIE), 0.0)) / factor + SLACK
+        near = least <= reach
+        at, least = at[near], least[near]
+        if not isinstance(node, tuple):
+            at = at[home[at] != id(node)]
+            if len(at) and len(node):
+                offer(at, node)
+        elif len(at):
+            vantage, radius, inside, outside = node
+            d = np.sqrt(np.maximum(2 - 2 * offer(at, np.array([vantage]))[:, 0], 0.0))
+            todo.append((outside, at, np.maximum(least, radius - d)))
+            todo.append((inside, at, np.maximum(least, d - radius)))
+    shrink()
+    at, rows, _ = held[0] if held else (np.zeros(0, "i8"),) * 3
+    return at, rows, compared
 
 
 def cosine(rows: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Cosines with sums in order of components, as Spark's ``aggregate`` adds them up."""
-    dot, of_rows, of_w = np.zeros(len(rows)), np.zeros(len(rows)), 0.0
-    for d in range(len(w)):
-        dot, of_rows, of_w = dot + w[d] * rows[:, d], of_rows + rows[:, d] * rows[:, d], of_w + w[d] * w[d]
+    """Cosines of pairs of rows, with sums in order of components, as Spark's ``aggregate`` adds them up."""
+    dot, of_rows, of_w = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows))
+    for d in range(rows.shape[1]):
+        x, y = rows[:, d], w[:, d]
+        dot, of_rows, of_w = dot + y * x, of_rows + x * x, of_w + y * y
     return dot / (np.sqrt(of_w) * np.sqrt(of_rows))
 
 
+def chosen(raw: np.ndarray, least: np.ndarray, asked: np.ndarray, k: int):
+    """For ``search_block``: places of the k best pairs of each query by the exact cosine, ties to the smaller id."""
+
+    def choose(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        if not len(at):
+            return at
+        score = np.concatenate([cosine(raw[rows[i : i + PAIRS]], asked[at[i : i + PAIRS]]) for i in range(0, len(at), PAIRS)])
+        order = np.lexsort((least[rows], -score, at))
+        ranked = at[order]
+        first = np.r_[True, ranked[1:] != ranked[:-1]]
+        place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        return order[place < k]
+
+    return choose
+
+
 def clean_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the rows that take part, v as doubles."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
@@ -148,12 +202,10 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.
                 for dim, keys, blob in zip(*(batch.column(c).to_pylist() for c in ("dim", "p", "tree")), strict=True):
                     names, vectors, whole = held.value.get(dim, ([], [], []))
                     tree, unit, raw, least = pickle.loads(blob)  # noqa: S301  written above
-                    out = []
-                    for q, v, w in zip(names, vectors, whole, strict=True):
-                        rows = np.array([r for _, r in search_tree(tree, unit, v, k + 1, factor)], "i8")
-                        best = np.lexsort((least[rows], -cosine(raw[rows], w)))[: k + 1]
-                        out += [(q, keys[r]) for r in rows[best].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["q", "p"])
+                    for i in range(0, len(names), QUERIES):
+                        part = slice(i, i + QUERIES)
+                        at, rows, _ = search_block(tree, unit, vectors[part], k + 1, factor, chosen(raw, least, whole[part], k + 1))
+                        yield pa.RecordBatch.from_arrays([pa.array([names[i + x] for x in at.tolist()], pa.int64()), pa.array([keys[r] for r in rows.tolist()], pa.int64())], ["q", "p"])
 
         part = common.stage(trees.repartition(max(shards, 1), "shard", "dim").mapInArrow(look, "q bigint, p bigint"), "found")
         found = part if found is None else found.union(part)

@@ -508,3 +508,38 @@ def test_sharding_keeps_small_groups_whole(spark, size, part):
     print("cut share", size, part, cut)
     assert {r.n for r in got.groupBy("shard").agg(F.count("*").alias("n")).collect()} == {n // 16}
     assert cut <= 0.05
+
+
+@pytest.mark.parametrize("dim", [3, 40])
+def test_blocks_of_queries_against_brute_force(dim, monkeypatch):
+    monkeypatch.setattr(neighbours, "HELD", 500)  # the best are chosen again and again
+    rng = np.random.default_rng(dim)
+    raw = rng.normal(size=(900, dim))
+    raw[700:] = raw[rng.integers(0, 5, 200)] * 2.0 ** rng.integers(-3, 4, 200)[:, None]  # many multiples of a few
+    unit = raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+    ids = rng.permutation(900)
+    asked = np.r_[np.arange(0, 900, 30), 701, 702]
+    for factor in (1.0, 2.0):
+        at, rows, compared = neighbours.search_block(neighbours.build_tree(unit, 16), unit, unit[asked], 6, factor, neighbours.chosen(raw, ids, raw[asked], 6))
+        assert compared <= len(asked) * 900
+        if dim == 3:
+            assert compared < 0.7 * len(asked) * 900
+        hits = 0
+        for i, q in enumerate(asked):
+            score = neighbours.cosine(raw, np.repeat(raw[q : q + 1], 900, axis=0))
+            best = np.lexsort((ids, -score))[:6].tolist()
+            got = rows[at == i].tolist()
+            hits += len(set(best) & set(got))
+            if factor == 1.0:
+                assert got == best
+        assert hits >= 0.7 * 6 * len(asked)
+
+
+def test_a_search_of_no_points_or_queries():
+    none = np.zeros((0, 4))
+    tree = neighbours.build_tree(none)
+    at, rows, compared = neighbours.search_block(tree, none, np.ones((2, 4)), 3, 1.0, neighbours.chosen(none, np.zeros(0), np.ones((2, 4)), 3))
+    assert len(at) == len(rows) == compared == 0
+    unit = np.eye(4)
+    at, _, _ = neighbours.search_block(neighbours.build_tree(unit), unit, none, 3, 1.0, neighbours.chosen(unit, np.arange(4), none, 3))
+    assert len(at) == 0
