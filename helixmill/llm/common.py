@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 CHECKPOINT = "spark.checkpoint.dir"
 #: Bytes of a column's values that are turned into Python objects at a time.
 SLICE_BYTES = 4_000_000
+#: Rows of a broadcast bitmap (of 64 bits each); a key with more than one in HOT of all rows is hot.
+SLOTS, HOT = 1 << 20, 1_000
 _STAGES: list[str] = []
 _OWN: dict[str, str] = {}
 
@@ -69,6 +71,34 @@ def remove(spark: SparkSession, *paths: str) -> None:
             _STAGES.remove(path)
 
 
+def possible(rows: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with a boolean ``name``: whether their long ``key`` may be in ``keys``; true for all that are and few others. What is broadcast is a bitmap of 64 ``SLOTS`` bits, a table of at most ``SLOTS`` rows however large ``keys`` is; the fuller it is, the more other rows are possible."""
+    slot = F.col(key).bitwiseAND(F.lit(SLOTS - 1))
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({key}, 20) & 63 as int))")
+    bitmap = keys.groupBy(slot.alias("_slot")).agg(F.bit_or(bit).alias("_bits"))
+    found = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return rows.withColumn("_slot", slot).join(F.broadcast(bitmap), "_slot", "left").withColumn(name, found).drop("_slot", "_bits")
+
+
+def among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose long ``key`` may be in ``keys``."""
+    return possible(rows, keys, key, "_among").where("_among").drop("_among")
+
+
+def join_repeated(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``rows`` left join ``groups``, a written table with one row a key and its number of rows, ``n``.
+
+    Keys with more than one in ``HOT`` of the grouped rows, fewer than ``HOT`` keys, are broadcast; rows of other keys meet theirs in a shuffle, which null keys and most keys without a group stay out of.
+    """
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot, cold = (groups.where(x).drop("n") for x in (F.col("n") * HOT > total, F.col("n") * HOT <= total))
+    first = rows.withColumn("_hash", F.xxhash64(key)).join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    told = possible(first, cold.select(F.xxhash64(key).alias("_hash")), "_hash", "_cold").withColumn("_cold", F.col("_cold") & F.col("_hot").isNull() & F.col(key).isNotNull())
+    direct = told.where("not _cold")
+    shuffled = told.where("_cold").drop(*(x for x in groups.columns if x not in (key, "n"))).join(cold, key, "left")
+    return direct.unionByName(shuffled).drop("_hash", "_hot", "_cold")
+
+
 def local_path(path: str) -> str | None:
     """The path for ``open`` if ``path`` is on a mounted file system, else None."""
     if path.startswith("file:"):

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from helixmill.llm import common
 
 K, L, M, SIMILARITY = 5, 5, 8, 0.8
-SLOTS = 1 << 20
 #: Bins of word counts; nodes of a block of a bucket, nodes and words of one of a family; members that meet one copy of their leader's text; parts of a class.
 BINS, BLOCK, FAMILY_BLOCK, BLOCK_WORDS, RUN, PARTS = 256, 1024, 512, 400_000, 64, 16
 SEEN = 200_000
@@ -236,14 +235,6 @@ def components(edges: DataFrame) -> DataFrame:
     return now
 
 
-def among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose long ``key`` may be in ``keys``: all that are and few others. What is broadcast is a bitmap of 64 ``SLOTS`` bits, a table of at most ``SLOTS`` rows however large ``keys`` is; the fuller it is, the more other rows pass."""
-    slot = F.col(key).bitwiseAND(F.lit(SLOTS - 1))
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({key}, 20) & 63 as int))")
-    bitmap = keys.groupBy(slot.alias("_slot")).agg(F.bit_or(bit).alias("_bits"))
-    return rows.withColumn("_slot", slot).join(F.broadcast(bitmap), "_slot").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_slot", "_bits")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, l: int = L, m: int = M, similarity: float = SIMILARITY) -> DataFrame:  # noqa: E741
     """Per row: its id, class_id (the smallest id of its class) and node (its text's key, null for a null text)."""
     spark = docs.sparkSession
@@ -303,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def texts_of(wanted: DataFrame) -> DataFrame:
         """(node, text) of nodes, read again by their smallest id; a bitmap of these rows keeps most others out of the shuffle."""
         wanted = keep(wanted.select("node").distinct().join(nodes.select("node", "rep"), "node"), "wanted")
-        likely = among(keyed.withColumn("row", F.xxhash64("node", "id")), wanted.select(F.xxhash64("node", "rep").alias("row")), "row")
+        likely = common.among(keyed.withColumn("row", F.xxhash64("node", "id")), wanted.select(F.xxhash64("node", "rep").alias("row")), "row")
         found = likely.join(wanted.withColumnRenamed("node", "wanted"), (F.col("node") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
         return keep(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
 

@@ -1,6 +1,6 @@
 """WARC archives: a writer with revisit records and a splittable reader.
 
-Writing: a row becomes one record, a gzip member of its own. Of rows with equal payloads (by SHA-1, of at least ``min_bytes`` bytes) the row with the largest key is a response and the others are revisits of it, which hold the HTTP header alone. Tasks write whole files under names of their own attempt; the manifest table lists those that count.
+Writing: a row becomes one record, a gzip member of its own. Of rows with equal payloads (by SHA-1, of at least ``min_bytes`` bytes) the row with the largest key is a response and the others are revisits of it, which hold the HTTP header alone. Payloads that occur once, and the few that make up much of the table, stay where they are read; only others are shuffled to meet their group. Tasks write whole files under names of their own attempt; the manifest table lists those that count.
 
 Reading: files are cut into byte ranges. A task looks in its range for gzip's magic bytes, takes a place for a member only if it inflates to a WARC record whose header can be decoded, and owns the records that start inside its range; the last one may end beyond it. After a record the next one starts where its member ends, so only the first of a range is looked for.
 
@@ -61,8 +61,8 @@ def write_archive(pages: DataFrame, path: str, key_col: str = "page_id", url_col
     """Write all rows under ``path``; returns the manifest (file, bytes, n_records), itself a table there."""
     payload = F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(key_col).cast("bigint").alias("key"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
-    again = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.max("key").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("sha", "last")
-    marked = rows.join(again, "sha", "left").select("key", "url", "payload", F.when(F.col("last") != F.coalesce("key", F.col("last") - 1), F.col("last")).alias("original"))
+    again = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.max("key").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null")
+    marked = common.join_repeated(rows, common.stage(again, "repeated"), "sha").select("key", "url", "payload", F.when(F.col("last") != F.coalesce("key", F.col("last") - 1), F.col("last")).alias("original"))
 
     def write(batches):
         n = 0

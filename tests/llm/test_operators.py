@@ -459,9 +459,9 @@ def test_worker_keeps_one_operators_state():
 def test_among_keeps_every_key(spark):
     rows = spark.range(5000).withColumn("key", F.xxhash64("id"))
     keys = rows.where("id % 7 = 0").select("key")
-    kept = {x.id for x in near_duplicates.among(rows, keys, "key").select("id").collect()}
+    kept = {x.id for x in common.among(rows, keys, "key").select("id").collect()}
     assert {x for x in range(0, 5000, 7)} <= kept and len(kept) < 720
-    assert near_duplicates.among(rows, keys.limit(0), "key").count() == 0
+    assert common.among(rows, keys.limit(0), "key").count() == 0
 
 
 def test_near_duplicates_behind_a_common_passage(spark):
@@ -543,3 +543,13 @@ def test_a_search_of_no_points_or_queries():
     unit = np.eye(4)
     at, _, _ = neighbours.search_block(neighbours.build_tree(unit), unit, none, 3, 1.0, neighbours.chosen(unit, np.arange(4), none, 3))
     assert len(at) == 0
+
+
+@pytest.mark.parametrize("hot", [1, 4, 10**9])
+def test_join_of_repeated_keys_equals_a_plain_one(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else f"k{min(i % 90, 40)}") for i in range(900)] + [(None, "k1"), (None, None)], "id bigint, g string")
+    groups = common.stage(rows.where("g is not null").groupBy("g").agg(F.count("*").alias("n"), F.max("id").alias("last")).where("n > 10"), "t")
+    want = sorted(map(repr, map(tuple, rows.join(groups, "g", "left").select("id", "g", "last").collect())))
+    assert sorted(map(repr, map(tuple, common.join_repeated(rows, groups, "g").select("id", "g", "last").collect()))) == want
+    assert common.join_repeated(rows.limit(0), groups.limit(0), "g").count() == 0
