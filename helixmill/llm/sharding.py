@@ -81,16 +81,17 @@ def shard_rows(rows: DataFrame, shards: int, id_col: str = "id", link_col: str =
     names = {f"k{i}": c for i, c in enumerate(keep)}
     base = rows.select(F.col(id_col).alias("id"), F.col(link_col).alias("g"), *[F.col(c).alias(k) for k, c in names.items()])
     base = common.stage(global_rank(base, "start"), "shard-rows")
-    groups = base.where("g is not null").groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    groups = common.stage(base.where("g is not null").groupBy("g").agg(F.count("*").alias("n")).where("n > 1").withColumn("linked", F.lit(True)), "groups")
+    base = common.stage(common.join_repeated(base, groups, "g"), "shard-linked")
     total = base.count()
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
-    first = base.join(groups, "g", "left_semi")
+    first = base.where("linked")
     cells = propagate(first.groupBy("g", F.pmod("start", F.lit(shards)).cast("int").alias("s")).agg(F.count("*").alias("n")), capacity)
 
     # places of a group in order of shard: [from, to)
     upto = Window.partitionBy("g").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
     places = cells.select("g", F.struct(F.sum("n").over(upto).alias("to"), "s").alias("c")).groupBy("g").agg(F.sort_array(F.collect_list("c")).alias("cells"))  # at most ``shards`` a group
-    parted = base.join(groups, "g", "left_semi").withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(PARTS)).cast("int"))
+    parted = base.where("linked").withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(PARTS)).cast("int"))
     sizes = parted.groupBy("g", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = common.stage(sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).join(places, "g").select("g", "part", "base", "cells"), "places")
@@ -106,7 +107,7 @@ def shard_rows(rows: DataFrame, shards: int, id_col: str = "id", link_col: str =
     for s in range(shards):
         done += capacity[s] - held.get(s, 0)
         bounds.append(done)
-    single = global_rank(base.join(groups, "g", "left_anti"), "at")
+    single = global_rank(base.where("linked is null"), "at")
     place = F.lit(0)
     for b in bounds[:-1]:
         place = place + (F.col("at") >= b).cast("int")
