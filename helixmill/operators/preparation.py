@@ -137,6 +137,11 @@ def top_features(scores: DataFrame, score: str, k: int, by: tuple[str, ...] = ()
     return scores.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select(*by, "rank", "feature", score)
 
 
+def only_selected(scores: DataFrame, selected: DataFrame) -> DataFrame:
+    """Scores of the features that an earlier selection holds, for the variants of selectors that start from one. Repeated features of the selection count once, null features never; an empty selection leaves no row."""
+    return scores.join(selected.select("feature"), "feature", "left_semi")
+
+
 def all_features(long: DataFrame) -> DataFrame:
     """Every feature, ranked by name: the selection that selects nothing away."""
     return long.select("feature").distinct().withColumn("rank", F.row_number().over(Window.orderBy("feature")).cast("int"))  # a row a feature

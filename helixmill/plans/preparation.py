@@ -146,6 +146,29 @@ def top_su(spark, sf):
     return pr.top_features(rounded(ev.symmetrical_uncertainty(fx.feature_matrix(spark, sf)), "su").select("feature", "su"), "su", 11)
 
 
+def _of_significant(score: str, sql: str) -> str:
+    return f"""WITH t AS ({sql}), g AS (WITH {SIGS} SELECT feature FROM signatures WHERE method = 'sig'),
+k AS (SELECT feature, {score}, CAST(row_number() OVER (ORDER BY {score} DESC, feature) AS INTEGER) AS rank FROM t WHERE feature IN (SELECT feature FROM g)) SELECT rank, feature, {score} FROM k WHERE rank <= 11"""
+
+
+def significant_of(spark, sf):
+    return ex.significant(ex.differential_expression(fx.feature_matrix(spark, sf)))
+
+
+@query("top_auc_sig", _of_significant("auc", f"WITH {AUC}, v AS (SELECT *, (neg - fp + n / 2) / neg AS v10 FROM roc), s AS (SELECT feature, max(pos) AS pos, sum(p * v10) AS s1 FROM v GROUP BY feature) SELECT feature, round(greatest(s1 / pos, 1 - s1 / pos), 8) AS auc FROM s"))
+def top_auc_sig(spark, sf):
+    """The best AUC among significant features."""
+    scores = rounded(ev.auc(scored(spark, sf)), "auc").select("feature", "auc")
+    return pr.top_features(pr.only_selected(scores, significant_of(spark, sf)), "auc", 11)
+
+
+@query("top_su_sig", _of_significant("su", f"SELECT feature, su FROM ({ORACLES['symmetrical_uncertainty']})"))
+def top_su_sig(spark, sf):
+    """The best symmetrical uncertainty among significant features."""
+    scores = rounded(ev.symmetrical_uncertainty(fx.feature_matrix(spark, sf)), "su").select("feature", "su")
+    return pr.top_features(pr.only_selected(scores, significant_of(spark, sf)), "su", 11)
+
+
 @query("all_features", f"WITH {FEATURES}, f AS (SELECT DISTINCT feature FROM feat) SELECT feature, CAST(row_number() OVER (ORDER BY feature) AS INTEGER) AS rank FROM f")
 def all_features(spark, sf):
     return pr.all_features(fx.feature_matrix(spark, sf))

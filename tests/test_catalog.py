@@ -152,3 +152,10 @@ def test_names_change_in_order_of_rows(spark):
     got = {r.feature: r.corrected for r in assembly.correct_names(names, aliases).collect()}
     assert got == {"a": "b", "b": "d", "z": "z", None: None}
     assert assembly.correct_names(names.limit(0), aliases).count() == 0
+
+
+def test_only_selected_counts_repeats_once(spark):
+    scores = spark.createDataFrame([("a", 1.0), ("b", 2.0), (None, 3.0), ("c", None)], "feature string, score double")
+    selected = spark.createDataFrame([("a",), ("a",), ("c",), (None,), ("z",)], "feature string")
+    assert sorted(r.feature for r in preparation.pr.only_selected(scores, selected).collect()) == ["a", "c"]
+    assert preparation.pr.only_selected(scores, selected.limit(0)).count() == 0
