@@ -270,7 +270,7 @@ def test_multiples_of_one_vector_stay_few(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents", "labels", "conversations"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     want = c.sql(queries.ORACLES[name])
