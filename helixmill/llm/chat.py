@@ -55,11 +55,11 @@ CHATML = Template()
 
 
 def stretches(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """The rows with the piece they belong to: (stretch, sub), never null; (bucket, sub) orders those of a conversation."""
+    """The rows with the piece they belong to: stretch, never null; (bucket, sub) orders those of a conversation."""
     turn = F.col(turn_col).cast("bigint")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = turns.select(F.col(conv_col).alias("conv_id"), turn.alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), text.alias("text"), F.coalesce(F.shiftright(turn, PIECE_BITS), F.lit(-(2**63)).cast("bigint")).alias("bucket"))
-    rows = rows.withColumn("stretch", F.concat(F.when(F.col("conv_id").isNull(), "n").otherwise(F.concat(F.lit("v"), F.col("conv_id").cast("string"))), F.lit("/"), F.col("bucket").cast("string")))
+    rows = rows.withColumn("stretch", F.concat(F.coalesce(F.concat(F.lit("v"), F.col("conv_id").cast("string")), F.lit("n")), F.lit("/"), F.col("bucket").cast("string")))
     sized = rows.groupBy("stretch").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     crowded = common.stage(sized.where((F.col("n") > PIECE_ROWS) | ((F.col("bytes") > PIECE_BYTES) & (F.col("n") > 1))), "crowded")
     total = crowded.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
@@ -68,7 +68,7 @@ def stretches(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, tex
     told = common.join_repeated(rows, crowded.select("stretch", "n", F.lit(True).alias("crowded")), "stretch")
     parts = 1 + max(4 * total.n // PIECE_ROWS, 4 * total.bytes // PIECE_BYTES)
     dense = told.where("crowded").repartitionByRange(int(parts), "conv_id", F.asc_nulls_first("turn"), "role", F.substring("text", 1, PREFIX))
-    dense = common.stage(dense.drop("crowded").withColumn("sub", F.spark_partition_id() + 1), "dense")
+    dense = common.stage(dense.drop("crowded").withColumn("sub", F.spark_partition_id() + 1).withColumn("stretch", F.concat("stretch", F.lit("/"), F.col("sub").cast("string"))), "dense")
     return told.where("crowded is null").drop("crowded").withColumn("sub", F.lit(0)).unionByName(dense)
 
 
@@ -78,12 +78,11 @@ def format_conversations(turns: DataFrame, template: Template = CHATML, learn: t
     A conversation's string is that of its pieces in order (``whole``); nearly all conversations are one piece. Texts are shuffled once, by piece; how pieces follow each other is worked out from rows without texts.
     """
     rows = stretches(turns, conv_col, turn_col, role_col, text_col)
-    by = ("stretch", "sub")
     order = Window.partitionBy("conv_id").orderBy("bucket", "sub")
-    ends = rows.groupBy(*by, "conv_id", "bucket").agg(F.max(F.struct("turn", "role"))["role"].alias("last"))
-    ends = ends.select(*by, F.lag("last").over(order).alias("before"), (F.row_number().over(order) - 1).alias("piece"), F.count("*").over(Window.partitionBy("conv_id")).cast("int").alias("pieces")).where("pieces > 1")
-    gathered = rows.groupBy(*by).agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    placed = gathered.join(ends, list(by), "left").select("conv_id", F.coalesce("piece", F.lit(0)).alias("piece"), F.coalesce("pieces", F.lit(1)).alias("pieces"), "before", "turns")
+    ends = rows.groupBy("stretch", "conv_id", "bucket", "sub").agg(F.max(F.struct("turn", "role"))["role"].alias("last"))
+    ends = ends.select("stretch", F.lag("last").over(order).alias("before"), (F.row_number().over(order) - 1).alias("piece"), F.count("*").over(Window.partitionBy("conv_id")).cast("int").alias("pieces")).where("pieces > 1")
+    gathered = rows.groupBy("stretch").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    placed = gathered.join(ends, "stretch", "left").select("conv_id", F.coalesce("piece", F.lit(0)).alias("piece"), F.coalesce("pieces", F.lit(1)).alias("pieces"), "before", "turns")
 
     bodies = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), template.escape(t["text"]).alias("body"), t["role"].isin(*learn).alias("learned")))
     start = F.struct(F.col("before").alias("role"), F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("loss"))
