@@ -95,12 +95,15 @@ def symmetrical_uncertainty(long: DataFrame, bins: int = 4) -> DataFrame:
     """2 (H(X) + H(Y) - H(X, Y)) / (H(X) + H(Y)) of each feature's equal-width bins and the class."""
     span = long.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     b = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0)
-    cells = long.join(span, "feature").groupBy("feature", b.alias("bin"), "class").agg(F.count("*").alias("n"))
+    return uncertainty(long.join(span, "feature").groupBy("feature", b.alias("bin"), "class").agg(F.count("*").alias("n")))
+
+
+def uncertainty(cells: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:
+    """by, su and gain, from contingency counts (by, bin, class, n): 2 (H(X) + H(Y) - H(X, Y)) / (H(X) + H(Y)), 0 where neither varies."""
     h = lambda n, total: -F.sum(n / total * F.log2(n / total))
-    total = F.sum("n").over(Window.partitionBy("feature"))
-    cells = cells.withColumn("total", total)
-    xy = cells.groupBy("feature").agg(h(F.col("n"), F.col("total")).alias("hxy"))
-    x = cells.groupBy("feature", "bin").agg(F.sum("n").alias("n"), F.max("total").alias("total")).groupBy("feature").agg(h(F.col("n"), F.col("total")).alias("hx"))
-    y = cells.groupBy("feature", "class").agg(F.sum("n").alias("n"), F.max("total").alias("total")).groupBy("feature").agg(h(F.col("n"), F.col("total")).alias("hy"))
-    su = 2 * (F.col("hx") + F.col("hy") - F.col("hxy")) / (F.col("hx") + F.col("hy"))
-    return xy.join(x, "feature").join(y, "feature").select("feature", su.alias("su"), (F.col("hx") + F.col("hy") - F.col("hxy")).alias("gain"))
+    cells = cells.withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
+    xy = cells.groupBy(*by).agg(h(F.col("n"), F.col("total")).alias("hxy"))
+    side = lambda c, name: cells.groupBy(*by, c).agg(F.sum("n").alias("n"), F.max("total").alias("total")).groupBy(*by).agg(h(F.col("n"), F.col("total")).alias(name))
+    gain = F.col("hx") + F.col("hy") - F.col("hxy")
+    su = F.coalesce(F.try_divide(2 * gain, F.col("hx") + F.col("hy")), F.lit(0.0))
+    return xy.join(side("bin", "hx"), list(by)).join(side("class", "hy"), list(by)).select(*by, su.alias("su"), gain.alias("gain"))

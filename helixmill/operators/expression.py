@@ -101,10 +101,9 @@ def describe(long: DataFrame) -> DataFrame:
     """Descriptives by feature: n, mean, sd, median, mad, min, max, range, skew, kurtosis, se."""
     mid = long.groupBy("feature").agg(F.median("value").alias("_mid"))
     v = F.col("value")
-    out = long.join(mid, "feature").groupBy("feature").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.median(v).alias("median"), (F.median(F.abs(v - F.col("_mid"))) * 1.4826).alias("mad"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v * v).alias("_m2"), F.avg(v * v * v).alias("_m3"), F.avg(v * v * v * v).alias("_m4"))
-    m, sd = F.col("mean"), F.col("sd")
-    skew = (F.col("_m3") - 3 * m * F.col("_m2") + 2 * m * m * m) / F.pow(sd, F.lit(3.0))
-    kurtosis = (F.col("_m4") - 4 * m * F.col("_m3") + 6 * m * m * F.col("_m2") - 3 * m * m * m * m) / F.pow(sd, F.lit(4.0)) - 3
+    out = long.join(mid, "feature").groupBy("feature").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.median(v).alias("median"), (F.median(F.abs(v - F.col("_mid"))) * 1.4826).alias("mad"), F.min(v).alias("min"), F.max(v).alias("max"), F.skewness(v).alias("_g1"), F.kurtosis(v).alias("_g2"))
+    sd, share = F.col("sd"), (F.col("n") - 1) / F.col("n")  # by the sample's deviation, not the population's
+    skew, kurtosis = F.col("_g1") * F.pow(share, F.lit(1.5)), (F.col("_g2") + 3) * share * share - 3
     return out.select("feature", "n", "mean", "sd", "median", "mad", "min", "max", (F.col("max") - F.col("min")).alias("range"), skew.alias("skew"), kurtosis.alias("kurtosis"), (sd / F.sqrt("n")).alias("se"))
 
 
@@ -122,17 +121,30 @@ def profile(long: DataFrame) -> DataFrame:
     return long.select("sample_id", "feature", level.alias("level"), (F.col("value") - level).alias("pattern"))
 
 
+def means(long: DataFrame) -> DataFrame:
+    """(feature, _mean)."""
+    return long.groupBy("feature").agg(F.avg(F.col("value").cast("double")).alias("_mean"))
+
+
 def gram(long: DataFrame, *by: str, block: int = 512) -> DataFrame:
-    """(by, feature_a, feature_b, n, sa, sb, saa, sbb, sab): counts and sums over the samples that have both features, for every two features.
+    """(by, feature_a, feature_b, n, sa, sb, saa, sbb, sab): counts and sums over the samples that have both features, for every two features, of values less their feature's mean (over all groups).
 
-    Samples are gathered to arrays; tasks add up matrix products of ``block`` by ``block`` features (blocks by hash, two at a time), and sums of tasks are added up by Spark. A feature that a sample repeats counts with one of its values.
+    Samples are gathered to arrays; tasks add up matrix products of ``block`` by ``block`` features (blocks by hash, two at a time), and sums of tasks are added up by Spark. A feature that a sample repeats counts with its smallest value.
     """
     blocks = -(-long.select("feature").distinct().count() // block) or 1
     own = F.pmod(F.xxhash64("feature"), F.lit(blocks)).cast("int")
-    rows = long.where("value is not null").groupBy("sample_id", *by).agg(F.collect_list(F.struct("feature", F.col("value").cast("double").alias("value"), own.alias("block"))).alias("x"))
-    rows = rows.withColumn("two", F.explode(F.array(*[F.array(F.lit(i), F.lit(j)) for i in range(blocks) for j in range(i, blocks)])))
+    centred = long.where("value is not null").join(means(long), "feature")
+    held = F.struct("feature", (F.col("value").cast("double") - F.col("_mean")).alias("value"), own.alias("block"))
+    rows = centred.groupBy("sample_id", *by).agg(F.sort_array(F.collect_list(held), asc=False).alias("x"))  # of a repeated feature the smallest value comes last, and stays
+    if blocks == 1:
+        rows = rows.withColumn("two", F.array(F.lit(0), F.lit(0)))
+    else:  # blocks of a sample are cut out once; each is in as many pairs as there are blocks
+        cut = rows.select(*by, F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.filter("x", lambda e: e["block"] == b)).alias("xs"))
+        pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(blocks) for j in range(i, blocks)])
+        both = lambda p: F.when(p["i"] == p["j"], F.col("xs")[p["i"]]).otherwise(F.concat(F.col("xs")[p["i"]], F.col("xs")[p["j"]]))
+        rows = cut.select(*by, F.explode(F.transform(pairs, lambda p: F.struct(F.array(p["i"], p["j"]).alias("two"), both(p).alias("x")))).alias("p")).select(*by, "p.two", "p.x")
     key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by], F.array_join("two", "|"))
-    slim = rows.select(key.alias("key"), *by, "two", F.filter("x", lambda e: F.array_contains("two", e["block"])).alias("x"))
+    slim = rows.select(key.alias("key"), *by, "two", "x")
     slim = slim if blocks == 1 else slim.repartition("key", F.pmod(F.xxhash64("x"), F.lit(64))).sortWithinPartitions("key")
     kinds = {c: long.schema[c].dataType.simpleString() for c in by}
     sums = ("n", "sa", "sb", "saa", "sbb", "sab")

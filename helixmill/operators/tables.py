@@ -60,8 +60,10 @@ def diverging_breaks(long: DataFrame, centre: float = 0.0, bins: int = 50) -> Da
 
 def distances(long: DataFrame) -> DataFrame:
     """(feature_a, feature_b, distance): Euclidean, over samples that have both."""
-    square = F.col("saa") - 2 * F.col("sab") + F.col("sbb")
-    return expression.gram(long).select("feature_a", "feature_b", F.sqrt(F.greatest(square, F.lit(0.0))).alias("distance"))
+    mean = lambda x: expression.means(long).select(F.col("feature").alias(f"feature_{x}"), F.col("_mean").alias(f"m{x}"))
+    apart = F.col("ma") - F.col("mb")
+    square = F.col("saa") - 2 * F.col("sab") + F.col("sbb") + 2 * apart * (F.col("sa") - F.col("sb")) + F.col("n") * apart * apart
+    return expression.gram(long).join(mean("a"), "feature_a").join(mean("b"), "feature_b").select("feature_a", "feature_b", F.sqrt(F.greatest(square, F.lit(0.0))).alias("distance"))
 
 
 def fisher_pairs(long: DataFrame) -> DataFrame:

@@ -160,8 +160,9 @@ def z_scores(spark, sf):
 
 
 @query("describe", f"""WITH {FEATURES}, m AS (SELECT feature, median(value) AS mid FROM feat GROUP BY feature),
-d AS (SELECT feature, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd, median(value) AS median, 1.4826 * median(abs(value - mid)) AS mad, min(value) AS min, max(value) AS max, avg(value * value) AS m2, avg(value * value * value) AS m3, avg(value * value * value * value) AS m4 FROM feat JOIN m USING (feature) GROUP BY feature)
-SELECT feature, n, {r('mean', 'sd', 'median', 'mad', 'min', 'max', digits=6)}, round(max - min, 6) AS range, round((m3 - 3 * mean * m2 + 2 * mean * mean * mean) / pow(sd, 3), 6) AS skew, round((m4 - 4 * mean * m3 + 6 * mean * mean * m2 - 3 * mean * mean * mean * mean) / pow(sd, 4) - 3, 6) AS kurtosis, round(sd / sqrt(n), 6) AS se FROM d""")
+c AS (SELECT feature, avg(value) AS mean FROM feat GROUP BY feature),
+d AS (SELECT feature, count(value) AS n, any_value(c.mean) AS mean, stddev_samp(value) AS sd, median(value) AS median, 1.4826 * median(abs(value - mid)) AS mad, min(value) AS min, max(value) AS max, avg(pow(value - c.mean, 3)) AS m3, avg(pow(value - c.mean, 4)) AS m4 FROM feat JOIN m USING (feature) JOIN c USING (feature) GROUP BY feature)
+SELECT feature, n, {r('mean', 'sd', 'median', 'mad', 'min', 'max', digits=6)}, round(max - min, 6) AS range, round(m3 / pow(sd, 3), 6) AS skew, round(m4 / pow(sd, 4) - 3, 6) AS kurtosis, round(sd / sqrt(n), 6) AS se FROM d""")
 def describe(spark, sf):
     return rounded(ex.describe(fx.feature_matrix(spark, sf)), "mean", "sd", "median", "mad", "min", "max", "range", "skew", "kurtosis", "se", digits=6)
 

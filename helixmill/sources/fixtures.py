@@ -20,6 +20,13 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("sample_id", "class", F.concat(F.lit("hsa.f"), F.lpad(F.col("i").cast("string"), 2, "0")).alias("feature"), F.col("x").cast("double").alias("value"))
 
 
+def telling_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature matrix with every fifth feature moved for cases, by one to four steps of 0.05, so that selectors have something to find."""
+    i = F.substring("feature", 6, 2).cast("int")
+    moved = F.when((F.col("class") == "Case") & (i % 5 == 0), 0.05 * (1 + i % 4)).otherwise(0.0)
+    return feature_matrix(spark, sf_dir).withColumn("value", F.col("value") + moved)
+
+
 def count_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by supplier (sample) and brand (feature)."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))  # before the joins: fewer rows to shuffle

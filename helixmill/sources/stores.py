@@ -27,6 +27,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet to ``path`` and read again, with its schema."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that no later plan reads."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_table(df: DataFrame, path: str, sep: str = ",") -> None:
     """A delimited table with a header; nulls are empty fields."""
     df.write.mode("overwrite").option("header", True).option("sep", sep).option("nullValue", "").option("emptyValue", '""').csv(path)
