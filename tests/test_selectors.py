@@ -172,3 +172,55 @@ def test_ranks_and_medians_in_any_number_of_buckets(spark):
         v = [v for h, v, _ in rows if h == g and v is not None]
         low = [x for x in v if x < 3]
         assert got[g] == (np.median(v), np.median(low) if low else None)
+
+
+def proximal(x, y, lam, mix, steps=60_000):
+    """The penalised logistic model by accelerated proximal gradients on standardised features; coefficients as given."""
+    mean, sd = x.mean(0), x.std(0)
+    z = np.hstack([np.ones((len(x), 1)), (x - mean) / sd])
+    rate = 4 * len(x) / np.linalg.norm(z, 2) ** 2
+    b = np.zeros(z.shape[1])
+    v, t = b.copy(), 1.0
+    l1, l2 = np.r_[0, np.full(x.shape[1], lam * mix)], np.r_[0, np.full(x.shape[1], lam * (1 - mix))]
+    for _ in range(steps):
+        g = z.T @ (1 / (1 + np.exp(-(z @ v))) - y) / len(x)
+        u = v - rate * g
+        new = np.sign(u) * np.maximum(np.abs(u) - rate * l1, 0) / (1 + rate * l2)
+        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        v = new + (t - 1) / t2 * (new - b)
+        if np.abs(new - b).max() < 1e-13:
+            break
+        b, t = new, t2
+    slope = b[1:] / sd
+    return np.r_[b[0] - slope @ mean, slope]
+
+
+@pytest.mark.parametrize("mix", [1.0, 0.4])
+def test_penalty_path_equals_another_solver(spark, monkeypatch, mix):
+    from helixmill.operators import penalised
+
+    rng = np.random.default_rng(3)
+    n, p, folds = 240, 6, 4
+    x = rng.normal(0, 1, (n, p)) * [1, 2, 0.1, 5, 1, 1] + [0, 3, 0, -8, 0, 100]
+    y = (rng.random(n) < 1 / (1 + np.exp(-(1.5 * x[:, 0] - 0.8 * (x[:, 1] - 3) + 6 * x[:, 2])))).astype(float)
+    rows = [(i, "Case" if y[i] else "Control", f"f{j}", float(x[i, j])) for i in range(n) for j in range(p)] + [(n + 1, "Case", "f0", 1.0)]
+    long = spark.createDataFrame(rows, "sample_id bigint, class string, feature string, value double")
+    monkeypatch.setattr(penalised, "BYTES", 4_000)  # several blocks of penalties
+    monkeypatch.setattr(penalised, "ROWS", 100)  # and tasks
+    path = penalised.penalty_path(long, F.col("sample_id") % folds, folds, mix, n_penalties=7, least=1e-2)
+    assert not path.coefficients[0, 1:].any() and path.coefficients[-1, 1:4].all()
+    fold = np.arange(n) % folds
+    for i, lam in enumerate(path.penalties):
+        assert path.coefficients[i] == pytest.approx(proximal(x, y, lam, mix), abs=1e-4)
+        dev = []
+        for k in range(folds):
+            b = proximal(x[fold != k], y[fold != k], lam, mix)
+            mu = 1 / (1 + np.exp(-(b[0] + x[fold == k] @ b[1:])))
+            dev.append(-2 * np.mean(np.log(np.where(y[fold == k] == 1, mu, 1 - mu))))
+        assert path.deviance[i] == pytest.approx(np.mean(dev), abs=1e-4)
+        assert path.error[i] == pytest.approx(np.std(dev) / math.sqrt(folds - 1), abs=1e-4)
+    assert path.least == path.deviance.argmin() and path.sparse <= path.least
+    got = penalised.chosen(spark, path, path.least).collect()
+    assert "f2" in {r.feature for r in got} and [abs(r.coefficient) for r in got] == sorted((abs(r.coefficient) for r in got), reverse=True)
+    with pytest.raises(ValueError, match="both classes"):
+        penalised.penalty_path(long.where("class = 'Case'"), F.col("sample_id") % folds, folds)
