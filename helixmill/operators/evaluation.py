@@ -16,19 +16,19 @@ def roc_points(scored: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFra
     return at.select(*by, "score", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(every).alias("pos"), F.sum("n").over(every).alias("neg"))
 
 
-def auc(scored: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:
-    """Area under the ROC curve (ties count half), turned to be at least 0.5, with DeLong's 95 % interval from placement values."""
+def auc(scored: DataFrame, by: tuple[str, ...] = ("feature",), turned: bool = True) -> DataFrame:
+    """Area under the ROC curve (ties count half), turned to be at least 0.5 if ``turned``, with DeLong's 95 % interval from placement values. Null without both classes."""
     r = roc_points(scored, by)
     # a case beats the controls below it; a control is beaten by the cases above it
-    v10 = (F.col("neg") - F.col("fp") + F.col("n") / 2) / F.col("neg")
-    v01 = (F.col("tp") - F.col("p") / 2) / F.col("pos")
+    v10 = F.try_divide(F.col("neg") - F.col("fp") + F.col("n") / 2, F.col("neg"))
+    v01 = F.try_divide(F.col("tp") - F.col("p") / 2, F.col("pos"))
     sums = r.groupBy(*by).agg(F.max("pos").alias("pos"), F.max("neg").alias("neg"), F.sum(F.col("p") * v10).alias("s1"), F.sum(F.col("p") * v10 * v10).alias("q1"), F.sum(F.col("n") * v01).alias("s0"), F.sum(F.col("n") * v01 * v01).alias("q0"))
-    a = F.col("s1") / F.col("pos")
+    a = F.try_divide("s1", "pos")
     # one case or one control has no variance: it adds nothing
     one = lambda q, s, n: F.coalesce(F.try_divide(q - s * s / n, (n - 1) * n), F.lit(0.0))
     var = one(F.col("q1"), F.col("s1"), F.col("pos")) + one(F.col("q0"), F.col("s0"), F.col("neg"))
-    turned, half = F.greatest(a, 1 - a), 1.959963984540054 * F.sqrt(F.greatest(var, F.lit(0.0)))
-    return sums.select(*by, turned.alias("auc"), F.greatest(F.lit(0.0), turned - half).alias("auc_low"), F.least(F.lit(1.0), turned + half).alias("auc_high"))
+    area, half = F.greatest(a, 1 - a) if turned else a, 1.959963984540054 * F.sqrt(F.greatest(var, F.lit(0.0)))
+    return sums.select(*by, area.alias("auc"), F.greatest(F.lit(0.0), area - half).alias("auc_low"), F.least(F.lit(1.0), area + half).alias("auc_high"))
 
 
 def youden(scored: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixmill.operators import discretise, penalised
+from helixmill.operators import discretise, dispatch, expression, penalised, tuner
 from helixmill.plans.catalog import FEATURES, query, rounded
 from helixmill.sources import fixtures as fx
+from helixmill.sources import stores
 
 
 def entropy(a: str, b: str) -> str:
@@ -92,3 +93,26 @@ def lasso_path(spark, sf):
 def elastic_net(spark, sf):
     """Three mixes of twenty penalties each; the operator's default is seventeen of a hundred."""
     return rounded(penalised.elastic_net(fx.telling_matrix(spark, sf), FOLD, 10, (0.1, 0.5, 0.9), n_penalties=20, least=1e-2), "coefficient", digits=6)
+
+
+def split_telling(spark, sf):
+    long = fx.telling_matrix(spark, sf)
+    return long.join(expression.stratified_split(long.select("sample_id", "class").distinct()).select("sample_id", "mix"), "sample_id")
+
+
+@query("selected")
+def selected(spark, sf):
+    """Four selectors, run as cells within a limit."""
+    path = stores.new_folder(spark, "selected")
+    dispatch.select(split_telling(spark, sf).where("mix = 'train'").drop("mix"), path, ["cfs", "SU_MDL", "AUC_MDL_sig", "AUCSMOTE"], limit=3_600)
+    return dispatch.selected(spark, path)
+
+
+@query("tuned_benchmark")
+def tuned_benchmark(spark, sf):
+    """Two feature sets by four tuned algorithms."""
+    path = stores.new_folder(spark, "tuned")
+    formulas = {m: [f"hsa.f{i:02d}" for i in ids] for m, ids in (("telling", range(0, 64, 5)), ("first", range(11)))}
+    tuner.benchmark(split_telling(spark, sf), formulas, path, ("logistic", "tree", "svm", "bayes"), draws=3, limit=3_600)
+    figures = [f"{mix}_{c}" for mix in ("train", "test", "valid") for c in tuner.FIGURES] + ["train_auc", "train_auc_low", "train_auc_high"]
+    return rounded(tuner.board(spark, path).drop("model"), *figures, digits=6)

@@ -40,6 +40,11 @@ def remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def write_table(df: DataFrame, path: str, sep: str = ",") -> None:
     """A delimited table with a header; nulls are empty fields."""
     df.write.mode("overwrite").option("header", True).option("sep", sep).option("nullValue", "").option("emptyValue", '""').csv(path)
@@ -61,8 +66,7 @@ def read_folder(spark: SparkSession, paths: list[str], sep: str = ",", tag: str
 
 def scan_or_compute(spark: SparkSession, path: str, make) -> DataFrame:
     """The Parquet table at ``path``; if it is not there (whole), ``make()`` is written first."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
