@@ -11,19 +11,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions import stats
+from helixmill.operators import ranks
 
 CASE, CONTROL = "Case", "Control"
 
 
 def moments(long: DataFrame) -> DataFrame:
-    """n, mean, var by class, and overall, Case and Control descriptives of every feature, in one pass."""
+    """n, mean, var by class, and overall, Case and Control descriptives of every feature; medians are exact, by ranks in buckets."""
     case, control = F.col("class") == CASE, F.col("class") == CONTROL
     v, v1, v0 = F.col("value"), F.when(case, F.col("value")), F.when(control, F.col("value"))
-    return long.groupBy("feature").agg(
-        F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("sd"),
-        F.avg(v1).alias("mean1"), F.median(v1).alias("median1"), F.stddev_samp(v1).alias("sd1"), F.var_samp(v1).alias("var1"), F.count(v1).alias("n1"),
-        F.avg(v0).alias("mean0"), F.median(v0).alias("median0"), F.stddev_samp(v0).alias("sd0"), F.var_samp(v0).alias("var0"), F.count(v0).alias("n0"),
+    middle = ranks.medians(long, ("feature",), median=v, median1=v1, median0=v0)
+    found = long.groupBy("feature").agg(
+        F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.avg(v1).alias("mean1"), F.stddev_samp(v1).alias("sd1"), F.var_samp(v1).alias("var1"), F.count(v1).alias("n1"),
+        F.avg(v0).alias("mean0"), F.stddev_samp(v0).alias("sd0"), F.var_samp(v0).alias("var0"), F.count(v0).alias("n0"),
     )
+    return found.join(middle, "feature", "left")
 
 
 def differential_expression(long: DataFrame, mode: str = "logtpm") -> DataFrame:
@@ -76,7 +78,8 @@ def varying(long: DataFrame, split_col: str) -> DataFrame:
 
 
 def missing_audit(long: DataFrame) -> DataFrame:
-    return long.groupBy("feature").agg(F.count_if(F.col("value").isNull()).alias("n_missing"), F.count("*").alias("n"), F.median("value").alias("median"), F.avg("value").alias("mean"))
+    counts = long.groupBy("feature").agg(F.count_if(F.col("value").isNull()).alias("n_missing"), F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return counts.join(ranks.medians(long, ("feature",), median=F.col("value")), "feature", "left").select("feature", "n_missing", "n", "median", "mean")
 
 
 def impute(long: DataFrame, how: str = "median", share: float = 0.1) -> DataFrame:
@@ -99,20 +102,23 @@ def like_counts(long: DataFrame) -> DataFrame:
 
 def describe(long: DataFrame) -> DataFrame:
     """Descriptives by feature: n, mean, sd, median, mad, min, max, range, skew, kurtosis, se."""
-    mid = long.groupBy("feature").agg(F.median("value").alias("_mid"))
     v = F.col("value")
-    out = long.join(mid, "feature").groupBy("feature").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.median(v).alias("median"), (F.median(F.abs(v - F.col("_mid"))) * 1.4826).alias("mad"), F.min(v).alias("min"), F.max(v).alias("max"), F.skewness(v).alias("_g1"), F.kurtosis(v).alias("_g2"))
+    mid = ranks.medians(long, ("feature",), median=v)
+    apart = ranks.medians(long.join(mid, "feature"), ("feature",), mad=F.abs(v - F.col("median"))).withColumn("mad", F.col("mad") * 1.4826)
+    out = long.groupBy("feature").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), F.skewness(v).alias("_g1"), F.kurtosis(v).alias("_g2")).join(mid, "feature", "left").join(apart, "feature", "left")
     sd, share = F.col("sd"), (F.col("n") - 1) / F.col("n")  # by the sample's deviation, not the population's
     skew, kurtosis = F.col("_g1") * F.pow(share, F.lit(1.5)), (F.col("_g2") + 3) * share * share - 3
     return out.select("feature", "n", "mean", "sd", "median", "mad", "min", "max", (F.col("max") - F.col("min")).alias("range"), skew.alias("skew"), kurtosis.alias("kurtosis"), (sd / F.sqrt("n")).alias("se"))
 
 
 def stratified_split(samples: DataFrame, train: float = 0.6, seed: int = 1) -> DataFrame:
-    """Samples (sample_id, class) with mix: per class the first ceil(train * n) in hash order train, half of the rest (rounded up) test, the others valid."""
-    by_hash = Window.partitionBy("class").orderBy(stats.unit_hash(F.lit(seed), F.col("sample_id").cast("string")), "sample_id")
-    n = F.count("*").over(Window.partitionBy("class"))
-    ranked = samples.withColumn("_r", F.row_number().over(by_hash)).withColumn("_t", F.ceil(n * train)).withColumn("_e", F.col("_t") + F.ceil((n - F.col("_t")) / 2))
-    return ranked.withColumn("mix", F.when(F.col("_r") <= F.col("_t"), "train").when(F.col("_r") <= F.col("_e"), "test").otherwise("valid")).drop("_r", "_t", "_e")
+    """Samples (sample_id, class) with mix: per class the first ceil(train * n) in hash order train, half of the rest (rounded up) test, the others valid. Ranks are those in 256 hash buckets a class plus a running sum over buckets, so that no class is one task's."""
+    h = F.md5(F.concat_ws("|", F.lit(seed), F.col("sample_id").cast("string")))
+    keyed = samples.withColumn("_h", F.substring(h, 1, 7)).withColumn("_b", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int")).withColumn("_c", F.coalesce("class", F.lit("")))
+    sums = ranks.running(keyed, ("_c",), [F.col("_h"), F.col("sample_id")], _r=F.lit(1))
+    n = keyed.groupBy("_c").agg(F.count("*").alias("_n"))
+    ranked = sums.join(n, "_c").withColumn("_t", F.ceil(F.col("_n") * train)).withColumn("_e", F.col("_t") + F.ceil((F.col("_n") - F.col("_t")) / 2))
+    return ranked.select(*samples.columns, F.when(F.col("_r") <= F.col("_t"), "train").when(F.col("_r") <= F.col("_e"), "test").otherwise("valid").alias("mix"))
 
 
 def profile(long: DataFrame) -> DataFrame:

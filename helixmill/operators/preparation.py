@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixmill.operators import ranks
+
 
 def label_set_is(table: DataFrame, labels: tuple[str, ...], by: tuple[str, ...], label: str = "class") -> DataFrame:
     """Per group: are its labels (nulls aside) just ``labels``?"""
@@ -157,17 +159,14 @@ def without_redundant(features: DataFrame, correlations: DataFrame, cutoff: floa
     return features.select("feature").distinct().join(close.select(out.alias("feature")).distinct(), "feature", "left_anti")
 
 
-def trimmed_means(long: DataFrame, trim: float = 0.1, buckets: int = 64) -> DataFrame:
-    """(feature, trimmed): the mean without the floor(n * trim) smallest and largest values. Ranks are taken in value buckets of each feature, so that no feature's values are in one buffer."""
-    span = long.where("value is not null").groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.count("*").alias("_n"))
-    width = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))).otherwise(0).cast("int")
-    placed = long.where("value is not null").join(span, "feature").withColumn("_b", width)
-    sizes = placed.groupBy("feature", "_b").agg(F.count("*").alias("_k"))
-    bases = sizes.select("feature", "_b", (F.sum("_k").over(Window.partitionBy("feature").orderBy("_b")) - F.col("_k")).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("feature", "_b").orderBy("value")) + F.col("_base")
-    cut = F.floor(F.col("_n") * trim)
-    kept = placed.join(bases, ["feature", "_b"]).withColumn("_r", rank).where((F.col("_r") > cut) & (F.col("_r") <= F.col("_n") - cut))
-    return kept.groupBy("feature").agg(F.avg("value").alias("trimmed"))
+def trimmed_means(long: DataFrame, trim: float = 0.1) -> DataFrame:
+    """(feature, trimmed): the mean without the floor(n * trim) smallest and largest values. Equal values are one row with their number, and running numbers are taken in buckets cut by quantiles, so neither an outlier nor a repeated value makes a feature one task's."""
+    each = long.where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("_n"))
+    upto = ranks.running(ranks.in_buckets(each, ("feature",), "value"), ("feature",), [F.col("value")], _upto=F.col("_n"))
+    whole = each.groupBy("feature").agg(F.sum("_n").alias("_all"))
+    cut = F.floor(F.col("_all") * trim)
+    kept = F.greatest(F.least(F.col("_upto"), F.col("_all") - cut) - F.greatest(F.col("_upto") - F.col("_n"), cut), F.lit(0))
+    return upto.join(whole, "feature").groupBy("feature").agg(F.try_divide(F.sum(F.col("value") * kept), F.sum(kept)).alias("trimmed"))
 
 
 def complete(long: DataFrame, most: int = 0) -> DataFrame:

@@ -5,6 +5,8 @@ As in ``models``, samples with a missing value are left out, and tables without
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
@@ -17,9 +19,10 @@ from pyspark.sql import functions as F
 
 from helixmill.operators import evaluation, models
 from helixmill.operators.transforms import uniform
+from helixmill.sources import stores
 
-#: Samples whose order one task decides, in matching and in shuffling.
-BLOCK = 4096
+#: Samples whose order one task decides, in shuffling and in matching.
+BLOCK, MATCHED = 4096, 100_000
 
 
 def backward_logit(long: DataFrame, by: str = "aic", most_p: float = 0.05) -> DataFrame:
@@ -94,32 +97,100 @@ def forward_wrapper(long: DataFrame, fold, k: int = 3, candidates: int | None =
     return long.sparkSession.createDataFrame(rows, "rank int, feature string, accuracy double")
 
 
+def _nearest_free(cases: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """For each case, in the order given, the place of the nearest free control in the sorted ``pool`` (of two equally near the lower), which is then taken; -1 once none is left. Taken places are skipped by links that are shortened on the way."""
+    n = len(pool)
+    down, up = np.arange(n + 1), np.arange(n + 1)  # down: place + 1 of the nearest free one at or below, 0 for none
+
+    def find(links, i):
+        root = i
+        while links[root] != root:
+            root = links[root]
+        while links[i] != root:
+            links[i], i = root, links[i]
+        return root
+
+    out = np.full(len(cases), -1)
+    for k, (s, at) in enumerate(zip(cases, np.searchsorted(pool, cases), strict=True)):
+        low, high = find(down, at) - 1, find(up, at)
+        if low < 0 and high >= n:
+            break
+        j = low if high >= n or (low >= 0 and s - pool[low] <= pool[high] - s) else high
+        out[k], down[j + 1], up[j] = j, j, j + 1
+    return out
+
+
+def _transfers(cases: dict[int, int], controls: dict[int, int]) -> list[tuple]:
+    """(id, case stratum, its first, control stratum, its first, how many): the cases left over in a stratum, from the highest scores on, with the controls left over in the nearest strata."""
+    free, used, out = dict(controls), dict.fromkeys(controls, 0), []
+    order = sorted(s for s in controls if controls[s])
+    low, high = {s: i for i, s in enumerate(order)}, len(order)
+    down, up = list(range(high + 1)), list(range(high + 1))
+
+    def find(links, i):
+        while links[i] != i:
+            links[i] = links[links[i]]
+            i = links[i]
+        return i
+
+    for s in sorted(cases):
+        at, done = bisect_left(order, s), 0
+        while done < cases[s]:
+            i, j = find(down, at) - 1, find(up, at)
+            if i < 0 and j >= high:
+                return out
+            t = order[i] if j >= high or (i >= 0 and s - order[i] <= order[j] - s) else order[j]
+            n = min(cases[s] - done, free[t])
+            out.append((len(out), s, done, t, used[t], n))
+            done, used[t], free[t] = done + n, used[t] + n, free[t] - n
+            if not free[t]:
+                k = low[t]
+                down[k + 1], up[k] = k, k + 1
+    return out
+
+
 def matched(samples: DataFrame, covariates: list[str]) -> DataFrame:
-    """(case_id, control_id, case_score, control_score): every case with the control of nearest propensity (logit scale), each control once, cases of larger score first.
+    """(case_id, control_id, case_score, control_score): every case with a control of near propensity (logit scale), each control once, cases of larger score first, until cases or controls are used up.
 
-    ``samples`` is (sample_id, label 0 or 1, covariates). Rows with a missing covariate are left out. Matching is greedy within strata of about ``BLOCK`` neighbouring scores; a case whose stratum has no control left stays unmatched.
+    ``samples`` is (sample_id, label 0 or 1, covariates). Rows with a missing covariate are left out. Matching is greedy within strata of about ``MATCHED`` neighbouring scores (rows of one score are told apart by their ids, so no stratum is larger); what strata have left over then goes to the nearest strata with controls left over, a plan of which the driver holds a row a stratum. So the number of matches does not depend on the strata, and one stratum is plain greedy matching.
     """
+    spark = samples.sparkSession
     full = samples.dropna(subset=covariates).select("sample_id", F.col("label").cast("double").alias("label"), array_to_vector(F.array(*[F.col(c).cast("double") for c in covariates])).alias("x"))
     fitted = LogisticRegression(featuresCol="x", maxIter=100, tol=1e-9).fit(full)
-    scored = fitted.transform(full).select("sample_id", F.col("label").cast("int").alias("label"), vector_to_array("rawPrediction")[1].alias("score")).persist()
-    strata = max(1, scored.count() // BLOCK)
-    bounds = scored.approxQuantile("score", [i / strata for i in range(1, strata)], 0.001) if strata > 1 else []
-    stratum = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: F.col("score") > b)) if bounds else F.lit(0)
+    scored = fitted.transform(full).select("sample_id", F.col("label").cast("int").alias("label"), vector_to_array("rawPrediction")[1].alias("score"))
+    strata = max(1, -(-full.count() // MATCHED))
+    dealt = stores.written(scored.repartitionByRange(strata, F.desc("score"), "sample_id").withColumn("stratum", F.spark_partition_id()), stores.new_folder(spark, "strata"))
     kind = scored.schema["sample_id"].dataType.simpleString()
 
     def pair(block: pd.DataFrame) -> pd.DataFrame:
         cases = block[block.label == 1].sort_values(["score", "sample_id"], ascending=[False, True])
         pool = block[block.label == 0].sort_values(["score", "sample_id"])
-        ids, scores, free, rows = pool.sample_id.to_numpy(), pool.score.to_numpy(), np.ones(len(pool), bool), []
-        for i, s in zip(cases.sample_id, cases.score, strict=True):
-            if not free.any():
-                break
-            at = int(np.where(free, np.abs(scores - s), np.inf).argmin())
-            free[at] = False
-            rows.append((i, ids[at], s, scores[at]))
-        return pd.DataFrame(rows, columns=["case_id", "control_id", "case_score", "control_score"])
-
-    return scored.withColumn("stratum", stratum).groupBy("stratum").applyInPandas(pair, f"case_id {kind}, control_id {kind}, case_score double, control_score double")
+        at = _nearest_free(cases.score.to_numpy(), pool.score.to_numpy())
+        with_control = cases[at >= 0]
+        taken = pool.iloc[at[at >= 0]]
+        rows = [pd.DataFrame({"case_id": with_control.sample_id.to_numpy(), "control_id": taken.sample_id.to_numpy(), "case_score": with_control.score.to_numpy(), "control_score": taken.score.to_numpy()}).astype({"case_id": object, "control_id": object})]
+        alone, free = cases[at < 0], pool.drop(index=taken.index)
+        rows.append(pd.DataFrame({"case_id": alone.sample_id.astype(object), "control_id": None, "case_score": alone.score, "control_score": np.nan}))
+        rows.append(pd.DataFrame({"case_id": None, "control_id": free.sample_id.astype(object), "case_score": np.nan, "control_score": free.score}))
+        return pd.concat([r for r in rows if len(r)] or rows[:1]).assign(stratum=int(block.stratum.iloc[0]))[["stratum", "case_id", "control_id", "case_score", "control_score"]]
+
+    columns = ("case_id", "control_id", "case_score", "control_score")
+    paired = stores.written(dealt.groupBy("stratum").applyInPandas(pair, f"stratum int, case_id {kind}, control_id {kind}, case_score double, control_score double"), stores.new_folder(spark, "pairs"))
+    done = paired.where("case_id is not null and control_id is not null").select(*columns)
+    left = paired.groupBy("stratum").agg(F.count_if(F.col("control_id").isNull()).alias("cases"), F.count_if(F.col("case_id").isNull()).alias("controls")).where("cases + controls > 0").collect()  # a row a stratum
+    plan = _transfers({r.stratum: r.cases for r in left if r.cases}, {r.stratum: r.controls for r in left if r.controls})
+    if not plan:
+        return done
+    plan = spark.createDataFrame(plan, "transfer bigint, case_stratum int, case_from bigint, control_stratum int, control_from bigint, n bigint")
+
+    def side(name: str, other: str) -> DataFrame:
+        order = Window.partitionBy("stratum").orderBy(F.desc(f"{name}_score"), f"{name}_id")  # a stratum's rows
+        ranked = paired.where(f"{other}_id is null").withColumn("k", F.row_number().over(order) - 1)
+        at = F.col("k") - F.col(f"{name}_from")
+        return ranked.join(plan, F.col("stratum") == F.col(f"{name}_stratum")).where((at >= 0) & (at < F.col("n"))).select("transfer", at.alias("k"), f"{name}_id", f"{name}_score")
+
+    moved = side("case", "control").join(side("control", "case"), ["transfer", "k"])
+    return done.unionByName(moved.select(*columns))
 
 
 def feature_clusters(distances: DataFrame, clusters: int) -> DataFrame:

@@ -117,3 +117,40 @@ def test_forward_wrapper_tries_features_of_no_correlation(spark):
     table = spark.createDataFrame(rows, "sample_id bigint, class string, feature string, value double")
     got = wrappers.forward_wrapper(table, F.col("sample_id") % 4 % 2, 1, folds=2).first()
     assert got.feature == "hsa.6" and got.accuracy == 1.0
+
+
+@pytest.mark.parametrize("block", [100_000, 700, 90])
+def test_matching_leaves_no_case_beside_a_free_control(spark, monkeypatch, block):
+    """Cases of mostly large scores: strata alone would have few controls for them."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, int(rng.random() < (0.9 if x > 0.7 else 0.06)), x, 1.0) for i in range(3_000) for x in [rng.random()]] + [(9_000 + i, i % 2, 0.8, 1.0) for i in range(400)]
+    samples = spark.createDataFrame(rows, "sample_id bigint, label int, a double, b double")
+    monkeypatch.setattr(wrappers, "MATCHED", block)
+    got = wrappers.matched(samples, ["a"]).collect()
+    cases, controls = {r[0] for r in rows if r[1]}, {r[0] for r in rows if not r[1]}
+    assert len(cases) < len(controls)
+    assert {r.case_id for r in got} == cases and len(got) == len(cases) == len({r.control_id for r in got})
+    assert {r.control_id for r in got} <= controls
+    few = wrappers.matched(samples.where("label = 1 or sample_id % 9 = 0"), ["a"]).collect()
+    free = {r[0] for r in rows if not r[1] and r[0] % 9 == 0}
+    assert {r.control_id for r in few} == free and len({r.case_id for r in few}) == len(free)
+
+
+def test_nearest_free_equals_a_search_of_all():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    for n, m in ((0, 3), (5, 0), (30, 12), (20, 40), (200, 150)):
+        pool = np.array(sorted(rng.choice([0.25, 0.5, rng.random()]) for _ in range(n)))
+        cases = np.array([rng.choice([0.25, rng.random(), 2.0]) for _ in range(m)])
+        free, got = set(range(n)), wrappers._nearest_free(cases, pool)
+        for s, j in zip(cases, got, strict=True):
+            if not free:
+                assert j == -1
+                continue
+            assert j in free and abs(pool[j] - s) == min(abs(pool[i] - s) for i in free)
+            free.remove(j)
