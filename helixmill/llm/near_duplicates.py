@@ -1,17 +1,18 @@
 """Near-duplicate classes by Order MinHash.
 
 1. Equal texts are one node (keyed by a 64-bit hash of md5 and length).
-2. A text's words (lower case, letters and digits) give its k-mers of ``k`` words, labelled by occurrence. For each of ``m`` hash functions the ``l`` smallest labelled k-mers are taken and put back in text order; every two of them, in that order, are one sketch, l (l - 1) / 2 a function. Texts of high edit similarity agree in some sketch, and word order counts. (All l at once, as one sketch, would need several times as many functions for the same recall near the threshold.)
+2. A text's words (lower case, letters and digits) give its k-mers of ``k`` words, fewer in short texts (``mers_of``), labelled by occurrence. For each of ``m`` hash functions the ``l`` smallest labelled k-mers are taken and put back in text order; every two of them, in that order, are one sketch, l (l - 1) / 2 a function. Texts of high edit similarity agree in some sketch, and word order counts. (All l at once, as one sketch, would need several times as many functions for the same recall near the threshold.)
 3. Nodes with an equal sketch meet their bucket's leader (its smallest node). Leaders are found by aggregation, so this pass gives as many pairs as buckets have members.
 4. Pairs are verified by banded alignment of their words: the edit distance within the band that the budget allows. A pair is linked if 1 - distance / longer length is at least ``similarity``. A leader's text goes once to each part of its members.
 5. Classes are the connected components of the links, found by alternating large-star and small-star joins, each round a written table.
-6. Buckets whose other members are then in more than one class (a common passage, an unrelated leader) are searched whole, block against block, so that no task holds a bucket. Two lower bounds of the edit distance, by length and by word counts in ``BINS`` bins, say which texts of different classes may be similar; chains of such texts are families, of which only spanning pairs are written. The texts of a family then meet block against block, the nearest by the bounds first, and similar ones of different classes are joined. So all texts that meet in a bucket and are similar are in one class, and recall is that of the sketches (README: at least 0.9 at a similarity of 0.8, for random edits). No table has all pairs of a group; the comparisons of a family with many classes do grow with its square.
+6. Buckets whose other members are then in more than one class (a common passage, an unrelated leader) are searched whole, block against block, so that no task holds a bucket. Two lower bounds of the edit distance, by length and by word counts in ``BINS`` bins, say which texts of different classes may be similar; chains of such texts are families, of which only spanning pairs are written. The texts of a family then meet block against block, the nearest by the bounds first, and similar ones of different classes are joined. So all texts that meet in a bucket and are similar are in one class, and recall is that of the sketches (at least 0.9 at a similarity of 0.8, for random edits in texts of 5 to 2,000 words, as measured by the tests). No table has all pairs of a group; the comparisons of a family with many classes do grow with its square.
 
-Defined cases: null texts are in a class of their own document; equal texts are one class, empty ones too; texts without words are linked with equal texts only; texts of fewer than ``k`` words have one k-mer, the whole text; repeated rows give one row each. Documents with a null id have a class by text, whose id is that of its smallest non-null id, or null. Only the id and text columns are read, so others may have any name.
+Defined cases: null texts are in a class of their own document; equal texts are one class, empty ones too; texts without words are linked with equal texts only; texts of fewer words than a k-mer have one, the whole text; repeated rows give one row each. Documents with a null id have a class by text, whose id is that of its smallest non-null id, or null. Only the id and text columns are read, so others may have any name; an id named like a result is ``<name>_kept``. Texts are sketched whole, a few at a time; the words of a text of any length are one array in a task.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +26,8 @@ K, L, M, SIMILARITY = 5, 5, 8, 0.8
 #: Bins of word counts; nodes of a block of a bucket, nodes and words of one of a family; members that meet one copy of their leader's text; parts of a class.
 BINS, BLOCK, FAMILY_BLOCK, BLOCK_WORDS, RUN, PARTS = 256, 1024, 512, 400_000, 64, 16
 SEEN = 200_000
+#: From these numbers of words on, k-mers have up to 2, 3 and ``k`` words: one edit spoils k of them, which in a short text are most.
+SHORT = ((0, 2), (8, 3), (48, K))
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -61,7 +64,7 @@ def words_of(text: str) -> np.ndarray:
 
 
 def order_min_hash(words: np.ndarray, k: int = K, l: int = L, m: int = M) -> np.ndarray:  # noqa: E741
-    """The sketches of a text's word hashes; none for a text without words."""
+    """The sketches of a text's word hashes by k-mers of one length; none for a text without words."""
     if not len(words):
         return np.zeros(0, "i8")
     k = min(k, len(words))
@@ -90,6 +93,18 @@ def order_min_hash(words: np.ndarray, k: int = K, l: int = L, m: int = M) -> np.
     return np.unique(np.concatenate(out)).view("i8")
 
 
+def mers_of(n: int, k: int, similarity: float) -> set[int]:
+    """The k-mer lengths of a text of n words: those of every length that a similar text may have, so that any two similar texts have one in common."""
+    low, high = math.ceil(similarity * n - 1e-9), math.floor(n / similarity + 1e-9)
+    least = max(start for start, _ in SHORT if start <= low)
+    return {k if size == K else min(k, size) for start, size in SHORT if least <= start <= high}
+
+
+def sketches(words: np.ndarray, k: int = K, l: int = L, m: int = M, similarity: float = SIMILARITY) -> np.ndarray:  # noqa: E741
+    """The sketches of a text's word hashes for all its k-mer lengths."""
+    return np.unique(np.concatenate([order_min_hash(words, size, l, m) for size in sorted(mers_of(len(words), k, similarity))]))
+
+
 def banded_distance(a: np.ndarray, b: np.ndarray, budget: int) -> int | None:
     """Edit distance of two sequences if at most ``budget``, else None. Only diagonals within the budget are visited."""
     if abs(len(a) - len(b)) > budget:
@@ -262,7 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 words = words_of(text)
                 n.append(len(words))
                 bins.append(bins_of(words))
-                out.append(order_min_hash(words, k, l, m))
+                out.append(sketches(words, k, l, m, similarity))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), pa.array(n, pa.int32()), pa.array(out, pa.list_(pa.int64())), pa.array(bins, pa.binary())], ["id", "node", "n_words", "sketch", "bins"])
 
     kind = slim.schema["id"].dataType.simpleString()
@@ -387,4 +402,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = keep(reps.join(classed, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id")), "classes")
     common.remove(spark, *(x for x in made if "/classes-" not in x))
     out = slim.select("id", F.when(F.col("text").isNotNull(), node_of(F.col("text"))).alias("node")).join(classes, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "node")
+    (name,) = common.apart((id_col,), ("class_id", "node"))
+    return out.select(F.col("id").alias(name), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "node")

@@ -406,19 +406,55 @@ def test_curve_converges_on_nearly_separable_counts():
     assert p[0] < 1e-3 and p[2] > 0.9
 
 
-@pytest.mark.parametrize(("similarity", "words"), [(0.8, 200), (0.81, 60), (0.85, 200), (0.9, 200)])
-def test_recall_of_sketches(similarity, words):
-    """Pairs with random substitutions, by brute force over all of them."""
+@pytest.mark.parametrize("mixed", [False, True])
+@pytest.mark.parametrize(("similarity", "words"), [*((0.8, n) for n in (5, 6, 7, 8, 9, 10, 12, 15, 20, 30, 40, 47, 48, 60, 80, 200, 700, 2000)), (0.85, 200), (0.9, 10), (0.9, 200)])
+def test_recall_of_sketches(similarity, words, mixed):
+    """Pairs with random substitutions, or insertions and deletions too, by brute force over all of them."""
     rng = np.random.default_rng(5)
-    met = 0
-    for _ in range(300):
+    n, met, pairs = int((1 - similarity) * words + 1e-9), 0, 0
+    while pairs < 200:
         a = rng.integers(1, 1 << 62, words).astype("u8")
         b = a.copy()
-        n = int((1 - similarity) * words + 1e-9)
-        b[rng.choice(words, n, replace=False)] = rng.integers(1, 1 << 62, n).astype("u8")
-        assert near_duplicates.similar(a, b, similarity)
-        met += bool(set(near_duplicates.order_min_hash(a).tolist()) & set(near_duplicates.order_min_hash(b).tolist()))
-    assert met >= 0.9 * 300
+        if mixed:
+            for _ in range(n):
+                at, kind = int(rng.integers(len(b))), rng.integers(3)
+                b = np.delete(b, at) if kind == 0 else np.insert(b, at, rng.integers(1, 1 << 62).astype("u8")) if kind == 1 else np.r_[b[:at], rng.integers(1, 1 << 62).astype("u8"), b[at + 1 :]]
+        else:
+            b[rng.choice(words, n, replace=False)] = rng.integers(1, 1 << 62, n).astype("u8")
+        if near_duplicates.similar(a, b, similarity):
+            pairs += 1
+            met += bool(set(near_duplicates.sketches(a).tolist()) & set(near_duplicates.sketches(b).tolist()))
+    assert met >= 0.9 * pairs
+
+
+def test_similar_texts_share_a_length_of_mers():
+    for n in range(1, 200):
+        for m in range(n, int(n / 0.8 + 1e-9) + 1):
+            assert near_duplicates.mers_of(n, 5, 0.8) & near_duplicates.mers_of(m, 5, 0.8)
+    assert near_duplicates.mers_of(300, 5, 0.8) == {5} and near_duplicates.mers_of(20, 5, 0.8) == {3}
+
+
+def test_near_duplicates_of_short_texts(spark):
+    """Classes of short texts against brute force over all pairs; the id is named like a result."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3_000)]
+    rows = []
+    for _ in range(150):
+        base = [rng.choice(words) for _ in range(rng.randrange(5, 60))]
+        rows.append(base)
+        other = base.copy()
+        for _ in range(len(base) // 5):
+            other[rng.randrange(len(other))] = rng.choice(words)
+        rows.append(other)
+    hashes = [near_duplicates.words_of(" ".join(r)) for r in rows]
+    links = {(i, j) for i in range(len(rows)) for j in range(i) if near_duplicates.similar(hashes[i], hashes[j], 0.8)}
+    assert len(links) > 140
+    table = spark.createDataFrame([(i, " ".join(r), 1) for i, r in enumerate(rows)], "node bigint, text string, class_id int")
+    got = near_duplicates.near_duplicates(table, "node")
+    assert got.columns == ["node_kept", "class_id", "node"]
+    of = {r.node_kept: r.class_id for r in got.collect()}
+    assert sum(of[i] == of[j] for i, j in links) >= 0.9 * len(links)
+    assert all(of[i] == i or (i, of[i]) in links or any(of[j] == of[i] and ((i, j) in links or (j, i) in links) for j in of if j != i) for i in of)
 
 
 def test_short_items_match_whole_words():
