@@ -44,11 +44,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     table, at = by_place(docs)
     key, text = at["doc_id"], at["text"]
     classes = near_duplicates.near_duplicates(table, key, text)
-    keep = common.stage(classes.where(f"{key} = class_id").select(F.col(key).alias("keep_id"), F.coalesce("node", F.lit(0)).alias("keep_node")).distinct(), "kept")
+    told = common.stage(classes.where(f"{key} is not null").groupBy(F.col(key).alias("told_id"), F.coalesce("node", F.lit(0)).alias("told_node")).agg(F.count("*").alias("n"), F.max(F.col(key) == F.col("class_id")).alias("kept")), "told")
+    # only rows that may go, or repeat, are shuffled; a bounded bitmap tells the others
     node = F.coalesce(F.when(F.col(text).isNotNull(), near_duplicates.node_of(F.col(text))), F.lit(0))
-    once = Window.partitionBy("keep_id", "keep_node").orderBy("keep_id")
-    found = table.withColumn("node", node).join(keep, (F.col(key) == F.col("keep_id")) & (F.col("node") == F.col("keep_node"))).withColumn("row", F.row_number().over(once)).where("row = 1")
-    return found.select(table.columns).union(table.where(f"{key} is null")).toDF(*docs.columns)
+    rows = table.withColumn("node", node).withColumn("row", F.xxhash64(key, "node"))
+    marked = common.possible(rows, told.where("n > 1 or not kept").select(F.xxhash64("told_id", "told_node").alias("row")), "row", "doubtful")
+    once = Window.partitionBy("told_id", "told_node").orderBy("told_id")
+    doubtful = marked.where("doubtful").join(told.where("kept"), (F.col(key) == F.col("told_id")) & (F.col("node") == F.col("told_node"))).withColumn("place", F.row_number().over(once)).where("place = 1")
+    sure = marked.where(f"not doubtful or {key} is null")
+    return sure.select(table.columns).union(doubtful.select(table.columns)).toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
