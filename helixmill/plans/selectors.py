@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixmill.operators import discretise, dispatch, expression, penalised, tuner
+from helixmill.operators import discretise, discriminant, dispatch, expression, penalised, tuner
 from helixmill.plans.catalog import FEATURES, query, rounded
 from helixmill.sources import fixtures as fx
 from helixmill.sources import stores
@@ -116,3 +116,14 @@ def tuned_benchmark(spark, sf):
     tuner.benchmark(split_telling(spark, sf), formulas, path, ("logistic", "tree", "svm", "bayes"), draws=3, limit=3_600)
     figures = [f"{mix}_{c}" for mix in ("train", "test", "valid") for c in tuner.FIGURES] + ["train_auc", "train_auc_low", "train_auc_high"]
     return rounded(tuner.board(spark, path).drop("model"), *figures, digits=6)
+
+
+@query("fisher_beam")
+def fisher_beam(spark, sf):
+    return rounded(discriminant.fisher_beam(fx.telling_matrix(spark, sf)), "accuracy")
+
+
+@query("step_lda")
+def step_lda(spark, sf):
+    """With a smaller least improvement than the operator's own, so that there is more than a step."""
+    return rounded(discriminant.step_lda(fx.telling_matrix(spark, sf), 0.01), "accuracy")

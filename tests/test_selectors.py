@@ -224,3 +224,48 @@ def test_penalty_path_equals_another_solver(spark, monkeypatch, mix):
     assert "f2" in {r.feature for r in got} and [abs(r.coefficient) for r in got] == sorted((abs(r.coefficient) for r in got), reverse=True)
     with pytest.raises(ValueError, match="both classes"):
         penalised.penalty_path(long.where("class = 'Case'"), F.col("sample_id") % folds, folds)
+
+
+def left_out(x, y):
+    """Accuracy of discriminants fitted again without each sample."""
+    right = 0
+    for i in range(len(y)):
+        xs, ys = np.delete(x, i, 0), np.delete(y, i)
+        means = [xs[ys == g].mean(0) for g in (0, 1)]
+        s = sum((xs[ys == g] - means[g]).T @ (xs[ys == g] - means[g]) for g in (0, 1)) / (len(ys) - 2)
+        d = [math.log((ys == g).mean()) - 0.5 * (x[i] - means[g]) @ np.linalg.solve(s, x[i] - means[g]) for g in (0, 1)]
+        right += (d[1] >= d[0]) == (y[i] == 1)
+    return right / len(y)
+
+
+def test_discriminants_equal_refitting_each_left_out_sample(spark, monkeypatch):
+    from helixmill.operators import discriminant
+
+    rng = np.random.default_rng(8)
+    n, p = 70, 6
+    y = (np.arange(n) % 3 == 0).astype(int)
+    x = rng.normal(0, 1, (n, p)) + np.outer(y, [0.8, 0, 1.0, 0.3, 0, 0]) + [0, 1e5, 3, 0, 0, 0]
+    x[:, 4] = x[:, 0] * 2  # no set with both can be inverted
+    rows = [(i, "Case" if y[i] else "Control", f"f{j}", float(x[i, j])) for i in range(n) for j in range(p)] + [(n, "Case", "f0", 1.0)]
+    long = spark.createDataFrame(rows, "sample_id bigint, class string, feature string, value double").repartition(3)
+    monkeypatch.setattr(discriminant, "CELLS", 500)
+    want = {s: left_out(x[:, s], y) for k in (1, 2, 3) for s in itertools.combinations(range(p), k) if not {0, 4} <= set(s)}
+    got = discriminant.fisher_beam(long, 3, 4).collect()
+    beam = [()]
+    for turn in (1, 2, 3):
+        sets = sorted({tuple(sorted((*s, j))) for s in beam for j in range(p) if j not in s} & set(want))
+        beam = sorted(sets, key=lambda s: (-round(want[s], 12), s))[:4]
+        told = sorted((r for r in got if r.turn == turn), key=lambda r: r.rank)
+        assert [tuple(int(f[1]) for f in r.features) for r in told] == beam
+        assert [r.accuracy for r in told] == pytest.approx([want[s] for s in beam])
+    steps = discriminant.step_lda(long, 0.001).orderBy("step").collect()
+    now, best = set(), max(y.mean(), 1 - y.mean())
+    for r in steps:
+        now ^= {int(r.feature[1])}
+        assert r.action == ("in" if int(r.feature[1]) in now else "out") and r.accuracy > best
+        assert r.accuracy == pytest.approx(left_out(x[:, sorted(now)], y))
+        best = r.accuracy
+    assert 0 in now or 2 in now or 4 in now
+    assert discriminant.step_lda(long, 2.0).count() == 0
+    with pytest.raises(ValueError, match="two samples"):
+        discriminant.fisher_beam(long.where("class = 'Case'"))
