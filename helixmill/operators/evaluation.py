@@ -84,12 +84,11 @@ def merge_formulas(signatures: DataFrame, most: int = 11, pinned: tuple[str, ...
     return f.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("method", "formula", F.when(F.col("method").isin(*pinned), 0).otherwise(F.col("size")).alias("n_features"))
 
 
-def grid(spark, **values) -> DataFrame:
-    """The product of the value lists, a row a combination. The lists are literals: their product is the feature asked for."""
-    out = spark.range(1).select()
+def grid(of: DataFrame, **values) -> DataFrame:
+    """The rows of ``of`` by every combination of the value lists. The lists are literals: their product is the feature asked for."""
     for name, options in values.items():
-        out = out.select("*", F.explode(F.array(*[F.lit(x) for x in options])).alias(name))
-    return out
+        of = of.select("*", F.explode(F.array(*[F.lit(x) for x in options])).alias(name))
+    return of
 
 
 def symmetrical_uncertainty(long: DataFrame, bins: int = 4) -> DataFrame:

@@ -249,10 +249,11 @@ def leaderboard(spark, sf):
     return rounded(ev.leaderboard(fx.benchmark_long(spark, sf)), "train", "test", "valid", "metaindex", "metaindex2")
 
 
-@query("hyperparameter_grid", """SELECT CAST(layer1 AS INTEGER) AS layer1, CAST(layer2 AS INTEGER) AS layer2, activation, dropout, optimizer, balanced FROM
-(SELECT unnest(range(3, 12)) AS layer1), (SELECT unnest([0, 3, 5]) AS layer2), (VALUES ('relu'), ('sigmoid'), ('selu')) a(activation), (VALUES (0.0::DOUBLE), (0.1::DOUBLE)) d(dropout), (VALUES ('adam'), ('sgd')) o(optimizer), (VALUES (true), (false)) b(balanced)""")
+@query("hyperparameter_grid", """SELECT s_suppkey AS study, CAST(layer1 AS INTEGER) AS layer1, CAST(layer2 AS INTEGER) AS layer2, activation, dropout, optimizer, balanced FROM
+supplier, (SELECT unnest(range(3, 12)) AS layer1), (SELECT unnest([0, 3, 5]) AS layer2), (VALUES ('relu'), ('sigmoid'), ('selu')) a(activation), (VALUES (0.0::DOUBLE), (0.1::DOUBLE)) d(dropout), (VALUES ('adam'), ('sgd')) o(optimizer), (VALUES (true), (false)) b(balanced)""")
 def hyperparameter_grid(spark, sf):
-    return ev.grid(spark, layer1=list(range(3, 12)), layer2=[0, 3, 5], activation=["relu", "sigmoid", "selu"], dropout=[0.0, 0.1], optimizer=["adam", "sgd"], balanced=[True, False])
+    """The networks of a grid, for every study."""
+    return ev.grid(fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("study")), layer1=list(range(3, 12)), layer2=[0, 3, 5], activation=["relu", "sigmoid", "selu"], dropout=[0.0, 0.1], optimizer=["adam", "sgd"], balanced=[True, False])
 
 
 @query("probe_pivot", """SELECT l_partkey % 50 AS probe, sum(l_quantity) FILTER (l_returnflag = 'A') AS "A", sum(l_quantity) FILTER (l_returnflag = 'N') AS "N", sum(l_quantity) FILTER (l_returnflag = 'R') AS "R" FROM lineitem GROUP BY 1""")

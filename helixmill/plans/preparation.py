@@ -46,9 +46,10 @@ def newest_archive(spark, sf):
     return pr.newest_archive(fx.table(spark, sf, "orders").select(F.col("o_custkey").alias("file_name"), name.alias("archive")), "file_name", "archive")
 
 
-@query("cut_metadata", "SELECT doc_id, source FROM documents WHERE lang IS NULL")
+@query("cut_metadata", "SELECT doc_id, source FROM documents WHERE (lang IS NULL OR doc_id % 3 = 0) AND (n_chars IS NULL OR doc_id % 5 <> 0)")
 def cut_metadata(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", "source", F.col("lang").alias("meta.1.lang"), F.lit(None).cast("int").alias("meta.1.n"))
+    """Documents of which a third has no language and four fifths have no length."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", "source", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("meta.1.lang"), F.when(F.col("doc_id") % 5 == 0, F.col("n_chars")).alias("meta.1.n"))
     return pr.cut_metadata(docs)
 
 
@@ -195,21 +196,25 @@ def trimmed_means(spark, sf):
     return rounded(pr.trimmed_means(fx.feature_matrix(spark, sf)), "trimmed")
 
 
-@query("fully_observed", f"WITH {MISSING} SELECT sample_id, count(*) AS n_features FROM miss GROUP BY sample_id HAVING count(value) = count(*)")
+@query("fully_observed", f"WITH {MISSING} SELECT sample_id, count(*) AS n_features FROM miss GROUP BY sample_id HAVING count(CASE WHEN value IS NULL AND sample_id % 4 <> 0 THEN 0 ELSE value END) = count(*)")
 def fully_observed(spark, sf):
-    return pr.complete(fx.missing_matrix(spark, sf))
+    """Of the missing values only those of every fourth sample stay missing."""
+    long = fx.missing_matrix(spark, sf)
+    return pr.complete(long.withColumn("value", F.coalesce("value", F.when(F.col("sample_id") % 4 != 0, 0.0))))
 
 
-@query("fill_mode", "WITH m AS (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1) SELECT doc_id, coalesce(lang, (SELECT lang FROM m)) AS lang FROM documents")
+@query("fill_mode", "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN lang END AS lang FROM documents), m AS (SELECT lang FROM d WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1) SELECT doc_id, coalesce(lang, (SELECT lang FROM m)) AS lang FROM d")
 def fill_mode(spark, sf):
-    return pr.fill_mode(fx.table(spark, sf, "documents").select("doc_id", "lang"), "lang")
+    """Documents of which every seventh has lost its language."""
+    return pr.fill_mode(fx.table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("lang")).alias("lang")), "lang")
 
 
-@query("grid_parts", "SELECT CAST(x AS INTEGER) AS layer1, CAST(0 AS INTEGER) AS layer2, a AS activation FROM range(3, 12) t(x), (VALUES ('relu'), ('selu')) s(a) UNION ALL SELECT CAST(x AS INTEGER), CAST(y AS INTEGER), a FROM range(3, 12) t(x), range(3, 6) u(y), (VALUES ('relu'), ('selu')) s(a)")
+@query("grid_parts", "SELECT s_suppkey AS study, CAST(x AS INTEGER) AS layer1, CAST(0 AS INTEGER) AS layer2, a AS activation FROM supplier, range(3, 12) t(x), (VALUES ('relu'), ('selu')) s(a) UNION ALL SELECT s_suppkey, CAST(x AS INTEGER), CAST(y AS INTEGER), a FROM supplier, range(3, 12) t(x), range(3, 6) u(y), (VALUES ('relu'), ('selu')) s(a)")
 def grid_parts(spark, sf):
-    """Networks of one and of two hidden layers."""
-    one = ev.grid(spark, layer1=list(range(3, 12)), layer2=[0], activation=["relu", "selu"])
-    return one.unionByName(ev.grid(spark, layer1=list(range(3, 12)), layer2=list(range(3, 6)), activation=["relu", "selu"]))
+    """Networks of one and of two hidden layers, for every study."""
+    studies = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("study"))
+    one = ev.grid(studies, layer1=list(range(3, 12)), layer2=[0], activation=["relu", "selu"])
+    return one.unionByName(ev.grid(studies, layer1=list(range(3, 12)), layer2=list(range(3, 6)), activation=["relu", "selu"]))
 
 
 SPLIT = f"mix_of AS ({ORACLES['stratified_split']})"

@@ -35,12 +35,11 @@ def agreeing_probes(spark, sf):
     return tables.agreeing_probes(fx.table(spark, sf, "lineitem"), "l_returnflag", "l_partkey", "l_linestatus")
 
 
-@query("union_pivot", """SELECT l_suppkey AS probe, sum(l_quantity) FILTER (l_returnflag = 'A') AS "A_reads", count(*) FILTER (l_returnflag = 'A') AS "A_rows", sum(l_quantity) FILTER (l_returnflag = 'R') AS "R_reads", count(*) FILTER (l_returnflag = 'R') AS "R_rows" FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1""")
+@query("union_pivot", """SELECT l_suppkey AS probe, sum(l_quantity) FILTER (l_returnflag = 'A') AS "A_reads", count(*) FILTER (l_returnflag = 'A') AS "A_rows", sum(l_quantity) FILTER (l_returnflag = 'R') AS "R_reads", count(*) FILTER (l_returnflag = 'R') AS "R_rows", sum(l_quantity) FILTER (l_returnflag = 'N') AS "N_reads", count(*) FILTER (l_returnflag = 'N') AS "N_rows" FROM lineitem GROUP BY 1""")
 def union_pivot(spark, sf):
     """Two values a file over the union of probes."""
-    rows = fx.table(spark, sf, "lineitem").where("l_returnflag <> 'N'")
-    wide = rows.groupBy(F.col("l_suppkey").alias("probe")).pivot("l_returnflag", ["A", "R"]).agg(F.sum("l_quantity").alias("reads"), F.count("l_suppkey").alias("rows"))
-    return wide.fillna(0, ["A_rows", "R_rows"])
+    wide = fx.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("probe")).pivot("l_returnflag", ["A", "N", "R"]).agg(F.sum("l_quantity").alias("reads"), F.count("l_suppkey").alias("rows"))
+    return wide.fillna(0, ["A_rows", "N_rows", "R_rows"])
 
 
 @query("without_partial", f"WITH {FEATURES}, f AS (SELECT DISTINCT feature FROM feat), h AS (SELECT feature, p, count(*) OVER (PARTITION BY p) AS n FROM f, (VALUES ('hsa.f0'), ('hsa.f63'), ('hsa.f07'), ('miR')) t(p) WHERE starts_with(feature, p)) SELECT feature FROM f WHERE feature NOT IN (SELECT feature FROM h WHERE n = 1 OR feature = p)")
@@ -87,9 +86,10 @@ def ensemble_weights(spark, sf):
     return tables.ensemble_weights(fx.table(spark, sf, "lineitem"), "l_partkey", "l_quantity")
 
 
-@query("unfinished", "SELECT p_partkey, CAST((p_partkey - 1) // 250 AS BIGINT) AS batch FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("unfinished", "SELECT p_partkey, CAST((p_partkey - 1) // 250 AS BIGINT) AS batch FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
 def unfinished(spark, sf):
-    done = fx.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    """Parts are done once a line has fifty of them."""
+    done = fx.table(spark, sf, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey"))
     return tables.unfinished(fx.table(spark, sf, "part").select("p_partkey"), done, "p_partkey")
 
 
