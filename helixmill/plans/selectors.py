@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixmill.operators import discretise, discriminant, dispatch, expression, penalised, tuner
+from helixmill.operators import discretise, discriminant, dispatch, expression, imputation, penalised, tuner
 from helixmill.plans.catalog import FEATURES, query, rounded
 from helixmill.sources import fixtures as fx
 from helixmill.sources import stores
@@ -127,3 +127,9 @@ def fisher_beam(spark, sf):
 def step_lda(spark, sf):
     """With a smaller least improvement than the operator's own, so that there is more than a step."""
     return rounded(discriminant.step_lda(fx.telling_matrix(spark, sf), 0.01), "accuracy")
+
+
+@query("impute_pmm")
+def impute_pmm(spark, sf):
+    """Two rounds over the matrix with one value in eleven missing."""
+    return rounded(imputation.impute_pmm(fx.missing_matrix(spark, sf).drop("class"), rounds=2), "value")
