@@ -60,3 +60,62 @@ def unit_hash(*parts) -> Column:
     """A number in [0, 1) that only depends on its parts: the same on any partitioning, and in SQL engines with md5."""
     digest = F.md5(F.concat_ws("|", *[x if isinstance(x, Column) else F.lit(x) for x in parts]))
     return F.conv(F.substring(digest, 1, 7), 16, 10).cast("double") / float(16**7)
+
+
+#: Coefficients of Lanczos's approximation with g = 7 (fixed values).
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function, from 0.5 on."""
+    z = x - 1.0
+    sums = F.lit(LANCZOS[0])
+    for i, c in enumerate(LANCZOS[1:], 1):
+        sums = sums + c / (z + float(i))
+    t = z + 7.5
+    return 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.log(t) - t + F.log(sums)
+
+
+def _steps(size: Column, least: int, times: float) -> Column:
+    """1, 2, ... as many as a series or fraction needs, which grow as the root of its parameters."""
+    return F.sequence(F.lit(1), (least + times * F.sqrt(size)).cast("int"))
+
+
+def gamma_upper(a: Column, x: Column) -> Column:
+    """The regularised upper incomplete gamma function: by its series below a + 1, else by its continued fraction."""
+    scale = F.exp(a * F.log(x) - x - log_gamma(a))
+    steps = _steps(F.greatest(a, x), 80, 12.0)
+    series = F.aggregate(steps, F.struct((1.0 / a).alias("term"), (1.0 / a).alias("total")), lambda s, i: F.struct((s["term"] * x / (a + i)).alias("term"), (s["total"] + s["term"] * x / (a + i)).alias("total")))["total"]
+    begin = x + 1.0 - a
+
+    def step(s, i):
+        top, b = -i * (i - a), begin + 2.0 * i
+        d, c = 1.0 / (top * s["d"] + b), b + top / s["c"]
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
+
+    fraction = F.aggregate(steps, F.struct(F.lit(1e300).alias("c"), (1.0 / begin).alias("d"), (1.0 / begin).alias("h")), step)["h"]
+    return F.when(x <= 0, 1.0).when(x < a + 1.0, F.greatest(F.lit(0.0), 1.0 - scale * series)).otherwise(scale * fraction)
+
+
+def chi_squared_upper(x: Column, df: Column) -> Column:
+    """P(X >= x) for the chi-squared distribution; null without a degree of freedom."""
+    return F.when(df > 0, gamma_upper(F.greatest(df, F.lit(1)) / 2.0, x / 2.0))
+
+
+def binomial_even(k: Column, n: Column) -> Column:
+    """The two-sided exact test of k of n against one half: twice the smaller tail, an incomplete beta function by its continued fraction; 1 in the middle and of none."""
+    few = F.least(k, n - k).cast("double")
+    a, b, x = n - few, few + 1.0, F.lit(0.5)
+    first = 1.0 / (1.0 - (a + b) * x / (a + 1.0))
+
+    def step(s, m):
+        up = m * (b - m) * x / ((a - 1.0 + 2.0 * m) * (a + 2.0 * m))
+        d, c = 1.0 / (1.0 + up * s["d"]), 1.0 + up / s["c"]
+        h = s["h"] * d * c
+        down = -(a + m) * (a + b + m) * x / ((a + 2.0 * m) * (a + 1.0 + 2.0 * m))
+        d2, c2 = 1.0 / (1.0 + down * d), 1.0 + down / c
+        return F.struct(c2.alias("c"), d2.alias("d"), (h * d2 * c2).alias("h"))
+
+    fraction = F.aggregate(_steps(F.greatest(a, b), 60, 6.0), F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h")), step)["h"]
+    tail = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + (a + b) * math.log(0.5)) * fraction / a
+    return F.when(2 * few >= n, 1.0).otherwise(F.least(F.lit(1.0), 2.0 * tail))

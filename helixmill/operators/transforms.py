@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.operators import evaluation
+from helixmill.functions import stats
+from helixmill.operators import evaluation, ranks
 
 #: Rows whose distances one task computes; larger minorities are searched block by block of about this size.
 BLOCK = 4096
@@ -138,7 +139,7 @@ def fold_ranking(long: DataFrame, fold: Column, k: int) -> DataFrame:
 
 
 def chi_squared(table: DataFrame, row: str, col: str) -> DataFrame:
-    """One row (n, df, statistic) of Pearson's test of independence of two columns; Yates's correction in a 2 x 2 table. Rows with a null in either are left out."""
+    """One row (n, df, statistic, p_value) of Pearson's test of independence of two columns; Yates's correction in a 2 x 2 table. Rows with a null in either are left out."""
     cell = table.where(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(F.col(row).alias("r"), F.col(col).alias("c")).agg(F.count("*").alias("o"))
     rows, cols = cell.groupBy("r").agg(F.sum("o").alias("nr")), cell.groupBy("c").agg(F.sum("o").alias("nc"))
     total = cell.agg(F.sum("o").alias("n"), ((F.count_distinct("r") - 1) * (F.count_distinct("c") - 1)).alias("df"))
@@ -146,17 +147,25 @@ def chi_squared(table: DataFrame, row: str, col: str) -> DataFrame:
     e = F.col("nr") * F.col("nc") / F.col("n")
     off = F.abs(F.coalesce("o", F.lit(0)) - e)
     off = F.when(F.col("df") == 1, off - F.least(F.lit(0.5), off)).otherwise(off)
-    return every.groupBy("n", "df").agg(F.sum(off * off / e).alias("statistic"))
+    return every.groupBy("n", "df").agg(F.sum(off * off / e).alias("statistic")).withColumn("p_value", stats.chi_squared_upper(F.col("statistic"), F.col("df")))
+
+
+def balance(table: DataFrame, class_col: str = "class", case: str = "Case") -> DataFrame:
+    """One row (n, cases, p_value): the exact two-sided binomial test of the cases against one half. Rows without a class are left out."""
+    counts = table.where(F.col(class_col).isNotNull()).agg(F.count("*").alias("n"), F.count_if(F.col(class_col) == case).alias("cases"))
+    return counts.withColumn("p_value", stats.binomial_even(F.col("cases"), F.col("n")))
 
 
 def association(long: DataFrame, target: str) -> DataFrame:
-    """Every other feature against ``target``: Pearson's and Spearman's correlation, the line of best fit and its adjusted R squared."""
-    of = Window.partitionBy("feature")
-    tied = Window.partitionBy("feature", "value")
-    ranked = long.where("value is not null").withColumn("rank", F.rank().over(of.orderBy("value")) + (F.count("*").over(tied) - 1) / 2)
+    """Every other feature against ``target``: Pearson's and Spearman's correlation with their p-values (Student's t), the line of best fit and its adjusted R squared. Tied values have their mean rank, from running counts in buckets."""
+    each = long.where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("_n"))
+    upto = ranks.running(ranks.in_buckets(each, ("feature",), "value"), ("feature",), [F.col("value")], _upto=F.col("_n"))
+    ranked = long.join(upto.select("feature", "value", (F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank")), ["feature", "value"])
     x = ranked.where(F.col("feature") == target).select("sample_id", F.col("value").alias("x"), F.col("rank").alias("rx"))
     n, r2 = F.count("*"), F.regr_r2("value", "x")
-    return ranked.where(F.col("feature") != target).join(x, "sample_id").groupBy("feature").agg(n.alias("n"), F.corr("value", "x").alias("pearson"), F.corr("rank", "rx").alias("spearman"), F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("intercept"), (1 - (1 - r2) * (n - 1) / (n - 2)).alias("adjusted_r2"))
+    found = ranked.where(F.col("feature") != target).join(x, "sample_id").groupBy("feature").agg(n.alias("n"), F.corr("value", "x").alias("pearson"), F.corr("rank", "rx").alias("spearman"), F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("intercept"), (1 - (1 - r2) * (n - 1) / (n - 2)).alias("adjusted_r2"))
+    p = lambda r: stats.t_two_sided(F.col(r) * F.sqrt(F.try_divide(F.col("n") - 2.0, 1 - F.col(r) * F.col(r))), F.col("n") - 2.0)
+    return found.withColumns({"pearson_p": p("pearson"), "spearman_p": p("spearman")})
 
 
 def heat_map(long: DataFrame, clip: float = 2.0, bins: int = 50) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helixmill.operators import assembly, expression, models, tables, transforms, wrappers
-from helixmill.plans.catalog import AUC, FEATURES, query, r, rounded
+from helixmill.plans.catalog import AUC, FEATURES, query, r, rounded, t_p
 from helixmill.sources import fixtures as fx
 
 
@@ -63,18 +63,26 @@ def classloop(spark, sf):
 
 
 @query("chi_squared", """WITH t AS (SELECT c_mktsegment AS r, c_nationkey % 4 = 0 AS c FROM customer), o AS (SELECT r, c, count(*) AS o FROM t GROUP BY ALL), nr AS (SELECT r, count(*) AS nr FROM t GROUP BY r), nc AS (SELECT c, count(*) AS nc FROM t GROUP BY c), k AS (SELECT count(*) AS n FROM t),
-e AS (SELECT n, nr * nc / n AS e, abs(coalesce(o, 0) - nr * nc / n) AS off FROM nr CROSS JOIN nc CROSS JOIN k LEFT JOIN o USING (r, c)), f AS (SELECT ((SELECT count(*) FROM nr) - 1) * ((SELECT count(*) FROM nc) - 1) AS df)
-SELECT n, df, round(sum(pow(CASE WHEN df = 1 THEN off - least(0.5, off) ELSE off END, 2) / e), 7) AS statistic FROM e, f GROUP BY n, df""")
+e AS (SELECT n, nr * nc / n AS e, abs(coalesce(o, 0) - nr * nc / n) AS off FROM nr CROSS JOIN nc CROSS JOIN k LEFT JOIN o USING (r, c)), f AS (SELECT ((SELECT count(*) FROM nr) - 1) * ((SELECT count(*) FROM nc) - 1) AS df),
+s AS (SELECT n, df, sum(pow(CASE WHEN df = 1 THEN off - least(0.5, off) ELSE off END, 2) / e) AS x FROM e, f GROUP BY n, df)
+SELECT n, df, round(x, 7) AS statistic, round(exp(-x / 2) * list_sum(list_transform(range(0, df // 2), lambda i: pow(x / 2, i) / gamma(i + 1))), 9) AS p_value FROM s""")
 def chi_squared(spark, sf):
     t = fx.table(spark, sf, "customer").select("c_mktsegment", (F.col("c_nationkey") % 4 == 0).alias("case"))
-    return rounded(transforms.chi_squared(t, "c_mktsegment", "case"), "statistic", digits=7)
+    return rounded(rounded(transforms.chi_squared(t, "c_mktsegment", "case"), "statistic", digits=7), "p_value", digits=9)
+
+
+@query("class_balance", "WITH c AS (SELECT count(*) AS n, count(*) FILTER (label = 0) AS cases FROM embeddings), t AS (SELECT *, least(cases, n - cases) AS few FROM c) SELECT n, cases, round(least(1, 2 * list_sum(list_transform(range(0, few + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))), 9) AS p_value FROM t")
+def class_balance(spark, sf):
+    """Are cases as many as controls? Exact binomial test."""
+    return rounded(transforms.balance(fx.table(spark, sf, "embeddings").select(F.when(F.col("label") == 0, "Case").otherwise("Control").alias("class"))), "p_value", digits=9)
 
 
 @query("association", f"""WITH {FEATURES}, k AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS rank FROM feat), x AS (SELECT sample_id, value AS x, rank AS rx FROM k WHERE feature = 'hsa.f00'),
 a AS (SELECT feature, count(*) AS n, corr(value, x) AS pearson, corr(rank, rx) AS spearman, regr_slope(value, x) AS slope, regr_intercept(value, x) AS intercept, 1 - (1 - pow(corr(value, x), 2)) * (count(*) - 1) / (count(*) - 2) AS adjusted_r2 FROM k JOIN x USING (sample_id) WHERE feature <> 'hsa.f00' GROUP BY feature)
-SELECT feature, n, {r('pearson', 'spearman', 'slope', 'intercept', 'adjusted_r2')} FROM a""")
+SELECT feature, n, {r('pearson', 'spearman', 'slope', 'intercept', 'adjusted_r2')}, round({t_p('pearson * sqrt((n - 2.0::DOUBLE) / (1 - pearson * pearson))', '(n - 2.0::DOUBLE)')}, 7) AS pearson_p, round({t_p('spearman * sqrt((n - 2.0::DOUBLE) / (1 - spearman * spearman))', '(n - 2.0::DOUBLE)')}, 7) AS spearman_p FROM a""")
 def association(spark, sf):
-    return rounded(transforms.association(fx.feature_matrix(spark, sf), "hsa.f00"), "pearson", "spearman", "slope", "intercept", "adjusted_r2")
+    found = rounded(transforms.association(fx.feature_matrix(spark, sf), "hsa.f00"), "pearson", "spearman", "slope", "intercept", "adjusted_r2")
+    return rounded(found, "pearson_p", "spearman_p", digits=7)
 
 
 @query("heat_map", f"""WITH {FEATURES}, m AS (SELECT feature, avg(value) AS a, stddev_samp(value) AS s FROM feat GROUP BY feature), z AS (SELECT sample_id, class, feature, least(greatest((value - a) / s, -2.0::DOUBLE), 2.0::DOUBLE) AS z FROM feat JOIN m USING (feature))

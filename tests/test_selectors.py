@@ -269,3 +269,24 @@ def test_discriminants_equal_refitting_each_left_out_sample(spark, monkeypatch):
     assert discriminant.step_lda(long, 2.0).count() == 0
     with pytest.raises(ValueError, match="two samples"):
         discriminant.fisher_beam(long.where("class = 'Case'"))
+
+
+def test_exact_tails(spark):
+    """Chi-squared tails against closed forms and a fine quadrature, binomial tails against sums of whole numbers."""
+    from helixmill.functions import stats
+
+    rows = [(x, df) for df in (1, 2, 3, 4, 7, 30, 101, 1_000) for x in (0.0, 1e-3, 0.5, df * 0.7, float(df), df + 2.0, df * 1.5 + 9, df * 2.0 + 60)]
+    table = spark.createDataFrame(rows, "x double, df bigint").withColumn("p", stats.chi_squared_upper(F.col("x"), F.col("df")))
+    for r in table.collect():
+        h = r.x / 2
+        if r.df % 2 == 0:
+            want = math.fsum(math.exp(-h + i * math.log(h) - math.lgamma(i + 1)) if h else float(i == 0) for i in range(r.df // 2))
+        else:
+            want = math.erfc(math.sqrt(h)) + math.fsum(math.exp(-h + (i + 0.5) * math.log(h) - math.lgamma(i + 1.5)) if h else 0.0 for i in range(r.df // 2))
+        assert r.p == pytest.approx(want, rel=1e-9, abs=1e-14)
+    assert spark.range(1).select(stats.chi_squared_upper(F.lit(2.0), F.lit(0)).alias("p")).first().p is None
+    rows = [(k, n) for n in (0, 1, 2, 7, 20, 101, 2_000) for k in sorted({0, n // 7, n // 3, n // 2, (n + 1) // 2, n - n // 5, n})]
+    for r in spark.createDataFrame(rows, "k bigint, n bigint").withColumn("p", stats.binomial_even(F.col("k"), F.col("n"))).collect():
+        few = min(r.k, r.n - r.k)
+        want = 1.0 if 2 * few >= r.n else min(1.0, 2 * sum(math.comb(r.n, i) for i in range(few + 1)) / 2**r.n)
+        assert r.p == pytest.approx(want, rel=1e-10)
