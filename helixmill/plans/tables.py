@@ -86,11 +86,11 @@ def ensemble_weights(spark, sf):
     return tables.ensemble_weights(fx.table(spark, sf, "lineitem"), "l_partkey", "l_quantity")
 
 
-@query("unfinished", "SELECT p_partkey, CAST((p_partkey - 1) // 250 AS BIGINT) AS batch FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
+@query("unfinished", "SELECT p_partkey + 1 AS cell, CAST(p_partkey // 250 AS BIGINT) AS batch FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
 def unfinished(spark, sf):
-    """Parts are done once a line has fifty of them."""
-    done = fx.table(spark, sf, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey"))
-    return tables.unfinished(fx.table(spark, sf, "part").select("p_partkey"), done, "p_partkey")
+    """Parts, as cells numbered from 1, are done once a line has fifty of them."""
+    done = fx.table(spark, sf, "lineitem").where("l_quantity = 50").select((F.col("l_partkey") + 1).alias("cell"))
+    return tables.unfinished(fx.table(spark, sf, "part").select((F.col("p_partkey") + 1).alias("cell")), done, "cell")
 
 
 @query("worth_saving", f"""WITH {BENCH}, a AS (SELECT method, algorithm, max(value) FILTER (split = 'train') AS train, max(value) FILTER (split = 'test') AS test, max(value) FILTER (split = 'valid') AS valid FROM bench WHERE metric = 'Accuracy' GROUP BY ALL),
