@@ -75,24 +75,25 @@ def corrsf_mdl(spark, sf):
     return discretise.forward_cfs_mdl(fx.telling_matrix(spark, sf), 11)
 
 
-#: Folds by a hash of the sample, as all engines with md5 give it.
-FOLD = F.conv(F.substring(F.md5(F.col("sample_id").cast("string")), 1, 4), 16, 10).cast("int") % 10
+def fold():
+    """Ten folds by a hash of the sample, as all engines with md5 give it."""
+    return F.conv(F.substring(F.md5(F.col("sample_id").cast("string")), 1, 4), 16, 10).cast("int") % 10
 
 
 @query("cv_lasso")
 def cv_lasso(spark, sf):
-    return rounded(penalised.cv_lasso(fx.telling_matrix(spark, sf), FOLD, 10, n_penalties=30, least=1e-2), "coefficient", digits=6)
+    return rounded(penalised.cv_lasso(fx.telling_matrix(spark, sf), fold(), 10, n_penalties=30, least=1e-2), "coefficient", digits=6)
 
 
 @query("lasso_path")
 def lasso_path(spark, sf):
-    return rounded(penalised.as_table(spark, penalised.penalty_path(fx.telling_matrix(spark, sf), FOLD, 10, n_penalties=30, least=1e-2)), "penalty", "deviance", "error", digits=6)
+    return rounded(penalised.as_table(spark, penalised.penalty_path(fx.telling_matrix(spark, sf), fold(), 10, n_penalties=30, least=1e-2)), "penalty", "deviance", "error", digits=6)
 
 
 @query("elastic_net")
 def elastic_net(spark, sf):
     """Three mixes of twenty penalties each; the operator's default is seventeen of a hundred."""
-    return rounded(penalised.elastic_net(fx.telling_matrix(spark, sf), FOLD, 10, (0.1, 0.5, 0.9), n_penalties=20, least=1e-2), "coefficient", digits=6)
+    return rounded(penalised.elastic_net(fx.telling_matrix(spark, sf), fold(), 10, (0.1, 0.5, 0.9), n_penalties=20, least=1e-2), "coefficient", digits=6)
 
 
 def split_telling(spark, sf):
