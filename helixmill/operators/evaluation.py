@@ -13,8 +13,8 @@ def roc_points(scored: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFra
     """Cumulative true and false positives at each distinct score, from the top. Scores are aggregated first, so ties are one row, and summed in buckets, so no group is one task's."""
     at = scored.groupBy(*by, "score").agg(F.sum(F.col("label").cast("bigint")).alias("p"), F.sum((1 - F.col("label")).cast("bigint")).alias("n")).where("score is not null")
     upto = ranks.running(ranks.in_buckets(at, by, "score"), by, [F.col("score")], below_p=F.col("p"), below_n=F.col("n"))
-    whole = at.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
-    return upto.join(whole, list(by)).select(*by, "score", "p", "n", (F.col("pos") - F.col("below_p") + F.col("p")).alias("tp"), (F.col("neg") - F.col("below_n") + F.col("n")).alias("fp"), "pos", "neg")
+    upto = upto.withColumnsRenamed({"below_p_all": "pos", "below_n_all": "neg"})
+    return upto.select(*by, "score", "p", "n", (F.col("pos") - F.col("below_p") + F.col("p")).alias("tp"), (F.col("neg") - F.col("below_n") + F.col("n")).alias("fp"), "pos", "neg")
 
 
 def auc(scored: DataFrame, by: tuple[str, ...] = ("feature",), turned: bool = True) -> DataFrame:

@@ -116,8 +116,8 @@ def stratified_split(samples: DataFrame, train: float = 0.6, seed: int = 1) -> D
     h = F.md5(F.concat_ws("|", F.lit(seed), F.col("sample_id").cast("string")))
     keyed = samples.withColumn("_h", F.substring(h, 1, 7)).withColumn("_b", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int")).withColumn("_c", F.coalesce("class", F.lit("")))
     sums = ranks.running(keyed, ("_c",), [F.col("_h"), F.col("sample_id")], _r=F.lit(1))
-    n = keyed.groupBy("_c").agg(F.count("*").alias("_n"))
-    ranked = sums.join(n, "_c").withColumn("_t", F.ceil(F.col("_n") * train)).withColumn("_e", F.col("_t") + F.ceil((F.col("_n") - F.col("_t")) / 2))
+    n = F.col("_r_all")
+    ranked = sums.withColumn("_t", F.ceil(n * train)).withColumn("_e", F.col("_t") + F.ceil((n - F.col("_t")) / 2))
     return ranked.select(*samples.columns, F.when(F.col("_r") <= F.col("_t"), "train").when(F.col("_r") <= F.col("_e"), "test").otherwise("valid").alias("mix"))
 
 

@@ -163,10 +163,9 @@ def trimmed_means(long: DataFrame, trim: float = 0.1) -> DataFrame:
     """(feature, trimmed): the mean without the floor(n * trim) smallest and largest values. Equal values are one row with their number, and running numbers are taken in buckets cut by quantiles, so neither an outlier nor a repeated value makes a feature one task's."""
     each = long.where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("_n"))
     upto = ranks.running(ranks.in_buckets(each, ("feature",), "value"), ("feature",), [F.col("value")], _upto=F.col("_n"))
-    whole = each.groupBy("feature").agg(F.sum("_n").alias("_all"))
-    cut = F.floor(F.col("_all") * trim)
-    kept = F.greatest(F.least(F.col("_upto"), F.col("_all") - cut) - F.greatest(F.col("_upto") - F.col("_n"), cut), F.lit(0))
-    return upto.join(whole, "feature").groupBy("feature").agg(F.try_divide(F.sum(F.col("value") * kept), F.sum(kept)).alias("trimmed"))
+    cut = F.floor(F.col("_upto_all") * trim)
+    kept = F.greatest(F.least(F.col("_upto"), F.col("_upto_all") - cut) - F.greatest(F.col("_upto") - F.col("_n"), cut), F.lit(0))
+    return upto.groupBy("feature").agg(F.try_divide(F.sum(F.col("value") * kept), F.sum(kept)).alias("trimmed"))
 
 
 def complete(long: DataFrame, most: int = 0) -> DataFrame:

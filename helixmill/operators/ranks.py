@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS, ACCURACY = 64, 2_000
+BUCKETS, ACCURACY, COMPILED = 32, 2_000, 64
 
 
 def in_buckets(rows: DataFrame, by: tuple[str, ...], value: str, buckets: int = BUCKETS) -> DataFrame:
@@ -16,23 +16,29 @@ def in_buckets(rows: DataFrame, by: tuple[str, ...], value: str, buckets: int =
     if buckets == 1:
         return rows.dropna(subset=list(by)).withColumn("_b", F.lit(0))
     cuts = rows.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], ACCURACY)).alias("_cuts"))
-    return rows.join(cuts, list(by)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    if buckets <= COMPILED:  # comparisons that are compiled; a lambda is interpreted
+        below = F.lit(0)
+        for i in range(buckets - 1):
+            below = below + F.coalesce((F.get("_cuts", F.lit(i)) < F.col(value)).cast("int"), F.lit(0))
+    else:
+        below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    return rows.join(cuts, list(by)).withColumn("_b", below).drop("_cuts")
 
 
 def running(rows: DataFrame, by: tuple[str, ...], order: list[Column], **sums: Column) -> DataFrame:
-    """``rows`` (with ``_b``) with the sum of each of ``sums`` from the group's first row in ``order`` to this one. ``order`` has to go on within what ``_b`` orders."""
+    """``rows`` (with ``_b``) with the sum of each of ``sums`` from the group's first row in ``order`` to this one, and over the whole group as ``<name>_all``. ``order`` has to go on within what ``_b`` orders."""
     work = rows.withColumns({f"_v_{k}": v for k, v in sums.items()})
     totals = work.groupBy(*by, "_b").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
     earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a group and bucket
-    bases = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_t_{k}") for k in sums])
+    bases = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_t_{k}") for k in sums], *[F.sum(f"_t_{k}").over(Window.partitionBy(*by)).alias(f"{k}_all") for k in sums])
     within = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return work.join(bases, [*by, "_b"]).select(*rows.columns, *[(F.sum(f"_v_{k}").over(within) + F.col(f"_t_{k}")).alias(k) for k in sums])
+    return work.join(bases, [*by, "_b"]).select(*rows.columns, *[(F.sum(f"_v_{k}").over(within) + F.col(f"_t_{k}")).alias(k) for k in sums], *[f"{k}_all" for k in sums])
 
 
 def ranked(rows: DataFrame, by: tuple[str, ...], value: str, name: str, tie: tuple[str, ...] = (), buckets: int = BUCKETS) -> DataFrame:
     """``rows`` with their rank, from 1, by ``value`` and then ``tie``; null values are left out."""
     dealt = in_buckets(rows.where(F.col(value).isNotNull()), by, value, buckets)
-    return running(dealt, by, [F.col(value), *(F.col(t) for t in tie)], **{name: F.lit(1)}).drop("_b")
+    return running(dealt, by, [F.col(value), *(F.col(t) for t in tie)], **{name: F.lit(1)}).drop("_b", f"{name}_all")
 
 
 def medians(rows: DataFrame, by: tuple[str, ...], **values: Column) -> DataFrame:
@@ -40,9 +46,8 @@ def medians(rows: DataFrame, by: tuple[str, ...], **values: Column) -> DataFrame
     listed = F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), v.cast("double").alias("_v")) for k, v in values.items()]))
     each = rows.select(*by, listed.alias("_x")).select(*by, "_x._k", "_x._v").where("_v is not null").groupBy(*by, "_k", "_v").agg(F.count("*").alias("_n"))
     at = running(in_buckets(each, (*by, "_k"), "_v"), (*by, "_k"), [F.col("_v")], _upto=F.col("_n"))
-    whole = each.groupBy(*by, "_k").agg(F.sum("_n").alias("_all"))
     # the middle one, or the middle two
-    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
-    mid = at.join(whole, [*by, "_k"]).where((F.col("_upto") >= low) & (F.col("_upto") - F.col("_n") < high))
+    low, high = F.floor((F.col("_upto_all") + 1) / 2), F.floor(F.col("_upto_all") / 2) + 1
+    mid = at.where((F.col("_upto") >= low) & (F.col("_upto") - F.col("_n") < high))
     found = mid.groupBy(*by, "_k").agg(((F.min("_v") + F.max("_v")) / 2).alias("_m"))
     return found.groupBy(*by).agg(*[F.max(F.when(F.col("_k") == k, F.col("_m"))).alias(k) for k in values])
