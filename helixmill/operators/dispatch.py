@@ -15,7 +15,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.operators import discretise, evaluation, expression, penalised, preparation, transforms
+from helixmill.operators import boosting, discretise, discriminant, evaluation, expression, penalised, preparation, transforms
 from helixmill.sources import stores
 
 STATE = "cell string, state string, error string, seconds double"
@@ -126,6 +126,8 @@ def selectors(k: int = 11) -> dict[str, Callable[[DataFrame], DataFrame]]:
         "AUC_MDL": lambda long: discretise.auc_mdl(long, k).select("rank", "feature"),
         "SU_MDL": lambda long: top(discretise.su_mdl(long), "su"),
         "AUC": lambda long: top(evaluation.auc(long.select("feature", F.col("value").alias("score"), (F.col("class") == expression.CASE).cast("int").alias("label"))), "auc"),
+        "bounce": lambda long: boosting.stability(long).select("rank", "feature"),
+        "stepLDA": lambda long: _ordered(discriminant.step_lda(long).groupBy("feature").agg(F.max_by("action", "step").alias("a"), F.max("step").alias("s")).where("a = 'in'"), -F.col("s")),
         "LASSO": lambda long: penalised.cv_lasso(long, fold, 10, n_penalties=30, least=1e-2).select("rank", "feature"),
         "ElasticNet": lambda long: penalised.elastic_net(long, fold, 10, n_penalties=20, least=1e-2).select("rank", "feature"),
     }

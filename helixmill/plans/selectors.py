@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixmill.operators import discretise, discriminant, dispatch, expression, imputation, penalised, tuner
+from helixmill.operators import boosting, discretise, discriminant, dispatch, expression, imputation, penalised, tuner
 from helixmill.plans.catalog import FEATURES, query, rounded
 from helixmill.sources import fixtures as fx
 from helixmill.sources import stores
@@ -134,3 +134,8 @@ def step_lda(spark, sf):
 def impute_pmm(spark, sf):
     """Two rounds over the matrix with one value in eleven missing."""
     return rounded(imputation.impute_pmm(fx.missing_matrix(spark, sf).drop("class"), rounds=2), "value")
+
+
+@query("boosted_stability")
+def boosted_stability(spark, sf):
+    return rounded(boosting.stability(fx.telling_matrix(spark, sf), rounds=40), "share", "coefficient", digits=6)

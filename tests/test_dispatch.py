@@ -58,12 +58,13 @@ def test_cells_fail_and_are_late_alone_and_resume(spark):
 def test_selectors_share_their_inputs(spark, long):
     path = stores.new_folder(spark, "selected")
     train = long.where("mix = 'train'").drop("mix")
-    got = {r.cell: r.state for r in dispatch.select(train, path, ["all", "cfs", "SU_MDL_sig", "AUCSMOTE", "AUCSMOTE_sig"]).collect()}
-    assert got == dict.fromkeys(got, "done") and len(got) == 5
+    got = {r.cell: r.state for r in dispatch.select(train, path, ["all", "cfs", "SU_MDL_sig", "AUCSMOTE", "AUCSMOTE_sig", "stepLDA", "bounce_sig"]).collect()}
+    assert got == dict.fromkeys(got, "done") and len(got) == 7
     rows = {}
     for r in dispatch.selected(spark, path).orderBy("rank").collect():
         rows.setdefault(r.method, []).append(r.feature)
     assert rows["all"] == ["hsa.0", "hsa.1", "hsa.2"] and rows["cfs"] == ["hsa.1"]
+    assert rows["stepLDA"][0] == rows["bounce_sig"][0] == "hsa.1"
     assert rows["AUCSMOTE"][0] == "hsa.1" and rows["SU_MDL_sig"] == rows["AUCSMOTE_sig"] == ["hsa.1"]
     balanced = spark.read.parquet(f"{path}/inputs/balanced").groupBy("class").agg(F.count_distinct("sample_id").alias("n")).collect()
     assert len({r.n for r in balanced}) == 1 or max(r.n for r in balanced) < 1.1 * min(r.n for r in balanced)

@@ -290,3 +290,42 @@ def test_exact_tails(spark):
         few = min(r.k, r.n - r.k)
         want = 1.0 if 2 * few >= r.n else min(1.0, 2 * sum(math.comb(r.n, i) for i in range(few + 1)) / 2**r.n)
         assert r.p == pytest.approx(want, rel=1e-10)
+
+
+def test_boosting_equals_a_plain_loop(spark):
+    from helixmill.operators import boosting, models
+
+    rng = np.random.default_rng(6)
+    n, p, b = 200, 5, 4
+    x = rng.normal(0, 1, (n, p)) * [1, 3, 0.2, 1, 0] + [0, 10, 5, -1, 2]
+    y = (rng.random(n) < 1 / (1 + np.exp(-2 * x[:, 0] + 6 * (x[:, 2] - 5)))).astype(float)
+    rows = [(i, "Case" if y[i] else "Control", f"f{j}", float(x[i, j])) for i in range(n) for j in range(p)] + [(n, "Case", "f0", 1.0)]
+    long = spark.createDataFrame(rows, "sample_id bigint, class string, feature string, value double").repartition(3)
+    w = np.array([r.w for r in boosting.weighted(models.vectors(long)[0], b, 1).orderBy("sample_id").collect()], float)
+    assert w.shape == (n, b + 1) and (w[:, 0] == 1).all() and abs(w[:, 1:].mean() - 1) < 0.15 and w.max() >= 3
+    names, got = boosting.paths(long, b, rounds=30, patience=4)
+    sd = x.std(0, ddof=1)
+    z = (x - x.mean(0)) / np.where(sd > 0, sd, 1)
+    for k in range(b + 1):
+        v = w[:, k]
+        share = (v * y).sum() / v.sum()
+        base, beta, best, kept, since = math.log(share / (1 - share)), np.zeros(p), math.inf, None, 0
+        for _ in range(31):
+            eta = base + z @ beta
+            mu = 1 / (1 + np.exp(-eta))
+            aic = -2 * (v * np.log(np.where(y == 1, mu, 1 - mu))).sum() + 2 * (beta != 0).sum()
+            if aic < best - 1e-9:
+                best, kept, since = aic, beta.copy(), 0
+            else:
+                since += 1
+            if since >= 4:
+                break
+            g, h = z.T @ (v * (y - mu)), (z * z).T @ v
+            j = int(np.argmax(np.where(h > 1e-9, g * g / np.maximum(h, 1e-9), 0)))
+            beta = beta.copy()
+            beta[j] += 0.4 * g[j] / h[j]
+        assert got[:, k] == pytest.approx(kept, abs=1e-9)
+    rows = boosting.stability(long, bootstraps=b, rounds=30).collect()
+    assert {"f0", "f2"} <= {r.feature for r in rows} and "f4" not in {r.feature for r in rows}
+    with pytest.raises(ValueError, match="both classes"):
+        boosting.stability(long.where("class = 'Case'"))
