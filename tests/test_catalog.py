@@ -161,3 +161,11 @@ def test_only_selected_counts_repeats_once(spark):
     selected = spark.createDataFrame([("a",), ("a",), ("c",), (None,), ("z",)], "feature string")
     assert sorted(r.feature for r in preparation.pr.only_selected(scores, selected).collect()) == ["a", "c"]
     assert preparation.pr.only_selected(scores, selected.limit(0)).count() == 0
+
+
+def test_entry_needs_no_session_to_be_imported():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(); e.oracle_sql()"], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
