@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixmill.operators import boosting, discretise, discriminant, dispatch, expression, imputation, penalised, tuner
+from helixmill.operators import boosting, discretise, discriminant, dispatch, expression, imputation, networks, penalised, tuner
 from helixmill.plans.catalog import FEATURES, query, rounded
 from helixmill.sources import fixtures as fx
 from helixmill.sources import stores
@@ -139,3 +139,25 @@ def impute_pmm(spark, sf):
 @query("boosted_stability")
 def boosted_stability(spark, sf):
     return rounded(boosting.stability(fx.telling_matrix(spark, sf), rounds=40), "share", "coefficient", digits=6)
+
+
+@query("network_search")
+def network_search(spark, sf):
+    """Four networks trained together: layers, dropout, penalties and a code of eight units."""
+    long = split_telling(spark, sf)
+    shapes = {"small": networks.Shape((16,), "relu", (0.2,)), "deep": networks.Shape((16, 8, 4), "selu"), "sparse": networks.Shape((12, 6), "tanh", penalised=(True, True)), "coded": networks.Shape((8,), "sigmoid", autoencoder=8)}
+    made, _ = networks.train(long, shapes, epochs=25, patience=10, rate=0.03)
+    return rounded(networks.board(long, made), "cutoff", "loss", "train_auc", *[f"{mix}_{c}" for mix in networks.MIXES for c in ("accuracy", "sensitivity", "specificity", "ppv", "npv", "f1")], digits=4)
+
+
+@query("network_transfer")
+def network_transfer(spark, sf):
+    """A network of the telling matrix, stored, read and fitted further on the matrix as it is, its first layer frozen."""
+    (network,), _ = networks.train(split_telling(spark, sf), {"first": networks.Shape((12, 6), "relu")}, epochs=20, patience=10, rate=0.03)
+    path = stores.new_folder(spark, "network")
+    networks.save(spark, network, path)
+    plain = fx.feature_matrix(spark, sf)
+    plain = plain.join(expression.stratified_split(plain.select("sample_id", "class").distinct()).select("sample_id", "mix"), "sample_id")
+    _, told = networks.transfer(plain, networks.load(spark, path), (1, 1), epochs=20, patience=10, rate=0.03)
+    stores.remove(spark, path)
+    return rounded(told, "cutoff", "accuracy", "sensitivity", "specificity", "ppv", "npv", "f1", digits=4)
