@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixmill.operators import boosting, discretise, discriminant, dispatch, expression, imputation, networks, penalised, tuner
+from helixmill.operators import boosting, discretise, discriminant, dispatch, expression, imputation, networks, penalised, search, tuner
 from helixmill.plans.catalog import FEATURES, query, rounded
 from helixmill.sources import fixtures as fx
 from helixmill.sources import stores
@@ -161,3 +161,14 @@ def network_transfer(spark, sf):
     _, told = networks.transfer(plain, networks.load(spark, path), (1, 1), epochs=20, patience=10, rate=0.03)
     stores.remove(spark, path)
     return rounded(told, "cutoff", "accuracy", "sensitivity", "specificity", "ppv", "npv", "f1", digits=4)
+
+
+@query("genetic")
+def genetic(spark, sf):
+    """Five folds; the operator's population and generations."""
+    return search.genetic(fx.telling_matrix(spark, sf), fold() % 5, 5).features(spark)
+
+
+@query("annealing")
+def annealing(spark, sf):
+    return rounded(search.annealing(fx.telling_matrix(spark, sf), fold() % 5, 5).history(spark).drop("features"), "internal", "external")
