@@ -49,6 +49,11 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_until_end(path: str) -> None:
+    """Let ``scratch`` remove ``path`` with the stage tables."""
+    _STAGES.append(path)
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Removes at the end the stage tables that were written inside. For callers who have used up or written what operators returned inside, as those results still read them."""
@@ -188,8 +193,8 @@ def apart(keep: tuple[str, ...], outputs) -> list[str]:
     return names
 
 
-def text_columns(docs: DataFrame, text_col: str, keep: tuple[str, ...], outputs: dict[str, tuple[str, pa.DataType]], of) -> DataFrame:
-    """Per row the columns of ``keep`` and those of ``outputs`` (name to Spark's and Arrow's type), which ``of()``, called once a task, works out: a function from texts to a list of values for each output.
+def text_columns(docs: DataFrame, text_col: str, keep: tuple[str, ...], outputs: dict[str, tuple[str, pa.DataType]], of, most: int = SLICE_BYTES) -> DataFrame:
+    """Per row the columns of ``keep`` and those of ``outputs`` (name to Spark's and Arrow's type), which ``of()``, called once a task, works out: a function from texts (slices of about ``most`` bytes, or one text) to a list of values for each output.
 
     Kept columns are named by ``apart``. The text crosses to Python once, and back only if it is kept.
     """
@@ -202,7 +207,7 @@ def text_columns(docs: DataFrame, text_col: str, keep: tuple[str, ...], outputs:
     def run(batches):
         worker_state(tuple(outputs), dict)  # gives up what other operators keep
         work = of()
-        for batch in slices(batches, at):
+        for batch in slices(batches, at, most):
             found = work(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(x, kind) for x, kind in zip(found, kinds, strict=True))], [*(f"c{i}" for i in range(len(names))), *outputs])
 

@@ -4,22 +4,24 @@ A passage of a document that matches a benchmark item of m characters with at mo
 
 Texts are compared in lower case, with every run of other characters than letters and digits as one space. The budget is ``edits`` of an item's characters, or less where the lemma would demand no q-gram.
 
-Defined cases: null and empty texts match nothing; items that are null or have no letter or digit match nothing; items of under ``min_chars`` characters match without edits, as whole words; an item matches as a whole only; equal items match each on their own; repeated rows give one row each; a kept column named as an output is named ``<name>_kept``. Only the named columns are read. Items are held in blocks of at most ``BLOCK_CHARS`` characters, each broadcast on its own and its matches added in turn (a written table a block, if there are several), so that a benchmark of any size is bounded in memory.
+Defined cases: null and empty texts match nothing; items that are null or have no letter or digit match nothing; items of under ``min_chars`` characters match without edits, as whole words; an item matches as a whole only; equal items match each on their own; repeated rows give one row each; a kept column named as an output is named ``<name>_kept``. Only the named columns are read. Items of at most ``BLOCK_CHARS`` characters in all are one broadcast index. More are dealt to blocks of about that many, whose indexes tasks write to the shared folder; a task then reads one after another for each slice of its texts (at most ``TEXT_BYTES``, or one text), so that the corpus is passed over once and memory is bounded by an index and a slice, however large the benchmark is.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.llm import common
 
-Q, EDITS, MIN_CHARS, BLOCK_CHARS, PLACES = 8, 0.08, 32, 2_000_000, 2_000_000
+Q, EDITS, MIN_CHARS, BLOCK_CHARS, PLACES, TEXT_BYTES = 8, 0.08, 32, 2_000_000, 2_000_000, 32_000_000
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -189,7 +191,12 @@ def matches(text: str | None, index: Index) -> list[tuple]:
         return min(spans[w][0] + x - int(starts[w]), spans[w][1])
 
     every = [(index.ids[item], start, end, distance) for (item, end), (distance, start) in found.items()] + exact_only
-    return sorted((i, place(start), place(end - 1) + 1, distance) for i, start, end, distance in every)
+    return sorted(((i, place(start), place(end - 1) + 1, distance) for i, start, end, distance in every), key=by_item)
+
+
+def by_item(match: tuple) -> tuple:
+    """The order of matches; items without an id come first."""
+    return (match[0] is not None, match[0] or 0, *match[1:])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -201,24 +208,41 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("distance", pa.int32())]))
     fields = ("item_id", "start", "end", "distance")
 
-    def finder(held):
+    def finder(indexes, most=common.SLICE_BYTES):
         def work(texts):
-            found = [[dict(zip(fields, m, strict=True)) for m in matches(t, held.value)] for t in texts]
-            return [bool(x) for x in found], found
+            found = [[] for _ in texts]
+            for index in indexes():
+                for i, t in enumerate(texts):
+                    found[i] += matches(t, index)
+            told = [[dict(zip(fields, m, strict=True)) for m in sorted(x, key=by_item)] for x in found]
+            return [bool(x) for x in told], told
 
-        return lambda: work
+        return common.text_columns(docs, text_col, (id_col, *keep), outputs, lambda: work, most)
 
-    names, out = (id_col, *keep), docs
     outputs = {"contaminated": ("boolean", pa.bool_()), "matches": ("array<struct<item_id: bigint, start: int, end: int, distance: int>>", kind)}
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # about BLOCK_CHARS characters
-        held = spark.sparkContext.broadcast(build([tuple(r) for r in block], edits, min_chars))
-        if blocks == 1:
-            return common.text_columns(docs, text_col, names, outputs, finder(held))
-        if b == 0:  # columns by position, so that no name clashes from block to block
-            out = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)], F.col(text_col).alias("body"), F.lit(False).alias("hit"), F.array().cast(outputs["matches"][0]).alias("all"))
-        more = common.text_columns(out, "body", tuple(out.columns), outputs, finder(held))
-        # a written table a block: one index at a time is in a worker's memory
-        out = common.stage(more.withColumns({"hit": F.col("hit") | F.col("contaminated"), "all": F.concat("all", "matches")}).select(out.columns), "matched")
-    kept = out.select(*[F.col(f"k{i}") for i in range(len(names))], F.col("hit"), F.array_sort("all"))
-    return kept.toDF(*common.apart(names, outputs), *outputs)
+    if blocks == 1:
+        held = spark.sparkContext.broadcast(build([tuple(r) for r in items.collect()], edits, min_chars))  # at most BLOCK_CHARS characters
+        return finder(lambda: [held.value])
+    paths = stored(items, blocks, edits, min_chars)
+    return finder(lambda: map(read, paths), TEXT_BYTES)
+
+
+def stored(items: DataFrame, blocks: int, edits: float, min_chars: int) -> list[str]:
+    """The paths of the indexes of ``items`` (item_id, text) in ``blocks``, written by a task each. A task that is done again writes the same file."""
+    folder = common.new_path(items.sparkSession, "benchmark")
+
+    def write(key, block: pd.DataFrame) -> pd.DataFrame:
+        ids = [None if pd.isna(i) else int(i) for i in block["item_id"]]
+        path = f"{folder}/{key[0]}"
+        common.write_whole(path, [pickle.dumps(build(list(zip(ids, block["text"], strict=True)), edits, min_chars), protocol=5)])
+        return pd.DataFrame({"path": [path]})
+
+    common.keep_until_end(folder)
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    return sorted(r.path for r in dealt.groupBy("block").applyInPandas(write, "path string").collect())  # a row a block
+
+
+def read(path: str) -> Index:
+    system, at = common.file_system(path)
+    with system.open_input_stream(at, compression=None) as f:
+        return pickle.loads(f.read())

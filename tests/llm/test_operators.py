@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -475,9 +476,29 @@ def test_blocks_of_items_find_the_same(docs, spark, monkeypatch):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     key = lambda df: sorted((r.doc_id, r.contaminated, sorted((m.item_id, m.start) for m in r.matches)) for r in df.collect())
     want = key(decontamination.contamination(docs.limit(150), benchmark))
-    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 20_000)
+    chars = benchmark.agg(F.sum(F.length("text"))).first()[0]
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", chars // 5)
     got = decontamination.contamination(docs.limit(150), benchmark, keep=("text",))
     assert got.columns == ["doc_id", "text", "contaminated", "matches"] and key(got) == want
+    monkeypatch.setattr(decontamination, "TEXT_BYTES", 3_000)
+    before = list(common._STAGES)
+    with common.scratch(spark):
+        assert key(decontamination.contamination(docs.limit(150), benchmark)) == want
+        (folder,) = common._STAGES[len(before) :]  # the indexes: the corpus is written nowhere
+        files = list(Path(common.local_path(folder)).iterdir())
+        assert len(files) > 1 and not any(f.name.endswith(".tmp") for f in files)
+        assert len(files) <= 6
+    assert not Path(common.local_path(folder)).exists()
+
+
+def test_items_without_an_id(spark, monkeypatch):
+    item = "the quick brown fox jumps over the lazy dog near the river"
+    docs = spark.createDataFrame([(1, f"so {item}, {item}"), (2, "nothing"), (3, None), (4, "")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, item), (7, item), (None, item + " bank"), (8, None)], "item_id bigint, text string")
+    for most in (2_000_000, 60):
+        monkeypatch.setattr(decontamination, "BLOCK_CHARS", most)
+        rows = {r.doc_id: [m.item_id for m in r.matches] for r in decontamination.contamination(docs, items).collect()}
+        assert rows[2] == rows[3] == rows[4] == [] and [i for i in rows[1] if i == 7] == [7, 7] and rows[1][0] is None
 
 
 def test_worker_keeps_one_operators_state():
