@@ -15,7 +15,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.operators import boosting, discretise, discriminant, evaluation, expression, penalised, preparation, search, transforms
+from helixmill.operators import boosting, discretise, discriminant, evaluation, expression, penalised, perturbation, preparation, search, transforms
 from helixmill.sources import stores
 
 STATE = "cell string, state string, error string, seconds double"
@@ -130,6 +130,7 @@ def selectors(k: int = 11) -> dict[str, Callable[[DataFrame], DataFrame]]:
         "stepLDA": lambda long: _ordered(discriminant.step_lda(long).groupBy("feature").agg(F.max_by("action", "step").alias("a"), F.max("step").alias("s")).where("a = 'in'"), -F.col("s")),
         "GeneticAlgorithm": lambda long: search.genetic(long, fold % 5, 5).features(long.sparkSession),
         "SimulatedAnnealing": lambda long: search.annealing(long, fold % 5, 5).features(long.sparkSession),
+        "SPSA": lambda long: perturbation.ranked(long, k).select("rank", "feature"),
         "LASSO": lambda long: penalised.cv_lasso(long, fold, 10, n_penalties=30, least=1e-2).select("rank", "feature"),
         "ElasticNet": lambda long: penalised.elastic_net(long, fold, 10, n_penalties=20, least=1e-2).select("rank", "feature"),
     }

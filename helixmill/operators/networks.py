@@ -261,7 +261,7 @@ def matrix(long: DataFrame, names: tuple[str, ...]) -> DataFrame:
 def scaling(data: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means and deviations (1 for none) of the features of ``matrix``'s rows, and how many are of class 0 and 1."""
     n = [F.count_if(F.col("label") == g) for g in (0, 1)]
-    seen = data.groupBy(F.lit(1)).agg(Summarizer.metrics("mean", "std").summary(F.col("v")).alias("s"), F.array(*n).alias("n")).first()
+    seen = data.groupBy(F.lit("all")).agg(Summarizer.metrics("mean", "std").summary(F.col("v")).alias("s"), F.array(*n).alias("n")).first()
     if seen is None:
         raise ValueError("no sample has all features; samples of both classes are needed to train")
     std = seen.s.std.toArray()

@@ -32,7 +32,7 @@ class Folds:
         self.spark, self.folds = long.sparkSession, folds
         data, self.names = models.vectors(long)
         data = data.withColumn("f", fold.cast("int")).where(F.col("f").between(0, folds - 1))
-        seen = data.groupBy(F.lit(1)).agg(Summarizer.metrics("mean", "std").summary(F.col("x")).alias("s")).first()
+        seen = data.groupBy(F.lit("all")).agg(Summarizer.metrics("mean", "std").summary(F.col("x")).alias("s")).first()
         if seen is None:
             raise ValueError("no sample has all features and a fold")
         std = seen.s.std.toArray()

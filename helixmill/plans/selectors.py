@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixmill.operators import boosting, discretise, discriminant, dispatch, expression, imputation, networks, penalised, search, tuner
+from helixmill.operators import boosting, discretise, discriminant, dispatch, expression, imputation, networks, penalised, perturbation, search, tuner
 from helixmill.plans.catalog import FEATURES, query, rounded
 from helixmill.sources import fixtures as fx
 from helixmill.sources import stores
@@ -172,3 +172,9 @@ def genetic(spark, sf):
 @query("annealing")
 def annealing(spark, sf):
     return rounded(search.annealing(fx.telling_matrix(spark, sf), fold() % 5, 5).history(spark).drop("features"), "internal", "external")
+
+
+@query("perturbed_weights")
+def perturbed_weights(spark, sf):
+    """Five steps of two slopes; about 500 queries a step."""
+    return rounded(perturbation.ranked(fx.telling_matrix(spark, sf), iterations=5, slopes=2, queries=500), "weight", digits=6)
