@@ -99,7 +99,7 @@ def rose(long: DataFrame, rows: int, seed: int = 1) -> DataFrame:
 
 
 def batch_effects(long: DataFrame, steps: int = 50) -> DataFrame:
-    """Per batch and feature: grand mean, pooled sd, and the empirical Bayes shift and scale of parametric ComBat without covariates.
+    """Per batch and feature: grand mean, pooled sd, and the empirical Bayes shift and scale of parametric ComBat; ``combat`` takes a covariate out before.
 
     Needs nothing but counts, means and variances by batch and feature: the conditional estimates are iterated on these. Features without variance within batches get no row, and so stay as they are in ``combat``.
     """
@@ -121,8 +121,20 @@ def batch_effects(long: DataFrame, steps: int = 50) -> DataFrame:
     return hats.join(prior, "batch").withColumn("eb", solved).select("feature", "batch", "grand", "sd", F.coalesce("eb.g", "g").alias("shift"), F.coalesce("eb.d", "d").alias("scale"))
 
 
-def combat(long: DataFrame, steps: int = 50) -> DataFrame:
-    """``long`` (with a batch column) with batch shifts and scales taken out of ``value``."""
+def class_slopes(long: DataFrame) -> DataFrame:
+    """(feature, slope): how much higher a Case's value is in a linear model with a level for each batch; 0 if no batch has both classes. Within a batch cases and their mean tell all there is to know."""
+    case = F.col("class") == "Case"
+    cells = long.where("value is not null").groupBy("feature", "batch").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.count_if(case).alias("n1"), F.avg(F.when(case, F.col("value"))).alias("mean1"))
+    across, within = F.sum(F.col("n1") * (F.col("mean1") - F.col("mean"))), F.sum(F.col("n1") - F.col("n1") * F.col("n1") / F.col("n"))
+    return cells.groupBy("feature").agg(F.coalesce(F.when(within > 0, across / within), F.lit(0.0)).alias("slope"))
+
+
+def combat(long: DataFrame, steps: int = 50, by_class: bool = False) -> DataFrame:
+    """``long`` (with a batch column) with batch shifts and scales taken out of ``value``. With ``by_class`` the difference between the classes is fitted with the batches and stays: batches of unlike shares of cases are not made alike by it. Features whose batches have one class each have no such difference to fit."""
+    if by_class:
+        part = F.when(F.col("class") == "Case", F.coalesce("_slope", F.lit(0.0))).otherwise(0.0)
+        apart = long.join(class_slopes(long).withColumnRenamed("slope", "_slope"), "feature", "left").select(*long.columns, part.alias("_part"))
+        return combat(apart.withColumn("value", F.col("value") - F.col("_part")), steps).withColumn("value", F.col("value") + F.col("_part")).drop("_part")
     effects = batch_effects(long, steps)
     z = (F.col("value") - F.col("grand")) / F.col("sd")
     mended = (z - F.col("shift")) / F.sqrt("scale") * F.col("sd") + F.col("grand")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helixmill.operators import assembly, expression, models, tables, transforms, wrappers
-from helixmill.plans.catalog import AUC, FEATURES, query, r, rounded, t_p
+from helixmill.plans.catalog import AUC, FEATURES, ORACLES, query, r, rounded, t_p
 from helixmill.sources import fixtures as fx
 
 
@@ -53,6 +53,16 @@ def combat(spark, sf):
     return rounded(transforms.combat(batched(spark, sf)), "value", digits=7)
 
 
+#: Class differences by regression within batches, and the table without them.
+REST = """slope AS (SELECT feature, coalesce(regr_slope(v, x), 0) AS slope FROM (SELECT feature, value - avg(value) OVER w AS v, x - avg(x) OVER w AS x FROM (SELECT *, CASE WHEN class = 'Case' THEN 1.0::DOUBLE ELSE 0 END AS x FROM bat) WINDOW w AS (PARTITION BY feature, batch)) GROUP BY feature),
+rest AS (SELECT sample_id, batch, class, feature, CASE WHEN class = 'Case' THEN slope ELSE 0 END AS part, value - part AS value FROM bat JOIN slope USING (feature)), cells AS ("""
+
+
+@query("combat_class", ORACLES["combat"].replace("FROM bat ", "FROM rest ").replace("bat.", "rest.").replace("cells AS (", REST, 1).replace("+ grand, 7)", "+ grand + part, 7)"))
+def combat_class(spark, sf):
+    return rounded(transforms.combat(batched(spark, sf), by_class=True), "value", digits=7)
+
+
 FOLDED = AUC.replace("g AS (SELECT feature, value AS score", "g AS (SELECT fold.f, feature, value AS score").replace("FROM feat GROUP BY ALL)", "FROM feat, range(5) fold(f) WHERE sample_id % 5 <> f GROUP BY ALL)").replace("roc AS (SELECT feature", "roc AS (SELECT f, feature").replace("PARTITION BY feature", "PARTITION BY f, feature")
 
 

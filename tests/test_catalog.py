@@ -5,6 +5,7 @@ import os
 from decimal import Decimal, getcontext
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,37 @@ def test_combat_takes_shifts_out(spark):
     assert tr.combat(flat).select("value").distinct().collect()[0].value == 3.0
 
 
+def test_combat_with_classes_against_a_design_matrix(spark):
+    """Least squares on batch and class columns, then the empirical Bayes steps, in numpy."""
+    rng = np.random.default_rng(5)
+    n, p = 60, 7
+    batch, case = np.arange(n) % 3, rng.random(n) < 0.2 + 0.25 * (np.arange(n) % 3)
+    x = rng.normal(0, 1, (n, p)) * (1 + batch[:, None]) + 1e4 + 3 * batch[:, None] + 2 * case[:, None] * np.arange(p)
+    design = np.column_stack([*(batch == b for b in range(3)), case]).astype(float)
+    beta = np.linalg.lstsq(design, x, rcond=None)[0]
+    sizes = design[:, :3].sum(0)
+    stand = (sizes / n) @ beta[:3] + np.outer(case, beta[3])
+    sd = np.sqrt(((x - design @ beta) ** 2).mean(0))
+    z = (x - stand) / sd
+    want = np.zeros_like(z)
+    for b in range(3):
+        own, k = z[batch == b], sizes[b]
+        g, d = own.mean(0), own.var(0, ddof=1)
+        gbar, t2, m, s2 = g.mean(), g.var(ddof=1), d.mean(), d.var(ddof=1)
+        shift, scale = g, d
+        for _ in range(50):
+            shift = (t2 * k * g + scale * gbar) / (t2 * k + scale)
+            scale = (((own - shift) ** 2).sum(0) / 2 + (m * s2 + m**3) / s2) / (k / 2 + (2 * s2 + m * m) / s2 - 1)
+        want[batch == b] = (own - shift) / np.sqrt(scale)
+    want = want * sd + stand
+    long = spark.createDataFrame([(i, int(batch[i]), "Case" if case[i] else "Control", f"f{j}", float(x[i, j])) for i in range(n) for j in range(p)] + [(99, 0, "Case", "f0", None)], "sample_id bigint, batch bigint, class string, feature string, value double")
+    got = {(r.sample_id, r.feature): r.value for r in tr.combat(long, by_class=True).collect()}
+    assert len(got) == n * p + 1 and got[99, "f0"] is None
+    assert np.array([[got[i, f"f{j}"] for j in range(p)] for i in range(n)]) == pytest.approx(want, rel=1e-9)
+    one = long.withColumn("class", F.when(F.col("batch") == 0, "Case").otherwise("Control"))  # no batch has both
+    assert {r.slope for r in tr.class_slopes(one).collect()} == {0.0}
+
+
 def test_models_find_the_feature_that_tells(spark):
     long = long_table(spark, [(i, "Case" if i % 3 == 0 else "Control", [(i * 7) % 5, 3 * (i % 3 == 0) + (i % 4) * 0.1, (i * 5) % 7]) for i in range(60)])
     for select in (models.lasso, models.wx, models.forest_importance):
