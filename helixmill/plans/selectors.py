@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixmill.operators import boosting, discretise, discriminant, dispatch, expression, imputation, networks, penalised, perturbation, search, tuner
+from helixmill.operators import bayes_search, boosting, discretise, discriminant, dispatch, expression, imputation, networks, penalised, perturbation, search, tuner
 from helixmill.plans.catalog import FEATURES, query, rounded
 from helixmill.sources import fixtures as fx
 from helixmill.sources import stores
@@ -178,3 +178,11 @@ def annealing(spark, sf):
 def perturbed_weights(spark, sf):
     """Five steps of two slopes; about 500 queries a step."""
     return rounded(perturbation.ranked(fx.telling_matrix(spark, sf), iterations=5, slopes=2, queries=500), "weight", digits=6)
+
+
+@query("boosted_search")
+def boosted_search(spark, sf):
+    """Three first trials and two further ones of five rounds each, on the telling features."""
+    features = [f"hsa.f{i:02d}" for i in range(0, 64, 5)]
+    found = bayes_search.boosted_trees(split_telling(spark, sf), features, fold() % 3, 3, stores.new_folder(spark, "boosted-search"), first=3, further=2, rounds=5)
+    return rounded(found.drop("model"), "value", "cutoff", *[f"{mix}_{c}" for mix in stores.MIXES for c in tuner.FIGURES], digits=6)
