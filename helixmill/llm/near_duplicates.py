@@ -288,7 +288,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = nodes.select("node", "n_words", F.explode("sketch").alias("bucket"))
     leaders = keep(buckets.groupBy("bucket").agg(F.min(F.struct("node", "n_words")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", "n", F.col("lead.node").alias("leader"), F.col("lead.n_words").alias("lead_words")), "leaders")
     near = F.least("n_words", "lead_words") >= similarity * F.greatest("n_words", "lead_words") - 1e-9
-    members = keep(buckets.join(leaders, "bucket").where("node <> leader"), "members")
+    # most buckets have one node: a bitmap of the others keeps those out of the second shuffle
+    members = keep(common.among(buckets, leaders, "bucket").join(leaders, "bucket").where("node <> leader"), "members")
     pairs = keep(members.where(near).select("node", "leader").distinct(), "pairs")
 
     def verify(batches):
@@ -310,7 +311,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """(node, text) of nodes, read again by their smallest id; a bitmap of these rows keeps most others out of the shuffle."""
         wanted = keep(wanted.select("node").distinct().join(nodes.select("node", "rep"), "node"), "wanted")
         likely = common.among(keyed.withColumn("row", F.xxhash64("node", "id")), wanted.select(F.xxhash64("node", "rep").alias("row")), "row")
-        found = likely.join(wanted.withColumnRenamed("node", "wanted"), (F.col("node") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
+        found = likely.join(wanted, "node", "left_semi")  # by the node alone, as the grouping is: texts are shuffled once
         return keep(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     # parts of a leader's members, and the leader itself once a part

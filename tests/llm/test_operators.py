@@ -546,6 +546,32 @@ def test_near_duplicates_behind_a_common_passage(spark):
     assert {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(table).collect()} == dict(enumerate(want))
 
 
+def records(spark) -> int:
+    """Rows written to shuffles so far."""
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_near_duplicates_shuffle_lonely_sketches_once(spark):
+    """Without broadcasts of whole tables: sketches that no other text has go to their bucket, and no further."""
+    rng = random.Random(21)
+    texts = [" ".join(str(rng.randrange(10**9)) for _ in range(60)) for _ in range(600)]
+    texts += [x + " end" for x in texts[:30]]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    sketched = sum(len(near_duplicates.sketches(near_duplicates.words_of(x))) for x in texts)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = records(spark)
+        got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(table).collect()}
+        shuffled = records(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == {i: i if i < 600 else i - 600 for i in range(630)}
+    assert sketched < shuffled < 1.6 * sketched
+
+
 def test_bounds_never_exceed_the_distance():
     rng = random.Random(3)
     for _ in range(300):
