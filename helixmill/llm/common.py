@@ -16,6 +16,8 @@ CHECKPOINT = "spark.checkpoint.dir"
 SLICE_BYTES = 4_000_000
 #: Rows of a broadcast bitmap (of 64 bits each); a key with more than one in HOT of all rows is hot.
 SLOTS, HOT = 1 << 20, 1_000
+#: Places, of a byte each, that tell whether a worker's cache has met a key before.
+MET = 1 << 21
 _STAGES: list[str] = []
 _OWN: dict[str, str] = {}
 
@@ -135,11 +137,11 @@ def write_whole(path: str, chunks) -> int:
 
 
 class Cache(dict):
-    """What a worker keeps of costly values, up to about ``limit`` bytes; a full cache is emptied and starts with its seed again. ``of(key)`` gives a value and its cost in bytes (None: not to be kept)."""
+    """What a worker keeps of costly values, up to about ``limit`` bytes; a full cache is emptied and starts with its seed again. ``of(key)`` gives a value and its cost in bytes (None: not to be kept). A value is kept from the second time on that it is asked for, by a table of the keys' hashes: most keys come once, and would only fill the cache."""
 
     def __init__(self, limit: int, seed: dict | None = None):
         super().__init__(seed or {})
-        self.limit, self.seed, self.held = limit, seed or {}, 0
+        self.limit, self.seed, self.held, self.met = limit, seed or {}, 0, bytearray(MET)
 
     def of(self, key):
         raise NotImplementedError
@@ -148,10 +150,14 @@ class Cache(dict):
         value, cost = self.of(key)
         if cost is None:
             return value
+        at = hash(key) % MET
+        if not self.met[at]:
+            self.met[at] = 1
+            return value
         if self.held > self.limit:
             self.clear()
             self.update(self.seed)
-            self.held = 0
+            self.held, self.met = 0, bytearray(MET)
         self.held += cost
         self[key] = value
         return value

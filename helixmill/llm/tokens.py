@@ -1,6 +1,6 @@
 """Token counts (map-side two-tier lookup) and the encoder that other operators share.
 
-A text is cut at single spaces, and at single line feeds between other characters, into chunks that the tokenizer treats independently of their neighbours, so the tokens of a text are the tokens of its chunks in order. Frequent chunks are looked up in a small broadcast table; other chunks are encoded by the tokenizers library and kept in a cache of the Python worker, which outlives the task, holds ``CACHE_BYTES`` at most (as estimated), and is emptied when the worker turns to another operator. No chunk is ever shuffled.
+A text is cut at single spaces, and at single line feeds between other characters, into chunks that the tokenizer treats independently of their neighbours, so the tokens of a text are the tokens of its chunks in order. Frequent chunks are looked up in a small broadcast table; other chunks are encoded by the tokenizers library and, from the second time on, kept in a cache of the Python worker, which outlives the task, holds ``CACHE_BYTES`` at most (as estimated), and is emptied when the worker turns to another operator. No chunk is ever shuffled.
 
 Defined cases: a null text counts as an empty one and has 0 tokens; a tokenizer whose pre-tokenizer is of another kind than the two known ones, and a text whose runs of white space reach across a cut, are encoded whole by the library; chunks longer than ``LONGEST_KEPT`` characters are encoded each time and never kept. The tables and caches only save work: they never change a count.
 """
@@ -78,6 +78,12 @@ class Pieces:
         self.find = _PLAIN[self.rule].findall
         shown = ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {i: "".join(x for x, _ in shown.pre_tokenize_str(chr(i))) for i in range(32, 256)}
+        letters = [chr(i) for i in range(128) if chr(i).isalpha()]
+        #: Are ASCII letters shown as they are, and in no added token by themselves? Then chunks of these alone need no cutting and no showing.
+        self.plain = all(self.shown[ord(x)] == x for x in letters) and not any(x.isascii() and x.isalpha() for x in self.added)
+        #: Marks that end a word as a pre-token of their own; none that an added token of letters and a mark, or of the mark alone, ends with.
+        self.marks = frozenset(x for x in "!,.:;?" if not any(y.endswith(x) and (y[:-1] + "a").isalpha() for y in self.added))
+        self.leads = {x: x.translate(self.shown) for x in ("", " ")}
 
     def cut(self, chunk: str) -> list[str] | None:
         """The pre-tokens of a chunk of plain characters, else None."""
@@ -86,11 +92,32 @@ class Pieces:
             return None
         return parts
 
+    def letters(self, chunk: str) -> bool:
+        """Is the chunk of ASCII letters alone, so that ``letter_ids`` gives its ids?"""
+        return self.plain and chunk.isascii() and chunk.isalpha()
+
+    def letter_ids(self, chunk: str, lead: str) -> list[int]:
+        return [x.id for x in self.model.tokenize(chunk.lower() if self.rule == "bare" else self.leads[lead] + chunk)]
+
     def ids(self, piece: str, lead: str) -> list[int]:
         piece = piece.lower() if self.rule == "bare" else lead + piece
         return [x.id for x in self.model.tokenize(piece.translate(self.shown))]
 
 
+class Packers(dict):
+    """By number of ids: what packs so many, little-endian."""
+
+    def __init__(self, kind: str):
+        super().__init__()
+        self.code = "HI"[kind == "u4"]
+
+    def __missing__(self, n: int):
+        found = struct.Struct(f"<{n}{self.code}").pack
+        if n <= LONGEST_KEPT:
+            self[n] = found
+        return found
+
+
 class Chunks(common.Cache):
     """Chunk to ``value(ids)``; missing chunks are encoded and kept. ``after``: the cache of what follows a line feed."""
 
@@ -100,6 +127,11 @@ class Chunks(common.Cache):
         self.line = value([] if pieces.rule == "bare" else self.tok.encode("\n", add_special_tokens=False).ids)
 
     def of(self, chunk: str):
+        if len(chunk) <= LONGEST_KEPT:  # most chunks that are missing: a word, or one with a mark after it
+            if self.pieces.letters(chunk):
+                return self.value(self.pieces.letter_ids(chunk, self.lead)), ENTRY_BYTES + len(chunk)
+            if chunk and chunk[-1] in self.pieces.marks and self.pieces.letters(word := chunk[:-1]):
+                return self[word] + self.after[chunk[-1]], ENTRY_BYTES + len(chunk)
         head, line, tail = chunk.partition("\n")
         if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
             return self[head] + self.line + self.after[tail], None
@@ -120,7 +152,7 @@ def chunks(path: str, kind: str, seed=None) -> tuple[Chunks, Chunks]:
     """The worker's caches of chunks after a space and of others; kind: "n" (lengths), or "u2" or "u4" (ids as little-endian bytes)."""
 
     def make():
-        value = len if kind == "n" else lambda ids, t="HI"[kind == "u4"]: struct.pack(f"<{len(ids)}{t}", *ids)
+        value = len if kind == "n" else lambda ids, packers=Packers(kind): packers[len(ids)](*ids)
         pieces, own = Pieces(path), seed() if seed else None
         if cut_rule(path) == "bare":
             both = Chunks(path, "", value, CACHE_BYTES, own, pieces, None)

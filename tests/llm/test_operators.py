@@ -513,6 +513,25 @@ def test_worker_keeps_one_operators_state():
     assert len(small) < 10
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_chunks_are_kept_once_they_repeat(path):
+    made = tokens.Chunks(path, "", len, 10**9, None, tokens.Pieces(path), None)
+    for i in range(3_000):
+        for x in (f"once{i}x", f"often{i % 30}x"):
+            assert made[x] == len(tokens.whole(path, x))
+    assert all(f"often{i}x" in made for i in range(30)) and len(made) < 100
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_words_and_marks_equal_the_library(path):
+    common._STATE.clear()
+    rng, encode, kind = random.Random(8), tokens.encoder(path), f"<u{tokens.id_width(path)}"
+    parts = ["It", "the", "wOrd", "zqxj", "Ünder", "café", "s", "don't", "a" * 47, "b" * 48, "x1", "9", ""]
+    for _ in range(3_000):
+        text = " ".join(rng.choice(parts) + rng.choice(["", "", ".", ",", "?", "!", ":", ";", "'", "..", ".)", "|>", "\n" + rng.choice(parts[:4])]) for _ in range(rng.randrange(1, 6)))
+        assert np.frombuffer(encode(text), kind).tolist() == tokens.whole(path, text), text
+
+
 def test_among_keeps_every_key(spark):
     rows = spark.range(5000).withColumn("key", F.xxhash64("id"))
     keys = rows.where("id % 7 = 0").select("key")
