@@ -1,6 +1,6 @@
 """Running many selectors and models as cells: several at a time, each within a time limit, each stored by itself, and only those not stored yet.
 
-A cell is a name and a function that returns a table. Its Spark jobs are one job group; when its time is over the group is cancelled, and its later jobs too. A cell that fails or is late costs no other one: it is a row of the states with its error. Results are folders ``results/<name>``, replaced as a whole, so a repeated run leaves each cell once; a state is written after its result, so a run that dies leaves a cell either done or to be done.
+A cell is a name and a function that returns a table. Its Spark jobs are one job group; when its time is over the group is cancelled, and its later jobs too. Time in which its jobs only wait for cores that others hold does not count. A cell that fails or is late costs no other one: it is a row of the states with its error. Results are folders ``results/<name>``, replaced as a whole, so a repeated run leaves each cell once; a state is written after its result, so a run that dies leaves a cell either done or to be done.
 """
 
 from __future__ import annotations
@@ -48,20 +48,40 @@ def _run(spark: SparkSession, name: str, make, path: str, limit: float) -> None:
         late.set()
         context._jsc.sc().cancelJobGroupAndFutureJobs(group)
 
-    timer = threading.Timer(limit, stop)
-    timer.start()
+    def watch() -> None:
+        left, now = limit, time.time()
+        while not over.wait(max(0.01, min(1.0, limit / 8, left))):
+            was, now = now, time.time()
+            if not _waits(context, group):
+                left -= now - was
+            if left <= 0:
+                return stop()
+
+    over = threading.Event()
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
     state, error = DONE, None
     try:
         make().withColumn("cell", F.lit(name)).write.mode("overwrite").parquet(_at(path, "results", name))
     except Exception as e:  # whatever a cell's code raises is that cell's state
         state, error = (LATE, f"over {limit:g} s") if late.is_set() else (FAILED, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"[:300])
     finally:
-        timer.cancel()
+        over.set()
+        watcher.join()
     context.setJobGroup(f"{group}/state", name, False)  # not the cancelled group
     row = spark.createDataFrame([(name, state, error, time.time() - began)], STATE)
     row.coalesce(1).write.mode("overwrite").json(_at(path, "states", name))
 
 
+def _waits(context, group: str) -> bool:
+    """Has the group stages to run, and no task that runs?"""
+    tracker = context.statusTracker()
+    jobs = set(tracker.getActiveJobsIds()) & set(tracker.getJobIdsForGroup(group))
+    wanted = {s for j in jobs if (job := tracker.getJobInfo(j)) for s in job.stageIds} & set(tracker.getActiveStageIds())
+    stages = [x for x in map(tracker.getStageInfo, wanted) if x]
+    return bool(stages) and not any(x.numActiveTasks for x in stages)
+
+
 def _at(path: str, kind: str, name: str) -> str:
     return f"{path}/{kind}/{quote(name, safe='').replace('%', '~')}"
 

@@ -55,6 +55,22 @@ def test_cells_fail_and_are_late_alone_and_resume(spark):
     assert dispatch.results(spark, stores.new_folder(spark, "none")) is None
 
 
+def test_waiting_for_cores_is_not_being_late(spark):
+    """Two cells in turn hold all cores for 5 s each; neither the second nor a small one is late at 9 s."""
+
+    def hold():
+        wait = F.udf(lambda x: (time.sleep(5), x)[1], "bigint")
+        return spark.range(0, 8, 1, spark.sparkContext.defaultParallelism).select(wait("id"))
+
+    def small():
+        time.sleep(1)
+        return spark.range(1)
+
+    cells = {"one": hold, "two": hold, "small": small}
+    got = {r.cell: r.state for r in dispatch.run_cells(spark, cells, stores.new_folder(spark, "cells"), limit=9, at_once=3).collect()}
+    assert got == dict.fromkeys(cells, "done")
+
+
 def test_selectors_share_their_inputs(spark, long):
     path = stores.new_folder(spark, "selected")
     train = long.where("mix = 'train'").drop("mix")
