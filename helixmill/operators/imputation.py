@@ -100,7 +100,7 @@ def _filled(table: DataFrame, targets: list[int], means: np.ndarray, donors: int
                 yield pa.RecordBatch.from_arrays([pa.array([j] * len(x), pa.int32()), batch.column("sample_id"), pa.array(x @ slopes[j]), pa.array(value, from_pandas=True)], ["target", "sample_id", "predicted", "value"])
 
     told = table.mapInArrow(predict, f"target int, sample_id {kind}, predicted double, value double")
-    dealt = ranks.in_buckets(told, ("target",), "predicted", buckets).select("*", uniform(*seed, "donor", F.col("target"), F.col("sample_id")).alias("u"))
+    dealt = ranks.in_buckets(told, ("target",), "predicted", buckets, tie=("sample_id",)).select("*", uniform(*seed, "donor", F.col("target"), F.col("sample_id")).alias("u"))
 
     def beyond(block: pd.DataFrame) -> pd.DataFrame:
         """Of a target's border rows, those nearest to each bucket on either side."""

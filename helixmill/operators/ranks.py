@@ -1,6 +1,6 @@
 """Order statistics within groups of any size: values are dealt to buckets cut by quantiles, ranks and running sums are taken within buckets, and each bucket's start comes from the totals of those before it.
 
-So no group is one task's, however many rows it holds. Cuts come from a sketch of bounded size a group; equal values share a bucket, so rows should be aggregated to distinct values first where many may be equal, or ``tie`` given.
+So no group is one task's, however many rows it holds. Cuts come from a bounded number of drawn values a group; equal values share a bucket, so rows should be aggregated to distinct values first where many may be equal, or ``tie`` given.
 """
 
 from __future__ import annotations
@@ -8,21 +8,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS, ACCURACY, COMPILED = 32, 2_000, 64
+BUCKETS, COMPILED = 32, 64
+#: About so many values of a group are drawn for its cuts, and at least so many a bucket.
+DRAWN, EACH = 2_048, 64
 
 
-def in_buckets(rows: DataFrame, by: tuple[str, ...], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """``rows`` with ``_b``, the number of the group's quantile cuts below ``value``. Rows with a null group column go."""
+def in_buckets(rows: DataFrame, by: tuple[str, ...], value: str, buckets: int = BUCKETS, *, tie: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``_b``, the number of the group's quantile cuts below ``value``. Rows with a null group column go.
+
+    Cuts are quantiles of values drawn by a hash of the value and ``tie``, which should tell rows of equal values apart if there are many. So they are the same each time a plan works them out, as ``running`` needs; a merged sketch depends on the order in which tasks end.
+    """
+    for name in by:
+        rows = rows.where(F.col(name).isNotNull())
     if buckets == 1:
-        return rows.dropna(subset=list(by)).withColumn("_b", F.lit(0))
-    cuts = rows.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], ACCURACY)).alias("_cuts"))
+        return rows.withColumn("_b", F.lit(0))
+    sizes = rows.groupBy(*by).agg(F.count(value).alias("_size"))
+    place = F.xxhash64(value, *tie).bitwiseAND(F.lit(0x7FFFFFFF)).cast("double")
+    drawn = rows.select(*by, F.col(value).alias("_drawn"), place.alias("_place")).join(sizes, list(by)).where(F.col("_place") * F.col("_size") < max(DRAWN, EACH * buckets) * float(1 << 31))
+    each = drawn.groupBy(*by, "_drawn").agg(F.count("*").alias("_times"))
+    cuts = each.groupBy(*by).agg(F.array_distinct(F.percentile("_drawn", [i / buckets for i in range(1, buckets)], F.col("_times"))).alias("_cuts"))
+    told = rows.join(cuts, list(by), "left")  # few values, repeated often, may all be left undrawn
     if buckets <= COMPILED:  # comparisons that are compiled; a lambda is interpreted
         below = F.lit(0)
         for i in range(buckets - 1):
             below = below + F.coalesce((F.get("_cuts", F.lit(i)) < F.col(value)).cast("int"), F.lit(0))
     else:
-        below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    return rows.join(cuts, list(by)).withColumn("_b", below).drop("_cuts")
+        below = F.coalesce(F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col(value))), F.lit(0))
+    return told.withColumn("_b", below).drop("_cuts")
 
 
 def running(rows: DataFrame, by: tuple[str, ...], order: list[Column], **sums: Column) -> DataFrame:
@@ -37,7 +49,7 @@ def running(rows: DataFrame, by: tuple[str, ...], order: list[Column], **sums: C
 
 def ranked(rows: DataFrame, by: tuple[str, ...], value: str, name: str, tie: tuple[str, ...] = (), buckets: int = BUCKETS) -> DataFrame:
     """``rows`` with their rank, from 1, by ``value`` and then ``tie``; null values are left out."""
-    dealt = in_buckets(rows.where(F.col(value).isNotNull()), by, value, buckets)
+    dealt = in_buckets(rows.where(F.col(value).isNotNull()), by, value, buckets, tie=tie)
     return running(dealt, by, [F.col(value), *(F.col(t) for t in tie)], **{name: F.lit(1)}).drop("_b", f"{name}_all")
 
 
