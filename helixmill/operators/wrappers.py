@@ -9,7 +9,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -17,7 +17,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.operators import evaluation, models
+from helixmill.operators import evaluation, models, trees
 from helixmill.operators.transforms import uniform
 from helixmill.sources import stores
 
@@ -72,27 +72,21 @@ def boruta(long: DataFrame, rounds: int = 12, trees: int = 30, level: float = 0.
 
 
 def forward_wrapper(long: DataFrame, fold, k: int = 3, candidates: int | None = None, folds: int = 3) -> DataFrame:
-    """(rank, feature, accuracy): features added one by one while the cross-validated accuracy of a decision tree grows, each step trying every open feature (or only the ``candidates`` that correlate most with the class, if given); ties go to the larger correlation. ``fold`` is a Column of sample_id, 0 to ``folds`` - 1."""
+    """(rank, feature, accuracy): features added one by one while the cross-validated accuracy of a decision tree grows, each step trying every open feature (or only the ``candidates`` that correlate most with the class, if given); ties go to the larger correlation. A step's trees, of depth 3, are grown together, a pass a level. ``fold`` is a Column of sample_id, 0 to ``folds`` - 1."""
     data, names = models.vectors(long)
     data = data.withColumn("f", fold).persist()
     r = abs(np.nan_to_num(Correlation.corr(data.select(array_to_vector(F.concat(vector_to_array("x"), F.array("label"))).alias("x")), "x").first()[0].toArray()))[:-1, -1]
     open_ = sorted(range(len(names)), key=lambda i: (-r[i], i))[:candidates]
-
-    def accuracy(cut: list[int]) -> float:
-        right = 0
-        sliced = VectorSlicer(inputCol="x", outputCol="v", indices=cut).transform(data)
-        for f in range(folds):
-            fitted = DecisionTreeClassifier(featuresCol="v", maxDepth=3, seed=1).fit(sliced.where(F.col("f") != f))
-            right += fitted.transform(sliced.where(F.col("f") == f)).where("prediction = label").count()
-        return right / max(n, 1)
-
     n, chosen, rows = data.count(), [], []
+    dealt = trees.binned(data, folds, len(names)).persist()
     while open_ and len(chosen) < k:
-        best, at = max((accuracy([*chosen, i]), -at) for at, i in enumerate(open_))
+        right = trees.right_told(dealt, [[*chosen, i] for i in open_], folds, len(names))
+        best, at = max((int(x) / max(n, 1), -at) for at, x in enumerate(right))
         if rows and best <= rows[-1][2]:
             break
         chosen.append(open_.pop(-at))
-        rows.append((len(chosen), names[chosen[-1]], float(best)))
+        rows.append((len(chosen), names[chosen[-1]], best))
+    dealt.unpersist()
     data.unpersist()
     return long.sparkSession.createDataFrame(rows, "rank int, feature string, accuracy double")
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from helixmill.operators import tables, wrappers
+from helixmill.operators import tables, trees, wrappers
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +42,42 @@ def test_forward_wrapper(long):
     assert wrappers.forward_wrapper(long, F.col("sample_id") % 2, 1, 3, 2).first().feature == "hsa.1"
 
 
+def test_trees_tell_what_those_of_spark_ml_tell(spark):
+    """A step has as many jobs for one feature tried as for all; accuracies as from one fit a feature and fold."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorSlicer
+
+    from helixmill.operators import models
+
+    u = lambda i, j: (i * 7919 * (j + 3) + j * 104729) % 1009 / 1009
+    rows = [(i, "Case" if u(i, 9) + 0.4 * u(i, 0) + (0.3 if u(i, 1) > 0.6 else 0.0) * (i % 2) > 0.85 else "Control", f"f{j}", u(i, j) if j < 4 else float(i % 3) if j == 4 else 1.0) for i in range(700) for j in range(6)]
+    table = spark.createDataFrame(rows, "sample_id bigint, class string, feature string, value double").persist()
+    fold = F.when(F.col("sample_id") % 10 < 9, F.col("sample_id") % 3)
+    data = models.vectors(table)[0].withColumn("f", fold).persist()
+
+    def fitted(cut):
+        sliced, right = VectorSlicer(inputCol="x", outputCol="v", indices=cut).transform(data), 0
+        for f in range(3):
+            tree = DecisionTreeClassifier(featuresCol="v", maxDepth=3, seed=1).fit(sliced.where(F.col("f") != f))
+            right += tree.transform(sliced.where(F.col("f") == f)).where("prediction = label").count()
+        return right
+
+    dealt = trees.binned(data, 3, 6)
+    for tried in ([[i] for i in range(5)], [[0, 1], [1, 4], [3, 2]], [[0, 1, 5], [4, 2, 3]]):
+        assert trees.right_told(dealt, tried, 3, 6).tolist() == [fitted(cut) for cut in tried]
+
+    def jobs(candidates):
+        spark.sparkContext.setJobGroup(f"forward {candidates}", "")
+        got = wrappers.forward_wrapper(table, fold, 1, candidates).collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"forward {candidates}"))
+
+    (few, begun), (every, more) = jobs(1), jobs(6)
+    spark.sparkContext.setJobGroup("", "")
+    assert every[0].accuracy == max(fitted([i]) for i in range(6)) / 700 >= few[0].accuracy
+    assert more <= begun + 5
+
+
 def test_matching_is_greedy_and_uses_controls_once(spark):
     samples = spark.createDataFrame([(i, int(i % 3 == 0), float(i * 7 % 31), float(i * 11 % 13)) for i in range(60)] + [(99, 1, None, 1.0)], "sample_id bigint, label int, a double, b double")
     got = wrappers.matched(samples, ["a", "b"]).collect()
