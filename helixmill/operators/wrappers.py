@@ -6,14 +6,15 @@ As in ``models``, samples with a missing value are left out, and tables without
 from __future__ import annotations
 
 from bisect import bisect_left
+from dataclasses import dataclass
+from math import erfc, sqrt
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorSlicer
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.ml.stat import Correlation
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,27 +24,129 @@ from helixmill.sources import stores
 
 #: Samples whose order one task decides, in shuffling and in matching.
 BLOCK, MATCHED = 4096, 100_000
+#: Models that are fitted together, passes that a model may take, and the move of coefficients at which it is done.
+AHEAD, STEPS, CLOSE = 16, 50, 1e-6
+
+
+@dataclass
+class Logit:
+    """A binomial model of ``features`` on standardised values: intercept and coefficients, the inverse information, and -2 log-likelihood."""
+
+    features: tuple[int, ...]
+    beta: np.ndarray
+    inverse: np.ndarray
+    deviance: float
+
+    def z(self) -> np.ndarray:
+        """Coefficients by their standard errors; 0 where the data do not tell one."""
+        var = np.diag(self.inverse)[1:]
+        return np.divide(self.beta[1:], np.sqrt(var), out=np.zeros(len(var)), where=np.isfinite(var) & (var > 0))
+
+    def without(self, worst: int) -> Logit:
+        """About the model without its feature number ``worst``, where the likelihood is quadratic."""
+        at, left = worst + 1, np.delete(np.arange(len(self.beta)), worst + 1)
+        column, v = self.inverse[left, at], self.inverse[at, at]
+        if not (np.isfinite(self.inverse).all() and v > 0):
+            return Logit(tuple(np.delete(self.features, worst).tolist()), self.beta[left], self.inverse[np.ix_(left, left)], self.deviance)
+        return Logit(tuple(np.delete(self.features, worst).tolist()), self.beta[left] - column * (self.beta[at] / v), self.inverse[np.ix_(left, left)] - np.outer(column, column) / v, self.deviance + self.beta[at] ** 2 / v)
+
+
+def worst_of(model: Logit) -> tuple[int, float]:
+    """The feature of the largest p-value, which is that of the smallest z, and that p-value."""
+    z = abs(model.z())
+    worst = int(z.argmin())
+    return worst, erfc(z[worst] / sqrt(2))
+
+
+def logits(rows: DataFrame, starts: list[Logit], centre: np.ndarray, scale: np.ndarray) -> dict[tuple[int, ...], Logit]:
+    """The models of the features of ``starts``, from there on by Newton's method: all take a step a pass over ``rows`` (label, x). A step that raises a deviance is halved. A model is done when no coefficient moves by ``CLOSE``, when its deviance stays as it is (separable classes), or after ``STEPS`` passes. Coefficients that the data do not tell have an infinite variance."""
+    at, step, best, done = {m.features: m.beta for m in starts}, {}, {}, {}
+    for _ in range(STEPS):
+        asked = [(f, b) for f, b in at.items() if f not in done]
+        if not asked:
+            break
+
+        def add(batches, asked=asked):
+            total = [np.zeros(1 + (len(f) + 1) * (len(f) + 2)) for f, _ in asked]
+            for batch in batches:
+                for first in range(0, batch.num_rows, 2048):
+                    part = batch.slice(first, 2048)
+                    y = part.column("label").to_numpy(zero_copy_only=False)
+                    x = np.hstack([np.ones((len(y), 1)), (part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1) - centre) * scale])
+                    for sums, (f, b) in zip(total, asked, strict=True):
+                        own = x[:, [0, *(i + 1 for i in f)]]
+                        eta = own @ b
+                        mu = 0.5 + 0.5 * np.tanh(eta / 2)
+                        q = len(b)
+                        sums[0] += 2 * np.logaddexp(0.0, np.where(y == 1, -eta, eta)).sum()
+                        sums[1 : 1 + q] += own.T @ (y - mu)
+                        sums[1 + q :] += (own.T @ ((mu * (1 - mu))[:, None] * own)).ravel()
+            yield trees.batch_of(total)
+
+        for k, sums in trees.summed(rows, add).items():
+            f, b = asked[k]
+            q = len(b)
+            deviance, gradient, information = float(sums[0]), sums[1 : 1 + q], sums[1 + q :].reshape(q, q)
+            if f in best and deviance > best[f].deviance + 1e-9 * (1 + abs(best[f].deviance)):
+                step[f] = step[f] / 2
+                at[f] = best[f].beta + step[f]
+                continue
+            inverse = np.linalg.pinv(information, rcond=1e-12, hermitian=True)
+            untold = np.diag(inverse @ information) < 1 - 1e-6
+            step[f] = inverse @ gradient
+            variance = inverse.copy()
+            variance[untold, untold] = np.inf
+            stays = f in best and abs(deviance - best[f].deviance) < 1e-10 * (abs(deviance) + 0.1)
+            best[f] = Logit(f, b, variance, deviance)
+            at[f] = b + step[f]
+            if stays or abs(step[f]).max() < CLOSE:
+                # the last step, too small to alter the information, is taken all the same
+                done[f] = Logit(f, at[f], variance, deviance - float(gradient @ step[f]))
+    return {f: done.get(f, m) for f, m in best.items()}
+
+
+def foreseen(model: Logit, by: str, most_p: float) -> list[Logit]:
+    """About the next models of ``backward_logit``, at least one."""
+    out: list[Logit] = []
+    while len(out) < AHEAD and len(model.features) > 1:
+        worst, p = worst_of(model)
+        if out and (p <= most_p if by == "p" else out[-1].deviance > before + 2):
+            break
+        before, model = model.deviance, model.without(worst)
+        out.append(model)
+    return out
 
 
 def backward_logit(long: DataFrame, by: str = "aic", most_p: float = 0.05) -> DataFrame:
-    """(step, n_features, removed, aic): a binomial model without the feature of the largest p-value, step by step: while the AIC does not rise (``by`` "aic"), or until all p-values are at most ``most_p`` ("p"). One fit a step; the first row has all features. What is left is what no row removes."""
+    """(step, n_features, removed, aic): a binomial model without the feature of the largest p-value, step by step: while the AIC does not rise (``by`` "aic"), or until all p-values are at most ``most_p`` ("p"). The first row has all features. What is left is what no row removes.
+
+    The next ``AHEAD`` models are foreseen from the last one and fitted together; as soon as a fitted model's largest p-value is another feature's than foreseen, those after it are foreseen anew. So each row is of a model that was fitted to the end, and each feature removed that of its largest p-value.
+    """
     data, names = models.vectors(long)
-    data = data.persist()
-    left, rows, removed, last = list(range(len(names))), [], None, None
-    while left:
-        cut = VectorSlicer(inputCol="x", outputCol="v", indices=left).transform(data)
-        summary = GeneralizedLinearRegression(featuresCol="v", family="binomial", regParam=0.0, maxIter=50).fit(cut).summary
-        if by == "aic" and last is not None and summary.aic > last:
+    rows = data.select("label", vector_to_array("x").alias("x")).persist()
+    told, out, now = data.select(Summarizer.metrics("mean", "std", "count").summary(F.col("x")).alias("s")).first().s, [], tuple(range(len(names)))
+    if names and not (told and told["count"]):
+        raise ValueError("no sample has every feature")
+    centre, std = (told[x].toArray() for x in ("mean", "std")) if names else (np.zeros(0),) * 2
+    scale = np.divide(1.0, std, out=np.zeros(len(std)), where=std > 0)
+    ahead, fitted, removed, last = [Logit(now, np.zeros(len(now) + 1), np.zeros((len(now) + 1,) * 2), 0.0)], {}, None, None
+    while now:
+        if now not in fitted:
+            fitted = logits(rows, ahead, centre, scale)
+        model = fitted[now]
+        aic = model.deviance + 2 * (len(now) + 1)
+        if by == "aic" and last is not None and aic > last:
             break
-        last = summary.aic
-        rows.append((len(rows), len(left), removed, float(last)))
-        p = np.nan_to_num(np.array(summary.pValues[: len(left)]), nan=1.0)
-        worst = int(p.argmax())
-        if len(left) == 1 or (by == "p" and p[worst] <= most_p):
+        last = aic
+        out.append((len(out), len(now), removed, float(last)))
+        worst, p = worst_of(model)
+        if len(now) == 1 or (by == "p" and p <= most_p):
             break
-        removed = names[left.pop(worst)]
-    data.unpersist()
-    return long.sparkSession.createDataFrame(rows, "step int, n_features int, removed string, aic double")
+        removed, now = names[now[worst]], (*now[:worst], *now[worst + 1 :])
+        if now not in fitted:
+            ahead = foreseen(model, by, most_p)
+    rows.unpersist()
+    return long.sparkSession.createDataFrame(out, "step int, n_features int, removed string, aic double")
 
 
 def shadowed(data: DataFrame, seed: int) -> DataFrame:

@@ -21,6 +21,44 @@ def test_backward_logit_keeps_the_feature_that_tells(long):
     assert aic == sorted(aic, reverse=True)
 
 
+def test_backward_logit_equals_one_fit_a_step(spark, monkeypatch):
+    """The rows of spark.ml's models, one fit a step, in far fewer jobs; also where no step is foreseen."""
+    from pyspark.ml.feature import VectorSlicer
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    from helixmill.operators import models
+
+    u = lambda i, j: (i * 7919 * (j + 3) + j * 104729) % 1009 / 1009
+    rows = [(i, "Case" if u(i, 20) + 0.5 * u(i, 0) - 0.4 * u(i, 1) > 0.6 else "Control", f"f{j:02d}", u(i, j) + (u(i, 2) if j == 7 else 0.0)) for i in range(400) for j in range(12)]
+    table = spark.createDataFrame(rows, "sample_id bigint, class string, feature string, value double").persist()
+    data, left, removed, want = models.vectors(table)[0].persist(), list(range(12)), None, []
+    while left:
+        summary = GeneralizedLinearRegression(featuresCol="v", family="binomial", maxIter=50).fit(VectorSlicer(inputCol="x", outputCol="v", indices=left).transform(data)).summary
+        p = list(summary.pValues)[: len(left)]
+        want.append((len(want), len(left), removed, pytest.approx(summary.aic, rel=1e-9), max(p)))
+        removed = f"f{left.pop(p.index(max(p))):02d}"
+    for by in ("p", "aic"):
+        end = next(i for i, r in enumerate(want) if (r[4] <= 0.05 if by == "p" else i + 1 < 12 and want[i + 1][3].expected > r[3].expected))
+        spark.sparkContext.setJobGroup(f"backward {by}", "")
+        got = wrappers.backward_logit(table, by).orderBy("step").collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        assert [tuple(r) for r in got] == [r[:4] for r in want[: end + 1]] and len(got) > 6
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"backward {by}")) < 5 * len(got)
+    spark.sparkContext.setJobGroup("", "")
+    monkeypatch.setattr(wrappers, "AHEAD", 1)
+    assert [tuple(r) for r in wrappers.backward_logit(table, "p").orderBy("step").collect()] == [r[:4] for r in want[: next(i for i, r in enumerate(want) if r[4] <= 0.05) + 1]]
+
+
+def test_backward_logit_of_features_that_tell_the_same(spark):
+    """A feature without variance and one of two equal ones go first; separable classes end."""
+    rows = [(i, "Case" if i % 7 < 3 else "Control", f, v) for i in range(70) for f, v in (("a", float(i % 5)), ("b", float(i % 5)), ("c", 1.0), ("d", float(i % 7) + i % 3))]
+    table = spark.createDataFrame(rows, "sample_id bigint, class string, feature string, value double")
+    got = wrappers.backward_logit(table, "p").orderBy("step").collect()
+    assert {r.removed for r in got[1:3]} in ({"a", "c"}, {"b", "c"})
+    told = wrappers.backward_logit(table.withColumn("value", F.when(F.col("feature") == "d", (F.col("sample_id") % 7).cast("double")).otherwise(F.col("value"))), "p").collect()
+    assert "d" not in {r.removed for r in told} and min(r.aic for r in told) < 20
+
+
 def test_boruta_confirms_the_feature_that_tells(long):
     got = {r.feature: r for r in wrappers.boruta(long, rounds=8, trees=10).collect()}
     assert got["hsa.1"].decision == "Confirmed" and got["hsa.1"].hits == 8
